@@ -17,7 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import crc_rest, row_of_batch, table, text_blocks
@@ -135,8 +136,6 @@ def has_letter(text: str | None) -> bool:
 
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Trees:
     """Counts the trees on at most sample_docs documents of each language (the least xxhash64(doc_id)); rows without text or language teach nothing."""
-    from pyspark.sql import Window
-
     known = documents.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample_docs).select("doc_id").distinct()
@@ -147,8 +146,26 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Trees:
     return grow(texts)
 
 
+def judged(trees: Trees, rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language (or `und`), score and bits by byte of every text of a block."""
+    sizes = np.diff(at)
+    letters = np.concatenate([[0], np.cumsum(LETTER[data])])
+    letters = letters[at[1:]] - letters[at[:-1]]
+    text = row_of_batch(rows, "text")
+    known = np.array([bool(trees.langs) and (n > 0 or (size > 0 and has_letter(text[i].as_py()))) for i, (n, size) in enumerate(zip(letters, sizes, strict=True))], bool)
+    if not trees.langs:
+        return np.full(len(sizes), UNKNOWN, object), np.zeros(len(sizes)), np.zeros(len(sizes))
+    bits = code_lengths(trees, data, at)
+    best = bits.argmin(axis=1)
+    least = bits[np.arange(len(best)), best]
+    weight = np.minimum(sizes, EVIDENCE_BYTES) / np.maximum(sizes, 1)
+    odds = np.exp2(-(bits - least[:, None]) * weight[:, None]).sum(axis=1)
+    names = np.array(trees.langs, object)[best]
+    return np.where(known, names, UNKNOWN), np.where(known, 1 / odds, 0.0), np.where(known, least / np.maximum(sizes, 1), 0.0)
+
+
 def identify(spark: SparkSession, documents: DataFrame, trees: Trees) -> DataFrame:
-    """Adds lang_pred, score (the posterior of lang_pred under equal priors) and bits_per_byte to doc_id and text.
+    """doc_id, lang_pred, score (the posterior of lang_pred under equal priors) and bits_per_byte of every row's whole text.
 
     A null, empty or letterless text is `und` with score 0; so is every text if nothing was learned.
     Equal code lengths: the first language by name. Repeated rows each get their row; columns besides doc_id and text are ignored.
@@ -156,33 +173,28 @@ def identify(spark: SparkSession, documents: DataFrame, trees: Trees) -> DataFra
     model = spark.sparkContext.broadcast(trees)
 
     def score(batches: Iterator[pa.RecordBatch]):
-        trees = model.value
         for rows, data, at in text_blocks(batches):
-            sizes = np.diff(at)
-            letters = np.concatenate([[0], np.cumsum(LETTER[data])])
-            letters = letters[at[1:]] - letters[at[:-1]]
-            text = row_of_batch(rows, "text")
-            known = np.array([bool(n) or (size > 0 and has_letter(text[i].as_py())) for i, (n, size) in enumerate(zip(letters, sizes, strict=True))], bool)
-            if trees.langs:
-                bits = code_lengths(trees, data, at)
-                best = bits.argmin(axis=1)
-                least = bits[np.arange(len(best)), best]
-                weight = np.minimum(sizes, EVIDENCE_BYTES) / np.maximum(sizes, 1)
-                odds = np.exp2(-(bits - least[:, None]) * weight[:, None]).sum(axis=1)
-                names = np.array(trees.langs, object)[best]
-            else:
-                known[:], least, odds, names = False, np.zeros(len(sizes)), np.ones(len(sizes)), np.full(len(sizes), UNKNOWN, object)
-            yield pa.record_batch([
-                row_of_batch(rows, "doc_id"),
-                pa.array(np.where(known, names, UNKNOWN), pa.string()),
-                pa.array(np.where(known, 1 / odds, 0.0), pa.float64()),
-                pa.array(np.where(known, least / np.maximum(sizes, 1), 0.0), pa.float64()),
-            ], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            lang, sure, bits = judged(model.value, rows, data, at)
+            yield pa.record_batch([row_of_batch(rows, "doc_id"), pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(bits, pa.float64())], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_known(spark: SparkSession, documents: DataFrame, trees: Trees, least_score: float = 0.5) -> DataFrame:
+    """The rows whose language is identified with least_score at least, in the same columns; a null lang takes the identified one."""
+    model = spark.sparkContext.broadcast(trees)
+
+    def keep(batches: Iterator[pa.RecordBatch]):
+        for rows, data, at in text_blocks(batches):
+            lang, sure, _ = judged(model.value, rows, data, at)
+            place = rows.schema.get_field_index("lang")
+            filled = pc.coalesce(rows.column(place), pa.array(lang, rows.schema.field(place).type))
+            yield rows.set_column(place, rows.schema.field(place), filled).filter(pa.array((lang != UNKNOWN) & (sure >= least_score)))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(crc_rest(F.col("doc_id"), 5) == 0, F.lit(False))

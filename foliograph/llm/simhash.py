@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import row_of_batch, table, text_blocks
@@ -126,6 +126,15 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """One row of each group of near_duplicates(), the one of its component_id, in the same columns. Of several rows with that doc_id, the one of the least xxhash64 of its text."""
+    found = near_duplicates(documents, k)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = documents.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    return rows.withColumn("_row", F.row_number().over(first)).filter(F.col("_row") == 1).select(documents.columns)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
