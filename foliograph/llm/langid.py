@@ -26,6 +26,8 @@ from foliograph.llm.common import crc_rest, row_of_batch, table, text_blocks
 ORDER = 3
 #: Documents of each language that the trees are counted on, at most.
 SAMPLE_DOCS = 400
+#: Hash parts by language in which the sample is drawn before it is drawn by language.
+PARTS = 16
 #: A context seen fewer times than this in all languages together is not kept.
 LEAST_CONTEXT = 8
 #: The posterior counts at most so many bytes of evidence, lest every score be 1.
@@ -137,8 +139,12 @@ def has_letter(text: str | None) -> bool:
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Trees:
     """Counts the trees on at most sample_docs documents of each language (the least xxhash64(doc_id)); rows without text or language teach nothing."""
     known = documents.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample_docs).select("doc_id").distinct()
+    # first the least of every hash bucket, so that no task ranks all documents of a large language
+    ids = known.withColumn("_part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(PARTS)))
+    for keys in (["lang", "_part"], ["lang"]):
+        first = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample_docs).drop("_n")
+    ids = ids.select("doc_id").distinct()
     rows = documents.join(F.broadcast(ids), "doc_id").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"])):

@@ -81,7 +81,7 @@ def derived_entries(pages: DataFrame) -> DataFrame:
 
 def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(derived_captures(pages), derived_entries(pages))
+    return filter_urls(derived_captures(pages), derived_entries(pages)).withColumn("fetched", F.col("fetched").cast("string"))
 
 
 def _crc32_sql(column: str) -> str:
@@ -107,7 +107,7 @@ v AS (SELECT * FROM (SELECT list, pattern, action, at_day AS since, lead(at_day)
 k AS (SELECT page_id, url, host, pattern, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched FROM {_PATTERNS}),
 x AS (SELECT k.page_id, k.url, count(*) AS n_active, string_agg(DISTINCT v.list, ',' ORDER BY v.list) AS lists, string_agg(DISTINCT v.pattern, ',' ORDER BY v.pattern) AS rules
   FROM k JOIN v ON k.pattern = v.pattern AND k.fetched >= v.since AND (v.until IS NULL OR k.fetched < v.until) GROUP BY ALL)
-SELECT p.page_id, p.url, DATE '2024-01-01' + CAST(p.page_id % 365 AS INTEGER) AS fetched, CAST(count(*) AS BIGINT) AS n_rows,
+SELECT p.page_id, p.url, CAST(CAST(DATE '2024-01-01' + CAST(p.page_id % 365 AS INTEGER) AS DATE) AS VARCHAR) AS fetched, CAST(count(*) AS BIGINT) AS n_rows,
   regexp_replace(lower(regexp_extract(coalesce(p.url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '[.]$', '') AS host,
   CAST(coalesce(any_value(x.n_active), 0) AS BIGINT) AS n_active, coalesce(any_value(x.lists), '') AS lists, coalesce(any_value(x.rules), '') AS rules, coalesce(any_value(x.n_active), 0) > 0 AS blocked
 FROM pages p LEFT JOIN x ON p.page_id = x.page_id AND p.url = x.url GROUP BY p.page_id, p.url
