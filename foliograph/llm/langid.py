@@ -187,7 +187,7 @@ def identify(spark: SparkSession, documents: DataFrame, trees: Trees) -> DataFra
     return documents.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_known(spark: SparkSession, documents: DataFrame, trees: Trees, least_score: float = 0.5) -> DataFrame:
+def keep_known(spark: SparkSession, documents: DataFrame, trees: Trees, least_score: float = 0.35) -> DataFrame:
     """The rows whose language is identified with least_score at least, in the same columns; a null lang takes the identified one."""
     model = spark.sparkContext.broadcast(trees)
 
