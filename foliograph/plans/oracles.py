@@ -203,8 +203,8 @@ def oracle_sql() -> dict[str, str]:
         "position": f"WITH qq AS ({queue('skip')}) SELECT b.book_id, b.block_id AS target, CAST(coalesce(min(pos) FILTER (qq.block_id = b.block_id), min(pos) FILTER (qq.block_id > b.block_id), max(pos)) AS BIGINT) AS pos FROM (SELECT book_id, block_id FROM {DOC_BLOCKS} WHERE type = 'footnote') b JOIN qq ON b.book_id = qq.book_id GROUP BY b.book_id, b.block_id",
         "reading_window": f"WITH qq AS ({end}) SELECT qq.book_id, h.here, pos, block_id FROM qq JOIN (SELECT book_id, CAST(count(*) // 2 AS BIGINT) AS here FROM qq GROUP BY book_id) h ON qq.book_id = h.book_id WHERE pos >= here - 25 AND pos < here + 45",
         "reading_list": f"SELECT i.pos, i.book_id, b.words, CAST(floor(b.words * (1 - coalesce(p.fraction, 0.0)) + 0.5) AS BIGINT) AS words_left, coalesce(p.fraction, 0.0) > 0.01 AS started FROM (SELECT conv_id AS pos, conv_id * 7 AS book_id FROM conversations GROUP BY conv_id) i JOIN {sizes} b ON i.book_id = b.book_id LEFT JOIN {progress} p ON i.book_id = p.book_id",
-        "wpm": f"SELECT reader, CAST(day AS VARCHAR) AS day, words, ms, wpm, CASE WHEN wpm > 40 THEN CAST(wpm AS DOUBLE) ELSE 165.0 END AS effective FROM (SELECT reader, day, CAST(sum(words) AS BIGINT) AS words, CAST(sum(ms) AS BIGINT) AS ms, CASE WHEN sum(ms) > 20000 THEN CAST(floor(sum(words) / sum(ms) * 60000 + 0.5) AS BIGINT) END AS wpm FROM {PLAYLOG} GROUP BY reader, day)",
-        "running_wpm": f"SELECT reader, event_id, CASE WHEN t > 20000 THEN CAST(floor(w / t * 60000 + 0.5) AS BIGINT) END AS wpm FROM (SELECT reader, event_id, sum(words) OVER o AS w, sum(ms) OVER o AS t FROM {PLAYLOG} WINDOW o AS (PARTITION BY reader ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))",
+        "wpm": f"SELECT reader, CAST(day AS VARCHAR) AS day, words, ms, CAST(wpm AS DOUBLE) AS wpm, CASE WHEN wpm > 40 THEN CAST(wpm AS DOUBLE) ELSE 165.0 END AS effective FROM (SELECT reader, day, CAST(sum(words) AS BIGINT) AS words, CAST(sum(ms) AS BIGINT) AS ms, CASE WHEN sum(ms) > 20000 THEN CAST(floor(sum(words) / sum(ms) * 60000 + 0.5) AS BIGINT) END AS wpm FROM {PLAYLOG} GROUP BY reader, day)",
+        "running_wpm": f"SELECT reader, event_id, CASE WHEN t > 20000 THEN CAST(floor(w / t * 60000 + 0.5) AS DOUBLE) END AS wpm FROM (SELECT reader, event_id, sum(words) OVER o AS w, sum(ms) OVER o AS t FROM {PLAYLOG} WINDOW o AS (PARTITION BY reader ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))",
         "progress_latest": f"SELECT reader, ts, event_id, words FROM {PLAYLOG} QUALIFY row_number() OVER (PARTITION BY reader ORDER BY ts DESC, event_id DESC) = 1",
         "upsert_delete": "SELECT doc_id, lang, source, n_chars FROM documents ANTI JOIN labels USING (doc_id)",
     }

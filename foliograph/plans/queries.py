@@ -134,11 +134,11 @@ def reading_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wpm(spark: SparkSession, d: str) -> DataFrame:
-    return P.speaking_rate(S.playlog(spark, d), ["reader", "day"]).withColumn("day", F.col("day").cast("string"))
+    return P.speaking_rate(S.playlog(spark, d), ["reader", "day"]).withColumn("day", F.col("day").cast("string")).withColumn("wpm", F.col("wpm").cast("double"))
 
 
 def running_wpm(spark: SparkSession, d: str) -> DataFrame:
-    return P.running_rate(S.playlog(spark, d), ["reader"])
+    return P.running_rate(S.playlog(spark, d), ["reader"]).withColumn("wpm", F.col("wpm").cast("double"))
 
 
 def progress_latest(spark: SparkSession, d: str) -> DataFrame:
