@@ -33,6 +33,8 @@ LIST_ROWS, MAX_LISTS, REPLICAS, REPLICA_RATIO, TARGET_RECALL = 256, 4096, 4, 1.0
 DEGREE, ITERATIONS = 16, 12
 #: Rows of a list, and queries of a list, that one task compares at once; larger ones are dealt over blocks of both.
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4_000
+#: Vectors that walk the graph together.
+BLOCK_SEARCH = 500
 
 
 @dataclass
@@ -167,7 +169,8 @@ def calibrated(index: Index, x: np.ndarray, k: int) -> float:
     q = x[np.linspace(0, len(x) - 1, min(len(x), SAMPLE_QUERIES)).astype(int)].copy()
     q[:, -1] = 0
     d = np.sqrt(squares(q, index.centroids))
-    rows, lists = replicas(index, x)
+    parts = [(i, replicas(index, x[i : i + BLOCK_SEARCH])) for i in range(0, len(x), BLOCK_SEARCH)]
+    rows, lists = np.concatenate([i + r for i, (r, _) in parts]), np.concatenate([j for _, (_, j) in parts])
     best = np.argsort(-(q @ x.T), axis=1)[:, : k + 1]
     own = np.full((len(x), len(index.centroids)), False)
     own[rows, lists] = True
@@ -193,8 +196,8 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
 
     def placed(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, BLOCK_SEARCH):
+                part = batch.slice(i, BLOCK_SEARCH)
                 rows, lists = replicas(shared.value, completed(matrix(row_of_batch(part, "embedding")), shared.value.norm))
                 yield pa.record_batch([pa.array(lists, pa.int32()), *(row_of_batch(part, c).take(pa.array(rows)) for c in ("vec_id", "embedding"))], ["list", "vec_id", "embedding"])
 
@@ -205,8 +208,8 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
 
     def probed(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, BLOCK_SEARCH):
+                part = batch.slice(i, BLOCK_SEARCH)
                 x = matrix(row_of_batch(part, "embedding"))
                 q = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
                 d = graph_search(shared.value, q, shared.value.ratio, least)
