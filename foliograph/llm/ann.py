@@ -31,8 +31,8 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 200
 #: Vectors by list, before replicas; lists at most; replicas of a boundary vector and their distance ratio; recall that the ratio is calibrated to.
 LIST_ROWS, MAX_LISTS, REPLICAS, REPLICA_RATIO, TARGET_RECALL = 256, 4096, 4, 1.04, 0.96
 DEGREE, ITERATIONS = 16, 12
-#: Rows of a list, and queries of a list, that one task compares at once; larger ones are dealt over blocks of both.
-BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4_000
+#: Whole lists are put together to shards of so many rows; a longer list is a shard of its own, dealt over blocks of so many. Probes of a shard that one task takes.
+BLOCK_ROWS, BLOCK_PROBES = 20_000, 20_000
 #: Vectors that walk the graph together.
 BLOCK_SEARCH = 500
 
@@ -219,39 +219,59 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
     queries = own.filter(is_query).distinct()
     probes = queries.mapInArrow(probed, f"list int, vec_id {kind}, embedding array<{item}>")
     asked = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame([(int(j), -(-n // BLOCK_ROWS), -(-asked.get(j, 0) // BLOCK_QUERIES)) for j, n in sizes.items() if asked.get(j)] or [(-1, 1, 1)], "list int, rows int, queries int")
+    shards, shard, held = [], 0, 0
+    for j, n in sorted(sizes.items()):
+        if held and held + n > BLOCK_ROWS:
+            shard, held = shard + 1, 0
+        held += n
+        shards.append((int(j), shard, -(-n // BLOCK_ROWS)))
+    wanted: dict[int, int] = {}
+    for j, own_shard, _ in shards:
+        wanted[own_shard] = wanted.get(own_shard, 0) + asked.get(j, 0)
+    blocks = spark.createDataFrame([(j, x, rows, max(1, -(-wanted[x] // BLOCK_PROBES))) for j, x, rows in shards if asked.get(j)] or [(-1, 0, 1, 1)], "list int, shard int, rows int, queries int")
 
     def dealt(df: DataFrame, own_part: str, other: str, own_name: str, other_name: str) -> DataFrame:
         """Own rows go to one block of their side, and to every block of the other's."""
         parts = df.join(F.broadcast(blocks), "list").withColumn(own_name, F.pmod(F.xxhash64("vec_id"), F.col(own_part)).cast("int"))
-        return parts.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("rows", "queries")
-
-    left = dealt(postings, "rows", "queries", "r", "q").groupBy("list", "r", "q")
-    right = dealt(probes, "queries", "rows", "q", "r").groupBy("list", "r", "q")
+        return parts.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("list", "vec_id", "embedding", (F.col("shard") + F.lit(0)).alias("shard"), "r", "q")
+
+    left = dealt(postings, "rows", "queries", "r", "q").groupBy("shard", "r", "q")
+    right = dealt(probes, "queries", "rows", "q", "r").groupBy("shard", "r", "q")
+
+    def nearest(va, ia, vb, ib) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """A list against the queries that probe it: each one's k best, and what may tie with them in rounding."""
+        slack = 1e-9 * float(np.abs(va).max() * np.abs(vb).max()) * va.shape[1]
+        for i in range(0, len(vb), 256):
+            near = vb[i : i + 256] @ va.T
+            near[ib[i : i + 256, None] == ia[None, :]] = -np.inf
+            m = min(k, near.shape[1])
+            floor = -np.partition(-near, m - 1, axis=1)[:, m - 1] - slack
+            r, c = np.nonzero((near >= floor[:, None]) & np.isfinite(near))
+            score = np.zeros(len(r))
+            for j in range(va.shape[1]):
+                score += vb[i + r, j] * va[c, j]
+            yield best(ib[i + r], ia[c], score)
+
+    def best(q, v, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best different vec_ids of every query."""
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        fresh = np.ones(len(q), bool)
+        fresh[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (s[1:] != s[:-1])
+        q, v, s = q[fresh], v[fresh], s[fresh]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[top], v[top], s[top]
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        """All lists of a shard, one after the other; each query keeps its k best of the shard."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if a.num_rows and b.num_rows:
-            va, ia = matrix(a["embedding"]), a["vec_id"].to_numpy()
-            vb, ib = matrix(b["embedding"]), b["vec_id"].to_numpy()
-            order = np.argsort(ia, kind="stable")
-            va, ia = va[order], ia[order]
-            slack = 1e-9 * float(np.abs(va).max() * np.abs(vb).max()) * va.shape[1]
-            for i in range(0, len(vb), 256):
-                near = vb[i : i + 256] @ va.T
-                near[ib[i : i + 256, None] == ia[None, :]] = -np.inf
-                m = min(k, near.shape[1])
-                floor = -np.partition(-near, m - 1, axis=1)[:, m - 1] - slack
-                r, c = np.nonzero((near >= floor[:, None]) & np.isfinite(near))
-                score = np.zeros(len(r))
-                for j in range(va.shape[1]):
-                    score += vb[i + r, j] * va[c, j]
-                best = np.lexsort((ia[c], -score, r))
-                r, c, score = r[best], c[best], score[best]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                top = place < k
-                out.append((ib[i + r[top]], ia[c[top]], score[top]))
-        q, v, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            va, ia, la = matrix(a["embedding"]), a["vec_id"].to_numpy(), a["list"].to_numpy()
+            vb, ib, lb = matrix(b["embedding"]), b["vec_id"].to_numpy(), b["list"].to_numpy()
+            for j in np.intersect1d(la, lb).tolist():
+                x, y = np.flatnonzero(la == j), np.flatnonzero(lb == j)
+                out += nearest(va[x], ia[x], vb[y], ib[y])
+        q, v, s = best(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": pa.array(q, ia_type), "vec_id": pa.array(v, ia_type), "score": pa.array(s, pa.float64())})
 
     ia_type = pa.int64() if kind == "bigint" else pa.int32()
