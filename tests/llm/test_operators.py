@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliograph.llm import ann, bpe, decontam, langid, licenses, pii, quality, simhash, toxicity, urlfilter
+from foliograph.llm import ann, bpe, decontam, langid, licenses, pii, quality, similar, simhash, toxicity, urlfilter
 from foliograph.llm.graph import components
 
 SF = "/root/testdata/sf0.01"
@@ -211,6 +211,39 @@ def test_simhash_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    cut = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+def test_similar(spark, odd):
+    """Against all pairs: a group longer than a list, near copies of 1 to 9 changed words, texts that share a long passage only."""
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts, base, passage = [word(150) for _ in range(40)], word(300), word(60)
+    for t in texts[:30]:
+        copy = list(t)
+        for i in rng.integers(0, len(t), rng.integers(1, 10)):
+            copy[i] = "x"
+        texts.append(copy)
+    for i in range(90):
+        texts.append([*base[:i], "changed", *base[i + 1 :]])
+    texts += [word(15) + passage + word(15) for _ in range(90)]
+    texts = [" ".join(t) for t in texts]
+    rows = similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    group = {r["doc_id"]: r["component_id"] for r in rows}
+    assert len(rows) == len(texts) == len(group)
+    for a in range(len(texts)):
+        for b in range(a):
+            j = jaccard(texts[a], texts[b])
+            assert j < 0.87 or group[a] == group[b]
+            assert j > 0.7 or group[a] != group[b]
+    assert len({group[i] for i in range(70, 160)}) == 1
+    kept = similar.keep_one(odd)
+    assert kept.columns == odd.columns and kept.filter("doc_id = 5").count() == 1 and kept.filter("doc_id in (1, 2, 3)").count() == 1
+    assert similar.near_duplicates(odd).count() == len(ODD) and similar.near_duplicates(odd.limit(0)).count() == 0
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
