@@ -211,11 +211,6 @@ def test_simhash_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-def jaccard(a, b):
-    cut = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
-    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
-
-
 def test_similar(spark, odd):
     """Against all pairs: a group longer than a list, near copies of 1 to 9 changed words, texts that share a long passage only."""
     rng = np.random.default_rng(3)
@@ -233,9 +228,10 @@ def test_similar(spark, odd):
     rows = similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     group = {r["doc_id"]: r["component_id"] for r in rows}
     assert len(rows) == len(texts) == len(group)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
     for a in range(len(texts)):
         for b in range(a):
-            j = jaccard(texts[a], texts[b])
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
             assert j < 0.87 or group[a] == group[b]
             assert j > 0.7 or group[a] != group[b]
     assert len({group[i] for i in range(70, 160)}) == 1
