@@ -37,6 +37,8 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int
             j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+    # workers live on between tasks; what the last batch took need not
+    pa.default_memory_pool().release_unused()
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
