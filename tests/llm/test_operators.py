@@ -240,6 +240,37 @@ def test_similar(spark, odd):
     assert similar.near_duplicates(odd).count() == len(ODD) and similar.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_similar_hub(spark):
+    """One list of 12 sketches: 0 matches 1, and 1 matches 2, which 0 does not; the others match none."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(1, 255, (12, similar.POSITIONS)).astype(np.uint8)
+    x[1:3] = x[0]
+    x[1:3, 6:120:6] += 1
+    x[1:3, 200:237] += 1
+    x[2, 7:120:6] += 1
+    x[2, 120:157] += 1
+    x[:, :6] = 7
+    assert (x[0] == x[1]).sum() == (x[1] == x[2]).sum() == 200 and (x[0] == x[2]).sum() == 144
+    nodes = spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "node long, sketch binary")
+    assert {(r["node"], r["root"]) for r in similar.roots(nodes).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_similar_long_lists(spark, monkeypatch):
+    """Pairs of 0.88 among 600 texts that share a passage, thus meet in long lists, and pairs of long lists dealt over several blocks."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    passage, texts = word(250), []
+    for _ in range(300):
+        own = word(60)
+        texts += [[*passage, *own, *word(20)], [*passage, *own, *word(20)]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    for block, side in ((similar.BLOCK, similar.SIDE), (8, 6)):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        monkeypatch.setattr(similar, "SIDE", side)
+        group = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+        assert group == {i: i - i % 2 for i in range(600)}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
