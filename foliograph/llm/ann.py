@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import row_of_batch, table
+from foliograph.llm.graph import checkpointed
 
 K, QUERY_EVERY = 20, 20
 #: Vectors that centroids and the ratio are fitted on (the least xxhash64(vec_id)), and sample queries of the calibration.
@@ -184,7 +185,8 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
     vectors: vec_id and embedding; rows of other dimensions than the index's, and those that usable() rejects, take no part, neither do rows
     without vec_id. A vec_id that occurs again is one candidate (of its scores the largest counts) and one query for each different vector.
     """
-    whole = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    # written once: each of the steps below reads it, and none is to see a row twice
+    whole = checkpointed(vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct())
     kind = vectors.schema["vec_id"].dataType.simpleString()
     schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
     index = index or build(whole, k)
@@ -202,8 +204,9 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
                 yield pa.record_batch([pa.array(lists, pa.int32()), *(row_of_batch(part, c).take(pa.array(rows)) for c in ("vec_id", "embedding"))], ["list", "vec_id", "embedding"])
 
     postings = own.mapInArrow(placed, f"list int, vec_id {kind}, embedding array<{item}>")
-    sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows at most
-    mean = max(1, sum(sizes.values()) // max(1, len(sizes)))
+    held = postings.groupBy("list", "vec_id").agg(F.count("*").alias("n")).groupBy("list").agg(F.sum("n").alias("n"), F.count("*").alias("ids")).collect()  # MAX_LISTS rows at most
+    sizes = {r["list"]: r["n"] for r in held}
+    mean = max(1, sum(r["ids"] for r in held) // max(1, len(held)))
     least = min(len(index.centroids), 2 + REPLICAS * (k + 1) * 2 // mean)
 
     def probed(batches: Iterator[pa.RecordBatch]):
@@ -216,14 +219,14 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
                 rows, lists = selected(d, shared.value.ratio, least)
                 yield pa.record_batch([pa.array(lists, pa.int32()), *(row_of_batch(part, c).take(pa.array(rows)) for c in ("vec_id", "embedding"))], ["list", "vec_id", "embedding"])
 
-    queries = own.filter(is_query).distinct()
+    queries = own.filter(is_query)
     probes = queries.mapInArrow(probed, f"list int, vec_id {kind}, embedding array<{item}>")
     asked = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    shards, shard, held = [], 0, 0
+    shards, shard, filled = [], 0, 0
     for j, n in sorted(sizes.items()):
-        if held and held + n > BLOCK_ROWS:
-            shard, held = shard + 1, 0
-        held += n
+        if filled and filled + n > BLOCK_ROWS:
+            shard, filled = shard + 1, 0
+        filled += n
         shards.append((int(j), shard, -(-n // BLOCK_ROWS)))
     wanted: dict[int, int] = {}
     for j, own_shard, _ in shards:
@@ -239,13 +242,17 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
     right = dealt(probes, "queries", "rows", "q", "r").groupBy("shard", "r", "q")
 
     def nearest(va, ia, vb, ib) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """A list against the queries that probe it: each one's k best, and what may tie with them in rounding."""
+        """A list against the queries that probe it: each one's k best vec_ids, and what may tie with them in rounding."""
+        order = np.argsort(ia, kind="stable")
+        va, ia = va[order], ia[order]
+        heads = np.flatnonzero(np.concatenate([[True], ia[1:] != ia[:-1]]))
         slack = 1e-9 * float(np.abs(va).max() * np.abs(vb).max()) * va.shape[1]
         for i in range(0, len(vb), 256):
             near = vb[i : i + 256] @ va.T
             near[ib[i : i + 256, None] == ia[None, :]] = -np.inf
-            m = min(k, near.shape[1])
-            floor = -np.partition(-near, m - 1, axis=1)[:, m - 1] - slack
+            by_id = near if len(heads) == len(ia) else np.maximum.reduceat(near, heads, axis=1)
+            m = min(k, len(heads))
+            floor = -np.partition(-by_id, m - 1, axis=1)[:, m - 1] - slack
             r, c = np.nonzero((near >= floor[:, None]) & np.isfinite(near))
             score = np.zeros(len(r))
             for j in range(va.shape[1]):
@@ -253,12 +260,14 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
             yield best(ib[i + r], ia[c], score)
 
     def best(q, v, s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k best different vec_ids of every query."""
-        order = np.lexsort((v, -s, q))
+        """The k best different vec_ids of every query, each with its largest score."""
+        order = np.lexsort((-s, v, q))
         q, v, s = q[order], v[order], s[order]
         fresh = np.ones(len(q), bool)
-        fresh[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1]) | (s[1:] != s[:-1])
+        fresh[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])
         q, v, s = q[fresh], v[fresh], s[fresh]
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
         top = np.arange(len(q)) - np.searchsorted(q, q) < k
         return q[top], v[top], s[top]
 

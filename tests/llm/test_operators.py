@@ -135,6 +135,21 @@ def test_neighbours(spark):
     assert ann.search(spark, df.filter("vec_id >= 1000 and vec_id < 1004"), F.lit(True)).count() == 0
 
 
+def test_neighbours_repeated(spark):
+    """Rows that stand several times, and a vec_id of many vectors next to a query, take one place each."""
+    x = np.random.default_rng(1).normal(size=(600, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.build(df, 20, list_rows=40)
+    result = lambda rows: {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(spark, rows, F.col("vec_id") % 20 == 0, 20, index).collect()}
+    once = result(df)
+    assert len(once) == 600 and result(df.unionByName(df)) == once
+    near = spark.createDataFrame([(601, (x[0] * (1 - i / 1000)).tolist()) for i in range(30)], df.schema)
+    many = result(df.unionByName(near))
+    first = [once[0, k] for k in range(1, 21)]
+    place = sum(x[0] @ x[i] > x[0] @ x[0] for i in first)
+    assert place < 19 and [many[0, k] for k in range(1, 21)] == [*first[:place], 601, *first[place:19]]
+
+
 def test_urls(spark):
     entries = spark.createDataFrame([("l", "bad.com", "add", 5), ("l", "bad.com", "remove", 9), ("l", "bad.com", "remove", 9), ("l", "x.org/p", "add", 1), ("l", None, "add", 1)], "list string, pattern string, action string, at int")
     pages = [(1, "http://a.BAD.com/x", 5), (2, "https://u@bad.com:80/", 8), (3, "http://bad.com", 9), (4, "http://bad.com", 4), (5, "http://x.org/p/q?r", 3), (6, None, 3), (7, "", 3), (8, "http://bad.com", None), (1, "http://a.BAD.com/x", 5)]
