@@ -255,6 +255,25 @@ def test_similar(spark, odd):
     assert similar.near_duplicates(odd).count() == len(ODD) and similar.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_similar_exact(spark):
+    """Pairs about the threshold: grouped by the similarity of their shingles, on either side of 0.8; and groups of many such pairs."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    texts = []
+    for i in range(200):
+        own = word(204)
+        texts += [own, [*own[: 181 + i % 4 * 2], *word(23 - i % 4 * 2)]]
+    base = word(204)
+    texts += [[*base[:184], *word(20)] for _ in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    group = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i in range(0, 400, 2)]
+    assert 50 <= sum(near) <= 150
+    assert all((group[2 * i + 1] == 2 * i) == same for i, same in enumerate(near))
+    assert len({group[i] for i in range(400, 430)}) == (1 if len(sets[400] & sets[401]) / len(sets[400] | sets[401]) >= 0.8 else 30)
+
+
 def test_similar_hub(spark):
     """One list of 12 sketches: 0 matches 1, and 1 matches 2, which 0 does not; the others match none."""
     rng = np.random.default_rng(4)
