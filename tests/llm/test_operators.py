@@ -274,6 +274,14 @@ def test_similar_exact(spark):
     assert len({group[i] for i in range(400, 430)}) == (1 if len(sets[400] & sets[401]) / len(sets[400] | sets[401]) >= 0.8 else 30)
 
 
+def test_similar_rows(spark):
+    """Different texts of one or no doc_id are documents of their own; a copy without doc_id goes."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (2, texts[3]), (2, texts[4]), (2, texts[4]), (3, texts[3])]
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame([rows[i] for i in (0, 2, 3, 4, 5)], "doc_id long, text string").collect()))
+
+
 def test_similar_hub(spark):
     """One list of 12 sketches: 0 matches 1, and 1 matches 2, which 0 does not; the others match none."""
     rng = np.random.default_rng(4)
