@@ -1,8 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams, scanned over all training windows.
 
-Every window of N words of every item is hashed; the hash set goes to the executors if it is small
-enough (MAX_WINDOWS), else the windows meet in a shuffle join. A window of a document whose hash is
-in the set is compared word by word before it counts.
+Every window of N words of every item is hashed and the hash set goes to the executors. Items of more
+than MAX_WINDOWS windows are dealt over several such sets, which look at the documents one after the
+other; the hits are written with the documents in between. A window of a document whose hash is in
+the set is compared word by word before it counts.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import LOWER, WORD_TABLE, row_of_batch, span_hashes, table, text_blocks, weighted, word_places
+from foliograph.llm.graph import checkpointed
 
 N = 10
-#: Windows of test items that are broadcast at most (about 150 bytes each); more are joined by shuffle.
+#: Windows of test items that are broadcast at once (about 150 bytes each), about; an item is not divided.
 MAX_WINDOWS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,39 +89,79 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> int:
     return benchmark.filter(F.col("text").isNotNull()).agg(F.sum(size)).first()[0] or 0
 
 
+#: Hits of earlier sets by row: first word, words, items, and the bytes of the text.
+HITS = "array<struct<first:int,size:int,ids:array<string>,a:int,b:int>>"
+
+
+def hits_of(items: WindowSet, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[int, list[dict]]]:
+    """Word offsets of the texts, and the hits (see HITS) of those that have some."""
+    cuts, hits = items.scan(data, at)
+    by: dict[int, list[dict]] = {}
+    for k, first, size, window, (a, b) in hits:
+        ids = [None if x is None else str(x) for x in items.items[window]]
+        by.setdefault(k, []).append({"first": first, "size": size, "ids": ids, "a": a - int(at[k]), "b": b - int(at[k])})
+    return cuts, by
+
+
+def searched(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, n: int, max_windows: int):
+    """Documents and a function of (rows, data, at) of their text blocks that gives what hits_of() gives for all items. Several sets leave their hits in a column _hits."""
+    parts = -(-benchmark_windows(benchmark, n) // max_windows)
+
+    def shared(own: DataFrame):
+        return spark.sparkContext.broadcast(WindowSet([tuple(r) for r in own.select("item_id", "text").collect()], n))
+
+    if parts <= 1:
+        items = shared(benchmark)
+        return documents, lambda rows, data, at: hits_of(items.value, data, at)
+    documents = documents.withColumn("_hits", F.array().cast(HITS))
+    for p in range(parts):
+        items = shared(benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p))
+
+        def look(batches: Iterator[pa.RecordBatch], items=items):
+            for rows, data, at in text_blocks(batches):
+                place = rows.schema.get_field_index("_hits")
+                found = rows.column(place).to_pylist()
+                for k, more in hits_of(items.value, data, at)[1].items():
+                    found[k] = [*found[k], *more]
+                yield rows.set_column(place, rows.schema.field(place), pa.array(found, rows.schema.field(place).type))
+
+        documents = checkpointed(documents.mapInArrow(look, documents.schema))
+        items.unpersist()
+
+    def written(rows, data, at):
+        return word_places(data, at)[2], {k: found for k, found in enumerate(row_of_batch(rows, "_hits").to_pylist()) if found}
+
+    return documents, written
+
+
 def scan(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans (code points of the hit runs, end exclusive) for every row of documents.
 
     Null and empty texts have no words and no hits; null item texts have no windows; items with the same window all count.
     A null item_id counts as an item of its own, written as an empty string. Repeated rows each get their row; other columns are not read.
     """
-    if benchmark_windows(benchmark, n) > max_windows:
-        return scan_by_join(documents, benchmark, n)
-    items = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in benchmark.select("item_id", "text").collect()], n))
+    documents, hits = searched(spark, documents.select("doc_id", "text"), benchmark, n, max_windows)
 
     def look(batches: Iterator[pa.RecordBatch]):
         for rows, data, at in text_blocks(batches):
-            cuts, hits = items.value.scan(data, at)
-            by: dict[int, list] = {}
-            for h in hits:
-                by.setdefault(h[0], []).append(h)
+            cuts, by = hits(rows, data, at)
             m = len(at) - 1
             n_hit, n_items, shas, spans = np.zeros(m, np.int64), np.zeros(m, np.int64), [hashlib.sha256(b"").hexdigest()] * m, [[]] * m
             for k, found in by.items():
                 covered = np.zeros(cuts[k + 1] - cuts[k], bool)
-                for _, i, size, _, _ in found:
-                    covered[i : i + size] = True
-                ids = set().union(*(items.value.items[h[3]] for h in found))
+                for h in found:
+                    covered[h["first"] : h["first"] + h["size"]] = True
+                ids = set().union(*(h["ids"] for h in found))
                 n_hit[k], n_items[k] = covered.sum(), len(ids)
-                shas[k] = hashlib.sha256(",".join(sorted("" if x is None else str(x) for x in ids)).encode()).hexdigest()
-                spans[k] = _merged(data[at[k] : at[k + 1]].tobytes(), [(a - int(at[k]), b - int(at[k])) for *_, (a, b) in found])
+                shas[k] = hashlib.sha256(",".join(sorted(x or "" for x in ids)).encode()).hexdigest()
+                spans[k] = _merged(data[at[k] : at[k + 1]].tobytes(), [(h["a"], h["b"]) for h in found])
             yield pa.record_batch([
                 row_of_batch(rows, "doc_id"), pa.array(np.diff(cuts), pa.int64()), pa.array(n_hit), pa.array(n_items), pa.array(shas), pa.array(n_hit > 0),
                 pa.array(spans, pa.list_(pa.list_(pa.int32()))),
             ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(look, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>")
+    return documents.mapInArrow(look, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>")
 
 
 def _merged(text: bytes, found: list[tuple[int, int]]) -> list[list[int]]:
@@ -134,7 +176,7 @@ def _merged(text: bytes, found: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def scan_by_join(documents: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """The same result for item sets of any size: windows of both sides meet in a shuffle join by their text. Rows of one doc_id and text are one document here and come out as often as they went in."""
+    """The same result without spans, which the tests compare with: windows of both sides meet in a shuffle join by their text. Rows of one doc_id and text are one document here and come out as often as they went in."""
     words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER_AZ, LOWER_AZ), F.lit(WORD), 0)
 
     def windows(size):
@@ -163,35 +205,31 @@ def scan_by_join(documents: DataFrame, benchmark: DataFrame, n: int = N) -> Data
     ).drop("_c")
 
 
-def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, n: int = N, max_share: float = 0.5) -> DataFrame:
-    """The documents with their benchmark passages cut out (a blank instead); those of whose words more than max_share are hit go. Same columns; n_chars counts anew where there is one. A null text stays null. With item sets beyond MAX_WINDOWS it raises ValueError: span removal needs the broadcast set."""
-    if benchmark_windows(benchmark, n) > MAX_WINDOWS:
-        raise ValueError(f"more than {MAX_WINDOWS} benchmark windows; split the benchmark and call once for each part")
-    items = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in benchmark.select("item_id", "text").collect()], n))
-    names = documents.columns
+def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, n: int = N, max_share: float = 0.5, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The documents with their benchmark passages cut out (a blank instead); those of whose words more than max_share are hit go. Same columns; n_chars counts anew where there is one. A null text stays null."""
+    names, schema = documents.columns, documents.schema
+    documents, hits = searched(spark, documents, benchmark, n, max_windows)
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for rows, data, at in text_blocks(batches):
-            cuts, hits = items.value.scan(data, at)
-            by: dict[int, list] = {}
-            for h in hits:
-                by.setdefault(h[0], []).append(h)
+            cuts, by = hits(rows, data, at)
             text = row_of_batch(rows, "text").to_pylist()
             kept = np.ones(len(text), bool)
             for k, found in by.items():
                 covered = np.zeros(cuts[k + 1] - cuts[k], bool)
-                for _, i, size, _, _ in found:
-                    covered[i : i + size] = True
+                for h in found:
+                    covered[h["first"] : h["first"] + h["size"]] = True
                 kept[k] = covered.mean() <= max_share
                 whole = text[k]
-                for a, b in reversed(_merged(whole.encode(), [(a - int(at[k]), b - int(at[k])) for *_, (a, b) in found])):
+                for a, b in reversed(_merged(whole.encode(), [(h["a"], h["b"]) for h in found])):
                     whole = whole[:a] + " " + whole[b:]
                 text[k] = whole
+            rows = rows.select(names)
             place = rows.schema.get_field_index("text")
             yield rows.set_column(place, rows.schema.field(place), pa.array(text, rows.schema.field(place).type)).filter(pa.array(kept))
 
-    out = documents.mapInArrow(cut, documents.schema)
-    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)).select(names) if "n_chars" in names else out
+    out = documents.mapInArrow(cut, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(names) if "n_chars" in names else out
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,18 @@ def test_decontamination(spark, odd):
     assert cut[9] == "zero   twelve" and cut[1] is None and decontam.scan(spark, docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_in_parts(spark, odd):
+    """More windows than one set may hold: the same rows, spans and texts as from one set."""
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(words[i * 5 : i * 5 + 12])) for i in range(10)] + [(10, "same text"), (None, "at all")], "item_id long, text string")
+    more = [(20, "é " + " ".join(words)), (21, "x y " * 20 + " ".join(words[3:25]) + " z" * 20), (22, "x " * 30 + " ".join(words[:10]))]
+    docs = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string").select("*", *[F.lit(odd.first()[c]).cast(odd.schema[c].dataType).alias(c) for c in odd.columns[2:]]))
+    rows = lambda df: sorted(map(str, df.collect()))
+    scanned, cut = rows(decontam.scan(spark, docs, bench)), rows(decontam.remove_spans(spark, docs, bench))
+    assert rows(decontam.scan(spark, docs, bench, max_windows=30)) == scanned
+    assert rows(decontam.remove_spans(spark, docs, bench, max_windows=30)) == cut and len(cut) < len(scanned)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 16))
