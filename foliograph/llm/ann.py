@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import row_of_batch, table
-from foliograph.llm.graph import checkpointed
+from foliograph.llm.graph import saved
 
 K, QUERY_EVERY = 20, 20
 #: Vectors that centroids and the ratio are fitted on (the least xxhash64(vec_id)), and sample queries of the calibration.
@@ -186,7 +186,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
     without vec_id. A vec_id that occurs again is one candidate (of its scores the largest counts) and one query for each different vector.
     """
     # written once: each of the steps below reads it, and none is to see a row twice
-    whole = checkpointed(vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct())
+    whole = saved(vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct())
     kind = vectors.schema["vec_id"].dataType.simpleString()
     schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
     index = index or build(whole, k)

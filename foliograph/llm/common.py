@@ -106,6 +106,13 @@ def weighted(values: np.ndarray) -> np.ndarray:
     return sums_before((values.astype(np.uint64) + np.uint64(1)) * powers(len(values)))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it as long as df has such a column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def crc_rest(column: Column, of: int) -> Column:
     """crc32 of a value as text, modulo `of`; null for null."""
     return F.crc32(column.cast("string")) % F.lit(of)

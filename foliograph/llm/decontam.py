@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import LOWER, WORD_TABLE, row_of_batch, span_hashes, table, text_blocks, weighted, word_places
-from foliograph.llm.graph import checkpointed
+from foliograph.llm.graph import saved
 
 N = 10
 #: Windows of test items that are broadcast at once (about 150 bytes each), about; an item is not divided.
@@ -125,7 +125,7 @@ def searched(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, n:
                     found[k] = [*found[k], *more]
                 yield rows.set_column(place, rows.schema.field(place), pa.array(found, rows.schema.field(place).type))
 
-        documents = checkpointed(documents.mapInArrow(look, documents.schema))
+        documents = saved(documents.mapInArrow(look, documents.schema))
         items.unpersist()
 
     def written(rows, data, at):

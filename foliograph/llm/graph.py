@@ -1,19 +1,34 @@
-"""Connected components by alternating large and small stars, and checkpoints in the shared folder."""
+"""Connected components by alternating large and small stars, and tables written into the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own_folder: list[str] = []
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set and all executors are in this machine's process, as in tests."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="foliograph-"))
+    return _own_folder[0]
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, written as Parquet into the shared folder and read again: the lineage ends here, the rows outlive lost executors, and the planner knows their size."""
+    path = f"{shared_folder(df.sparkSession)}/foliograph-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -31,15 +46,16 @@ def _small(e: DataFrame) -> DataFrame:
     return down.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each node of the links (u > v) either points to one other or is pointed to."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1 and down > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (u, v): root is the least node reachable. No node has to see all of its component at once: every step is a grouped minimum and a join."""
-    e = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not now[0] or tuple(now) == state:
-            break
-        state = tuple(now)
-        e = checkpointed(_small(_large(e)))
+    e = saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _are_stars(e):
+        e = saved(_small(_large(e)))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

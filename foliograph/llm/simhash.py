@@ -21,11 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import row_of_batch, table, text_blocks
-from foliograph.llm.graph import checkpointed, components
+from foliograph.llm.graph import components, saved
 
 SHINGLE = 3
 RADIUS = 2
@@ -96,7 +96,7 @@ def links(prints: DataFrame) -> DataFrame:
     lists = F.explode(F.array(*[F.struct(F.lit(i).alias("list"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(LISTS)]))
     postings = prints.select("fp", lists.alias("x")).select("fp", "x.*")
     sizes = postings.groupBy("list", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = checkpointed(postings.join(sizes, ["list", "key"]))
+    met = saved(postings.join(sizes, ["list", "key"]))
     short = met.filter(F.col("n") <= LONG_LIST)
     a, b = short.select("list", "key", F.col("fp").alias("u")), short.select("list", "key", F.col("fp").alias("v"))
     pairs = a.join(b, ["list", "key"]).filter("u < v").filter(shared_bytes(F.col("u"), F.col("v")) >= LEAST_SHARED)
@@ -116,7 +116,7 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     Rows of one fingerprint, thus exact copies, are one node from the start. Texts without words link to each other and to any print of at most two bits.
     Null doc_ids don't count for the smallest unless there is no other. Repeated rows each get their row.
     """
-    docs = checkpointed(fingerprints(documents, k))
+    docs = saved(fingerprints(documents, k))
     prints = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(prints.select("fp")))
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -126,15 +126,6 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """One row of each group of near_duplicates(), the one of its component_id, in the same columns. Of several rows with that doc_id, the one of the least xxhash64 of its text."""
-    found = near_duplicates(documents, k)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = documents.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return rows.withColumn("_row", F.row_number().over(first)).filter(F.col("_row") == 1).select(documents.columns)
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
