@@ -4,7 +4,8 @@ The network is trained from labelled spans: what the base rules find in a bounde
 and spans of further forms set into such texts. It reads overlapping windows; the tags of each
 window are decoded jointly (Viterbi), every character takes its tag from the window in which it
 stands most centrally, and runs of one kind are the spans of the whole text. By definition a span
-holds a digit or an @, so a window without either can only decode to "outside" and is not run.
+holds a digit or an @. So the windows that hold one are run, and then, as long as a run of one kind
+reaches the edge of what has been decoded, the windows beside it: the spans are those of all windows.
 Base spans stay; a decoded span is added where it keeps the bounds of its kind and meets no base span.
 """
 
@@ -26,8 +27,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 #: `secret`: keys and tokens of letters and digits, which only the network finds.
 KINDS = (*BASE_KINDS, "secret")
 WIDTH, STRIDE = 96, 48
-#: Sample texts that the network is trained on at most (the least xxhash64(doc_id) among those with a digit or @), and characters of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 800, 3_000_000
+#: Sample texts that the network is trained on at most (the least xxhash64(doc_id) among those with a digit or @), and characters of such a text at most.
+SAMPLE_DOCS, SAMPLE_CHARS = 800, 20_000
+#: Windows that are decoded together; always so many, as a matrix product may round by the number of its rows.
+TOGETHER = 128
 CLASSES, EMBED, HIDDEN, TAGS = 32, 10, 14, len(KINDS) + 1
 WINDOWS, EPOCHS, BATCH, RATE = 2000, 5, 48, 0.02
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -310,55 +313,68 @@ def training_windows(texts: list[str], windows: int = WINDOWS, seed: int = 5) ->
 
 
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    anchored = documents.filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
-    ids = anchored.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = anchored.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
-    texts, room = [], SAMPLE_CHARS
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
-        if (room := room - len(r["text"])) >= 0:
-            texts.append(r["text"])
-    return fit(*training_windows(texts))
-
-
-def windows_of(points: np.ndarray, anchors: np.ndarray) -> list[int]:
-    """Starts of the windows that hold an anchor (code point places)."""
-    last = max(0, -(-(len(points) - WIDTH) // STRIDE))
-    hit = set()
-    for k in np.unique(anchors // STRIDE).tolist():
-        hit |= {min(max(j, 0), last) for j in (k - 1, k)}
-    return [k * STRIDE for k in sorted(hit)]
-
-
-def decode_spans(model: Model, texts: list[str], batch: int = 512) -> list[list[tuple[str, int, int]]]:
-    """Spans that the network finds in whole texts: windows of all texts are decoded together and reconciled by text."""
-    coded, jobs = [], []
-    for i, text in enumerate(texts):
-        points = classes_of(text)
-        coded.append(points)
-        jobs += [(i, s) for s in windows_of(points, np.flatnonzero((points == 2) | (points == 9)))]
-    tags = [np.zeros(len(p), np.int64) for p in coded]
+    """The network, fitted on at most sample_docs texts of up to SAMPLE_CHARS characters; of several texts of one doc_id, the least."""
+    anchored = documents.filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
+    rows = anchored.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).collect()
+    return fit(*training_windows([r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]))
+
+
+def windows_of(n: int, anchors: np.ndarray) -> np.ndarray:
+    """Numbers of the windows of a text of n code points that hold an anchor; window k begins at k * STRIDE."""
+    near = np.unique(anchors // STRIDE)
+    return np.unique(np.clip(np.concatenate([near - 1, near]), 0, max(0, -(-(n - WIDTH) // STRIDE))))
+
+
+def decoded(model: Model, windows: np.ndarray) -> np.ndarray:
+    """Best tags of any number of windows, TOGETHER at a time."""
+    out = np.zeros(windows.shape, np.int64)
+    for k in range(0, len(windows), TOGETHER):
+        part = windows[k : k + TOGETHER]
+        ids = np.zeros((TOGETHER, WIDTH), np.int8)
+        ids[: len(part)] = part
+        out[k : k + TOGETHER] = viterbi(emissions(model, ids), model.moves)[: len(part)]
+    return out
+
+
+def tags_of(model: Model, coded: list[np.ndarray], everywhere: bool = False) -> list[np.ndarray]:
+    """Tags of all code points of the texts' classes, each from the window in which it stands most centrally; 0 where no window was run.
+
+    Windows without an anchor are run (everywhere: from the start) when a tag other than 0 stands at the edge of a window that was run beside them.
+    """
     margin = (WIDTH - STRIDE) // 2
-    for k in range(0, len(jobs), batch):
-        part = jobs[k : k + batch]
-        ids = np.zeros((len(part), WIDTH), np.int8)
-        for r, (i, s) in enumerate(part):
-            own = coded[i][s : s + WIDTH]
-            ids[r, : len(own)] = own
-        found = viterbi(emissions(model, ids), model.moves)
-        for (i, s), row in zip(part, found, strict=True):
-            n = len(coded[i])
-            a, b = (0 if s == 0 else s + margin), (n if s + WIDTH >= n else s + WIDTH - margin)
+    last = [max(0, -(-(len(p) - WIDTH) // STRIDE)) for p in coded]
+    tags = [np.zeros(len(p), np.int64) for p in coded]
+    done: set[tuple[int, int]] = set()
+    jobs = [(i, k) for i, p in enumerate(coded) for k in (range(last[i] + 1) if everywhere else windows_of(len(p), np.flatnonzero((p == 2) | (p == 9))).tolist())]
+    while jobs:
+        windows = np.zeros((len(jobs), WIDTH), np.int8)
+        for r, (i, k) in enumerate(jobs):
+            own = coded[i][k * STRIDE : k * STRIDE + WIDTH]
+            windows[r, : len(own)] = own
+        done.update(jobs)
+        beside = []
+        for (i, k), row in zip(jobs, decoded(model, windows), strict=True):
+            s = k * STRIDE
+            a, b = (0 if k == 0 else s + margin), (len(coded[i]) if k == last[i] else s + WIDTH - margin)
             tags[i][a:b] = row[a - s : b - s]
+            if b > a:
+                beside += [(i, k - 1)] * bool(k > 0 and tags[i][a]) + [(i, k + 1)] * bool(k < last[i] and tags[i][b - 1])
+        jobs = sorted(set(beside) - done)
+    return tags
+
+
+def decode_spans(model: Model, texts: list[str], everywhere: bool = False) -> list[list[tuple[str, int, int]]]:
+    """Spans that the network finds in whole texts: windows of all texts are decoded together and reconciled by text."""
+    tags = tags_of(model, [classes_of(t) for t in texts], everywhere)
     out = []
     for text, t in zip(texts, tags, strict=True):
         edges = np.flatnonzero(np.diff(t, prepend=0, append=0))
         spans = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if t[a]:
-                raw = text[a:b]
-                a, b = a + len(raw) - len(raw.lstrip()), b - len(raw) + len(raw.rstrip())
-                if plausible(KINDS[t[a] - 1], text[a:b]):
-                    spans.append((KINDS[t[a] - 1], a, b))
+            if t[a] and (raw := text[a:b]).strip():
+                kind, a, b = KINDS[t[a] - 1], a + len(raw) - len(raw.lstrip()), b - len(raw) + len(raw.rstrip())
+                if plausible(kind, text[a:b]):
+                    spans.append((kind, a, b))
         out.append(spans)
     return out
 
