@@ -113,12 +113,13 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], se
             if langs[t]:
                 np.add.at(counts[:, names.index(langs[t])], texts[t][:, 0], 1)
         model.langs = np.log(counts / counts.sum(axis=0))
-    raw = np.array([_raw(model, texts[t]) for t in held])
-    tongue = np.array([_tongue(model, texts[t]) for t in held], int)
-    shared = _threshold(raw, labels[held])
-    model.cut = np.array([_threshold(raw[tongue == k], labels[held][tongue == k]) if (tongue == k).sum() >= LEAST_CALIBRATION else shared for k in range(model.langs.shape[1])])
     for a in ("embed", "langs"):
         setattr(model, a, getattr(model, a).astype(np.float32))
+    table = taps(model)
+    both = [judged(model, table, texts[t], np.array([0, len(texts[t])])) for t in held]
+    raw, tongue = np.array([r[0] for r, _ in both]), np.array([t[0] for _, t in both], int)
+    shared = _threshold(raw, labels[held])
+    model.cut = np.array([_threshold(raw[tongue == k], labels[held][tongue == k]) if (tongue == k).sum() >= LEAST_CALIBRATION else shared for k in range(model.langs.shape[1])])
     return model
 
 
@@ -134,42 +135,52 @@ def _threshold(raw: np.ndarray, label: np.ndarray) -> float:
     return float(np.clip(cuts[best], 0.05, 0.95))
 
 
-def _raw(model: Model, ids: np.ndarray) -> float:
-    return float(sigmoid(_pooled(model, model.embed[ids].sum(axis=1))[0] @ model.out + model.out_bias))
-
-
-def _tongue(model: Model, ids: np.ndarray) -> int:
-    return int(model.langs[ids[:, 0]].sum(axis=0).argmax())
-
-
 def bend(raw: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """The same order within a language, with its threshold at THRESHOLD."""
     return np.clip(np.where(raw < cut, THRESHOLD * raw / cut, THRESHOLD + (1 - THRESHOLD) * (raw - cut) / (1 - cut)), 0, 1)
 
 
-def responses(model: Model, ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Max-pooled filter responses of many texts at once, (texts, filters)."""
+def taps(model: Model) -> np.ndarray:
+    """What a bucket adds to each filter at each of its places, (BUCKETS, places * FILTERS): filters are linear in the embeddings, so they can be applied to the table first."""
+    return model.embed @ np.concatenate([f[o] for f in model.filters for o in range(len(f))], axis=1).astype(np.float32)
+
+
+def responses(model: Model, table: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Max-pooled filter responses of many texts at once, (texts, filters). Sums are taken element by element in one order, so a text's responses don't depend on the texts beside it."""
     n = len(cuts) - 1
     out = np.zeros((n, FILTERS * len(WIDTHS)), np.float32)
     if not len(ids):
         return out
-    x = model.embed[ids[:, 0]]
+    x = table[ids[:, 0]]
     for j in range(1, ids.shape[1]):
-        x += model.embed[ids[:, j]]
-    for k, (w, f, b) in enumerate(zip(WIDTHS, model.filters, model.bias, strict=True)):
+        x += table[ids[:, j]]
+    place = 0
+    for k, (w, b) in enumerate(zip(WIDTHS, model.bias, strict=True)):
         long = np.flatnonzero(np.diff(cuts) >= w)
-        if not len(long) or len(x) < w:
-            continue
-        y = x[: len(x) - w + 1] @ f[0].astype(np.float32)
-        for o in range(1, w):
-            y += x[o : len(x) - w + 1 + o] @ f[o].astype(np.float32)
-        # even places: where a text's windows begin; odd: where its last window ended
-        edges = np.stack([cuts[long], cuts[long + 1] - w + 1], axis=1).ravel()
-        edges = edges[:-1] if edges[-1] >= len(y) else edges
-        out[long, k * FILTERS : (k + 1) * FILTERS] = np.maximum(np.maximum.reduceat(y, edges, axis=0)[::2] + b, 0)
+        if len(long):
+            y = x[: len(x) - w + 1, place : place + FILTERS].copy()
+            for o in range(1, w):
+                y += x[o : len(x) - w + 1 + o, place + o * FILTERS : place + (o + 1) * FILTERS]
+            # even places: where a text's windows begin; odd: where its last window ended
+            edges = np.stack([cuts[long], cuts[long + 1] - w + 1], axis=1).ravel()
+            edges = edges[:-1] if edges[-1] >= len(y) else edges
+            out[long, k * FILTERS : (k + 1) * FILTERS] = np.maximum(np.maximum.reduceat(y, edges, axis=0)[::2] + b, 0)
+        place += w * FILTERS
     return out
 
 
+def judged(model: Model, table: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Raw scores and guessed languages of many texts."""
+    found = responses(model, table, ids, cuts)
+    total = np.full(len(found), model.out_bias, np.float64)
+    for k, w in enumerate(model.out.tolist()):
+        total += found[:, k] * w
+    tongue, full = np.zeros(len(found), np.int64), np.flatnonzero(np.diff(cuts))
+    if len(full):
+        tongue[full] = np.add.reduceat(model.langs[ids[:, 0]].astype(np.float64), cuts[:-1][full], axis=0).argmax(axis=1)
+    return sigmoid(total), tongue
+
+
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, sample_docs: int = SAMPLE_DOCS) -> Model:
     rows = training_rows(documents, labels, label, folds, held, sample_docs, ("text", "lang"))
     texts = []
@@ -187,14 +198,9 @@ def score_toxicity(spark: SparkSession, documents: DataFrame, model: Model) -> D
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]):
-        model = shared.value
+        model, table = shared.value, taps(shared.value)
         for rows, data, at in text_blocks(batches, most=1 << 19):
-            ids, cuts = features(data, at)
-            raw = sigmoid(responses(model, ids, cuts) @ model.out + model.out_bias)
-            sums = np.zeros((len(ids) + 1, model.langs.shape[1]))
-            if len(ids):
-                np.cumsum(model.langs[ids[:, 0]], axis=0, dtype=np.float64, out=sums[1:])
-            tongue = (sums[cuts[1:]] - sums[cuts[:-1]]).argmax(axis=1)
+            raw, tongue = judged(model, table, *features(data, at))
             yield pa.record_batch([row_of_batch(rows, "doc_id"), pa.array(bend(raw, model.cut[tongue]), pa.float64()), pa.array(tongue, pa.int64())], ["doc_id", "score", "lang_guess"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
