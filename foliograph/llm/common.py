@@ -118,10 +118,14 @@ def crc_rest(column: Column, of: int) -> Column:
     return F.crc32(column.cast("string")) % F.lit(of)
 
 
+#: Characters of a text that a model is fitted on, at most: a bound on what a sample of so many rows takes in bytes.
+SAMPLE_CHARS = 100_000
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, columns: tuple[str, ...] = ("text",)) -> list:
     """At most `most` labelled rows for each of the labels 0 and 1, those of least xxhash64(doc_id); a doc_id labelled twice counts with its larger label.
 
-    Only ids and labels are ranked; the chosen ids, at most 2 * most, are then looked up among the documents.
+    Only ids and labels are ranked; the chosen ids, at most 2 * most, are then looked up among the documents. Texts of more than SAMPLE_CHARS characters teach nothing.
     """
     known = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("_label"))
@@ -130,7 +134,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: in
     )
     chosen = [known.filter(F.col("_label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
-    rows = documents.select("doc_id", *columns).join(F.broadcast(ids), "doc_id").filter(F.col("text").isNotNull())
+    rows = documents.select("doc_id", *columns).join(F.broadcast(ids), "doc_id").filter(F.length("text") <= SAMPLE_CHARS)
     return sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
 
 

@@ -77,11 +77,19 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return shape, edge, shares, of
 
 
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, summed in one order whatever the number of rows: a passage's numbers don't depend on those beside it."""
+    out = x[:, :1] * w[0]
+    for k in range(1, len(w)):
+        out = out + x[:, k : k + 1] * w[k]
+    return out
+
+
 def encode(model: Model, shape: np.ndarray, edge: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """tanh encodings of all passages and their attention energies."""
     mean = np.add.reduceat(model.embed[shape], edge[:-1], axis=0) / np.diff(edge)[:, None]
-    h = np.tanh(mean + shares @ model.share + model.bias)
-    return h, (np.tanh(h @ model.tanh_gate) * sigmoid(h @ model.sigm_gate)) @ model.attend
+    h = np.tanh(mean + times(shares, model.share) + model.bias)
+    return h, times(np.tanh(times(h, model.tanh_gate)) * sigmoid(times(h, model.sigm_gate)), model.attend[:, None])[:, 0]
 
 
 def bag_scores(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -96,7 +104,7 @@ def bag_scores(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         e = np.exp(energy - np.repeat(np.maximum.reduceat(energy, of[:-1][full]), size))
         total = np.add.reduceat(e, of[:-1][full])
         bag[full] = np.add.reduceat(h * (e / np.repeat(total, size))[:, None], of[:-1][full], axis=0)
-    return sigmoid(bag @ model.out + model.out_bias)
+    return sigmoid(times(bag, model.out[:, None])[:, 0] + model.out_bias)
 
 
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model:
