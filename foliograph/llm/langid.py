@@ -21,13 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import crc_rest, row_of_batch, table, text_blocks
+from foliograph.llm.common import SAMPLE_CHARS, crc_rest, row_of_batch, table, text_blocks
 
 ORDER = 3
 #: Documents of each language that the trees are counted on, at most.
 SAMPLE_DOCS = 400
-#: Hash parts by language in which the sample is drawn before it is drawn by language.
-PARTS = 16
 #: A context seen fewer times than this in all languages together is not kept.
 LEAST_CONTEXT = 8
 #: The posterior counts at most so many bytes of evidence, lest every score be 1.
@@ -128,7 +126,7 @@ def code_lengths(trees: Trees, data: np.ndarray, at: np.ndarray, order: int = OR
         np.maximum(node, deep, out=node)
     bits = trees.cost[node * s + padded[place]]
     full = np.flatnonzero(sizes)
-    out[full] = np.add.reduceat(bits, at[:-1][full], axis=0)
+    out[full] = np.add.reduceat(bits, at[:-1][full], axis=0, dtype=np.float64)
     return out
 
 
@@ -137,15 +135,20 @@ def has_letter(text: str | None) -> bool:
 
 
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Trees:
-    """Counts the trees on at most sample_docs documents of each language (the least xxhash64(doc_id)); rows without text or language teach nothing."""
-    known = documents.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    # first the least of every hash bucket, so that no task ranks all documents of a large language
-    ids = known.withColumn("_part", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(PARTS)))
-    for keys in (["lang", "_part"], ["lang"]):
-        first = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
-        ids = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample_docs).drop("_n")
-    ids = ids.select("doc_id").distinct()
-    rows = documents.join(F.broadcast(ids), "doc_id").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").collect()
+    """Counts the trees on at most sample_docs documents of each language (the least xxhash64(doc_id)); rows without text, language or doc_id and texts of more than SAMPLE_CHARS characters teach nothing.
+
+    Languages are few, so their counts are broadcast. Without a column lang nothing is learned.
+    """
+    if "lang" not in documents.columns:
+        return grow({})
+    own = documents.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"))  # a row by language
+    # the least hashes of a language lie below twice their expected share of all, so that no task ranks all documents of a large language
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    few = own.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter((F.col("n") <= 4 * sample_docs) | (place < 2 * sample_docs / F.col("n") + 100 / F.col("n")))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = few.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample_docs).select("doc_id").distinct()
+    rows = own.join(F.broadcast(ids), "doc_id").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"].encode())
@@ -188,15 +191,16 @@ def identify(spark: SparkSession, documents: DataFrame, trees: Trees) -> DataFra
 
 
 def keep_known(spark: SparkSession, documents: DataFrame, trees: Trees, least_score: float = 0.35) -> DataFrame:
-    """The rows whose language is identified with least_score at least, in the same columns; a null lang takes the identified one."""
+    """The rows whose language is identified with least_score at least, in the same columns; a null lang takes the identified one. A table without lang is filtered alike."""
     model = spark.sparkContext.broadcast(trees)
 
     def keep(batches: Iterator[pa.RecordBatch]):
         for rows, data, at in text_blocks(batches):
             lang, sure, _ = judged(model.value, rows, data, at)
             place = rows.schema.get_field_index("lang")
-            filled = pc.coalesce(rows.column(place), pa.array(lang, rows.schema.field(place).type))
-            yield rows.set_column(place, rows.schema.field(place), filled).filter(pa.array((lang != UNKNOWN) & (sure >= least_score)))
+            if place >= 0:
+                rows = rows.set_column(place, rows.schema.field(place), pc.coalesce(rows.column(place), pa.array(lang, rows.schema.field(place).type)))
+            yield rows.filter(pa.array((lang != UNKNOWN) & (sure >= least_score)))
 
     return documents.mapInArrow(keep, documents.schema)
 
