@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A text of up to local_chars characters is pre-tokenised and encoded in the task that has read it.
-A longer one is cut into chunks that overlap, dealt over the tasks, and pre-tokenised there from
-each chunk's own start. Two neighbours that have a pre-token boundary in common agree from there
+A text of up to chunk_chars characters is one chunk, encoded in the task that has read it. A longer
+one is cut into chunks that overlap, dealt over the tasks, and pre-tokenised there from each
+chunk's own start. Two neighbours that have a pre-token boundary in common agree from there
 on, as a match depends on nothing before it; so they are stitched at the first common boundary,
-each task encodes its piece from seam to seam, and the ids are put together in order. A text in
+each task encodes its piece from seam to seam, and the ids are put together in order. Seams are
+found from the boundaries in the overlaps alone; texts of chunks don't meet again. A text in
 which two neighbours find no common boundary (one pre-token over the whole overlap) is encoded as
 a whole instead. Decoding concatenates the tokens' raw bytes.
 """
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import row_of_batch, table, text_blocks
+from foliograph.llm.graph import saved
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-LOCAL_CHARS, CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 14, 256
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 13, 256
 #: Characters before the end of a cut text in which a boundary may still move: a contraction has three, and one looks ahead by one.
 UNSURE = 4
 
@@ -67,7 +69,7 @@ def _whole(path: str, column: str, keep: list[str]):
     return run
 
 
-def encode(documents: DataFrame, path: str | None = None, local_chars: int = LOCAL_CHARS, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+def encode(documents: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit token ids) of every row's whole text, without special tokens.
 
     Null and empty texts have no ids. Repeated rows each get their row; other columns are not read.
@@ -75,44 +77,73 @@ def encode(documents: DataFrame, path: str | None = None, local_chars: int = LOC
     path = path or public_tokenizers.path(VOCABULARY)
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short = docs.filter(F.length("text") <= local_chars).mapInArrow(_whole(path, "text", ["doc_id"]), f"doc_id {kind}, ids binary")
+    short = docs.filter(F.length("text") <= chunk_chars).mapInArrow(_whole(path, "text", ["doc_id"]), f"doc_id {kind}, ids binary")
 
-    long = docs.filter(F.length("text") > local_chars).withColumn("row", F.monotonically_increasing_id()).withColumn("n", F.length("text"))
-    step, reach = F.lit(chunk_chars), F.lit(chunk_chars + overlap_chars)
-    chunks = long.select("row", "doc_id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / step)), lambda k: F.substring("text", (k * step + 1).cast("int"), reach))).alias("k", "text"))
+    def cut(batches: Iterator[pa.RecordBatch]):
+        for rows, data, at in text_blocks(batches):
+            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                text = data[a:b].tobytes().decode()
+                starts = range(0, len(text), chunk_chars)
+                parts = [text[c : c + chunk_chars + overlap_chars] for c in starts]
+                of = pa.array(np.full(len(starts), i))
+                yield pa.record_batch([row_of_batch(rows, "row").take(of), row_of_batch(rows, "doc_id").take(of), pa.array(range(len(starts)), pa.int32()), pa.array(np.arange(len(starts)) == len(starts) - 1), pa.array(parts)], ["row", "doc_id", "k", "last", "text"])
+
+    long = docs.filter(F.length("text") > chunk_chars).withColumn("row", F.monotonically_increasing_id())
+    # written once: the rows' numbers have to be the same for all that follows
+    chunks = saved(long.mapInArrow(cut, f"row long, doc_id {kind}, k int, last boolean, text string").repartition("row", "k"))
 
     def edges(batches: Iterator[pa.RecordBatch]):
         for rows, data, at in text_blocks(batches):
-            k, n = row_of_batch(rows, "k").to_numpy(), row_of_batch(rows, "n").to_numpy()
+            k, last = row_of_batch(rows, "k").to_pylist(), row_of_batch(rows, "last").to_pylist()
             head, tail = [], []
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                text = data[a:b].tobytes().decode()
-                start = int(k[i]) * chunk_chars
-                found = [start + p for p in boundaries(text, start + len(text) >= int(n[i]))]
+                start = k[i] * chunk_chars
+                found = [start + p for p in boundaries(data[a:b].tobytes().decode(), last[i])]
                 head.append([p for p in found if p <= start + overlap_chars])
                 tail.append([p for p in found if p >= start + chunk_chars])
-            yield pa.record_batch([*rows.columns, pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], [*rows.schema.names, "head", "tail"])
+            yield pa.record_batch([*(row_of_batch(rows, c) for c in ("row", "k", "last")), pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], ["row", "k", "last", "head", "tail"])
 
-    dealt = chunks.repartition(F.col("row"), F.col("k"))
-    seen = dealt.mapInArrow(edges, f"row long, doc_id {kind}, n int, k int, text string, head array<int>, tail array<int>")
     order = Window.partitionBy("row").orderBy("k")
-    all_of = Window.partitionBy("row")
-    seams = (
-        seen.withColumn("next", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
-        .withColumn("last", F.lead("k").over(order).isNull())
-        .withColumn("begin", F.coalesce(F.lag("next").over(order), F.lit(0)))
-        .withColumn("stitched", F.min(F.col("last") | F.col("next").isNotNull()).over(all_of))
-    )
-    start = F.col("k") * step
-    piece = F.when(F.col("last"), F.expr(f"substring(text, begin - k * {chunk_chars} + 1)")).otherwise(F.substring("text", (F.col("begin") - start + 1).cast("int"), F.col("next") - F.col("begin")))
-    pieces = seams.filter("stitched").select("row", "doc_id", "k", piece.alias("text"))
-    ids = pieces.mapInArrow(_whole(path, "text", ["row", "doc_id", "k"]), f"row long, doc_id {kind}, k int, ids binary")
-    # back from the chunks' own parts, without the overlap
-    parts = seams.filter(~F.col("stitched")).select("row", "doc_id", "k", F.substring("text", 1, chunk_chars).alias("text")).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("p"))
-    odd = parts.select("row", "doc_id", F.lit(0).alias("k"), F.array_join("p.text", "").alias("text")).mapInArrow(_whole(path, "text", ["row", "doc_id", "k"]), f"row long, doc_id {kind}, k int, ids binary")
-    put = ids.unionByName(odd).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"))
-    joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), ""))
-    return short.unionByName(put.select("doc_id", joined.alias("ids")))
+    seams = chunks.select("row", "k", "last", "text").mapInArrow(edges, "row long, k int, last boolean, head array<int>, tail array<int>")
+    seams = seams.select("row", "k", "last", F.array_min(F.array_intersect("tail", F.lead("head").over(order))).alias("next"))
+    seams = saved(
+        seams.withColumn("begin", F.coalesce(F.lag("next").over(order), F.lit(0)))
+        .withColumn("stitched", F.min(F.col("last") | F.col("next").isNotNull()).over(Window.partitionBy("row")))
+    )
+    start = F.col("k") * chunk_chars
+    own = F.when(F.col("last"), F.substring("text", F.col("begin") - start + 1, F.length("text"))).otherwise(F.substring("text", F.col("begin") - start + 1, F.col("next") - F.col("begin")))
+    # of a text without a seam somewhere the chunks' own parts go on, without the overlap
+    piece = F.when(F.col("stitched"), own).otherwise(F.substring("text", 1, chunk_chars))
+    pieces = chunks.drop("last").join(seams, ["row", "k"]).select("row", "doc_id", "k", "stitched", piece.alias("text"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]):
+        for rows, data, at in text_blocks(batches):
+            stitched = row_of_batch(rows, "stitched").to_pylist()
+            raw = [data[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            ids = [encode_text(path, x.decode()) if done else x for x, done in zip(raw, stitched, strict=True)]
+            yield pa.record_batch([*(row_of_batch(rows, c) for c in ("row", "doc_id", "k", "stitched")), pa.array(ids, pa.binary())], ["row", "doc_id", "k", "stitched", "part"])
+
+    def put_together(batches: Iterator[pa.RecordBatch]):
+        """Rows of one text lie together: ids of stitched pieces, or the bytes of a whole text, which is encoded here."""
+        held, of, doc, done = [], None, None, True
+
+        def out():
+            whole = b"".join(held)
+            return pa.record_batch([pa.array([doc], doc_type), pa.array([whole if done else encode_text(path, whole.decode())], pa.binary())], ["doc_id", "ids"])
+
+        for batch in batches:
+            doc_type = row_of_batch(batch, "doc_id").type
+            for row, now, stitched, part in zip(*(row_of_batch(batch, c).to_pylist() for c in ("row", "doc_id", "stitched", "part")), strict=True):
+                if held and row != of:
+                    yield out()
+                    held = []
+                of, doc, done = row, now, stitched
+                held.append(part)
+        if held:
+            yield out()
+
+    parts = pieces.mapInArrow(encoded, f"row long, doc_id {kind}, k int, stitched boolean, part binary")
+    return short.unionByName(parts.repartition("row").sortWithinPartitions("row", "k").mapInArrow(put_together, f"doc_id {kind}, ids binary"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
