@@ -93,6 +93,7 @@ def test_classifiers(spark, docs, odd, module, label, score):
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
     same = [r["score"] for r in rows if r["doc_id"] == 5]
     assert same[0] == same[1]
+    assert {r["doc_id"]: r["score"] for r in score(spark, docs.repartition(7), model).collect()} == got
     empty = module.train(docs.limit(0), labels.limit(0))
     assert score(spark, odd, empty).count() == len(ODD)
 
@@ -169,7 +170,7 @@ def test_urls(spark):
     assert got == {1: (True, 2), 2: (True, 1), 3: (False, 1), 4: (False, 1), 5: (True, 1), 6: (False, 1), 7: (False, 1), 8: (False, 1)}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"local_chars": 200, "chunk_chars": 100, "overlap_chars": 30}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_chars": 100, "overlap_chars": 30}])
 def test_bpe(spark, odd, sizes):
     path = __import__("public_tokenizers").path(bpe.VOCABULARY)
     own = tiktoken.Encoding("test", pat_str=__import__("public_tokenizers").PATTERN, mergeable_ranks=bpe.encoder(path)._mergeable_ranks, special_tokens={})
@@ -347,6 +348,29 @@ def test_crf_gradients():
         assert abs((up - down) / 2e-5 - grad[at]) < 1e-4
 
 
+def test_pii_windows():
+    """Spans of the windows that are run, from anchors on, against those of all windows; long spans run far from their anchors."""
+    rng = np.random.default_rng(5)
+    filler = "some plain words of no account, "
+    texts = [filler * 9, filler + "x" * 5 + "9" + "y" * 200 + " end " + filler * 3, filler * 2 + "a" * 150 + "@" + "b" * 120 + ".org " + filler, "", "1", filler * 5 + "key " + "ab" * 50 + "1234" + "cd" * 60]
+    texts += ["".join(rng.choice(list("ab1@. Z"), 700, p=[0.4, 0.3, 0.02, 0.01, 0.02, 0.05, 0.2])) for _ in range(20)]
+    # an untrained network tags at random, so runs of all kinds reach over many windows
+    for seed in range(4):
+        made = np.random.default_rng(seed)
+        model = pii.fresh(made)
+        model.moves += 3 * np.eye(pii.TAGS)
+        model.out *= 5
+        coded = [pii.classes_of(t) for t in texts]
+        few, full = pii.tags_of(model, coded), pii.tags_of(model, coded, everywhere=True)
+        for p, a, b in zip(coded, few, full, strict=True):
+            runs = np.cumsum(np.concatenate([[0], np.diff(b) != 0])) if len(b) else np.zeros(0, int)
+            for r in np.unique(runs[(p == 2) | (p == 9)]):
+                at = np.flatnonzero(runs == r)
+                around = np.arange(max(0, at[0] - 1), min(len(b), at[-1] + 2)) if b[at[0]] else at[:0]
+                assert (a[around] == b[around]).all()
+        assert pii.decode_spans(model, texts) == pii.decode_spans(model, texts, everywhere=True)
+
+
 def test_pii(spark, docs, odd, monkeypatch):
     model = pii.train(docs, 200)
     rows = {r["doc_id"]: r for r in pii.find(spark, docs.limit(300), model).collect()}
