@@ -27,15 +27,15 @@ from foliograph.llm.common import row_of_batch, table
 from foliograph.llm.graph import saved
 
 K, QUERY_EVERY = 20, 20
-#: Vectors that centroids and the ratio are fitted on (the least xxhash64(vec_id)), and sample queries of the calibration.
-SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 200
+#: Vectors that centroids and the ratio are fitted on (the least xxhash64(vec_id); at least so many, and SAMPLE_LIST for each list), and sample queries of the calibration.
+SAMPLE_ROWS, SAMPLE_LIST, SAMPLE_QUERIES = 20_000, 4, 200
 #: Vectors by list, before replicas; lists at most; replicas of a boundary vector and their distance ratio; recall that the ratio is calibrated to.
-LIST_ROWS, MAX_LISTS, REPLICAS, REPLICA_RATIO, TARGET_RECALL = 256, 4096, 4, 1.04, 0.96
+LIST_ROWS, MAX_LISTS, REPLICAS, REPLICA_RATIO, TARGET_RECALL = 256, 16_384, 4, 1.04, 0.96
 DEGREE, ITERATIONS = 16, 12
 #: Whole lists are put together to shards of so many rows; a longer list is a shard of its own, dealt over blocks of so many. Probes of a shard that one task takes.
 BLOCK_ROWS, BLOCK_PROBES = 20_000, 20_000
-#: Vectors that walk the graph together.
-BLOCK_SEARCH = 500
+#: Vectors that walk the graph together, and distances that are held at once while the index is fitted.
+BLOCK_SEARCH, CELLS = 500, 1 << 22
 
 
 @dataclass
@@ -68,35 +68,51 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1), 0)
 
 
+def in_blocks(n: int, width: int) -> list[slice]:
+    """Slices of n rows, so that a slice has CELLS distances to `width` others, about."""
+    step = max(1, CELLS // max(1, width))
+    return [slice(i, min(n, i + step)) for i in range(0, n, step)]
+
+
 def balanced(x: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """k centroids; a cluster larger than its share is made to look farther away in the next assignment, which evens the lists out."""
     rng = np.random.default_rng(seed)
     c = x[np.sort(rng.choice(len(x), k, replace=False))].copy()
-    weight = np.zeros(k)
+    weight, scale, who = np.zeros(k), 0.0, np.zeros(len(x), int)
     for _ in range(ITERATIONS):
-        d = squares(x, c)
-        scale = np.median(d.min(axis=1)) or 1.0
-        who = (d + weight * scale).argmin(axis=1)
+        least = np.zeros(len(x))
+        for part in in_blocks(len(x), k):
+            d = squares(x[part], c)
+            least[part] = d.min(axis=1)
+            # the scale of the last assignment; at first nothing is weighted
+            who[part] = (d + weight * scale).argmin(axis=1)
+        scale = np.median(least) or 1.0
         size = np.bincount(who, minlength=k)
         weight = np.clip(weight + 0.1 * (size / (len(x) / k) - 1), -0.5, 2)
-        for j in np.flatnonzero(size):
-            c[j] = x[who == j].mean(axis=0)
-    return c[np.bincount(squares(x, c).argmin(axis=1), minlength=k) > 0]
+        order = np.argsort(who, kind="stable")
+        full = np.flatnonzero(size)
+        c[full] = np.add.reduceat(x[order], (np.cumsum(size) - size)[full], axis=0) / size[full][:, None]
+    used = np.zeros(k, bool)
+    for part in in_blocks(len(x), k):
+        used[squares(x[part], c).argmin(axis=1)] = True
+    return c[used]
 
 
 def neighbour_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     """Each centroid's nearest others, those that it is near to, and its neighbours in a ring, which keep every centroid in reach; rows are filled up with the centroid itself."""
     k = len(c)
-    near = squares(c, c)
-    np.fill_diagonal(near, np.inf)
-    linked = np.zeros((k, k), bool)
-    np.put_along_axis(linked, near.argsort(axis=1, kind="stable")[:, : min(degree, max(1, k - 1))], True, axis=1)
-    linked[np.arange(k), (np.arange(k) + 1) % k] = True
-    linked |= linked.T
-    graph = np.repeat(np.arange(k)[:, None], max(1, int(linked.sum(axis=1).max())), axis=1)
-    for i, row in enumerate(linked):
-        found = np.flatnonzero(row)
-        graph[i, : len(found)] = found
+    near = min(degree, max(1, k - 1))
+    links = [np.stack([np.arange(k), (np.arange(k) + 1) % k], axis=1)]
+    for part in in_blocks(k, k):
+        d = squares(c[part], c)
+        own = np.arange(part.start, part.stop)
+        d[np.arange(len(own)), own] = np.inf
+        links.append(np.stack([np.repeat(own, near), d.argsort(axis=1, kind="stable")[:, :near].ravel()], axis=1))
+    both = np.concatenate(links)
+    both = np.unique(np.concatenate([both, both[:, ::-1]]), axis=0)
+    n = np.bincount(both[:, 0], minlength=k)
+    graph = np.repeat(np.arange(k)[:, None], int(n.max()), axis=1)
+    graph[both[:, 0], np.arange(len(both)) - (np.cumsum(n) - n)[both[:, 0]]] = both[:, 1]
     return graph
 
 
@@ -147,19 +163,20 @@ def replicas(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(vectors: DataFrame, k: int = K, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> Index | None:
-    """Fits the index on at most SAMPLE_ROWS vectors. The dimension is the commonest one (of equal, the larger); None if no vector can take part."""
+    """Fits the index on a bounded sample. The dimension is the commonest one (of equal, the larger); None if no vector can take part."""
     kinds = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not kinds:
         return None
     dim, n = kinds[0]["dim"], kinds[0]["n"]
     own = vectors.filter(F.size("embedding") == dim)
     norm = own.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0]
-    ids = own.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS)
-    sample = own.join(F.broadcast(ids.distinct()), "vec_id").select("embedding").limit(SAMPLE_ROWS).toArrow()
+    wanted = max(1, min(max_lists, -(-n // list_rows)))
+    rows = max(SAMPLE_ROWS, SAMPLE_LIST * wanted)
+    ids = own.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows)
+    sample = own.join(F.broadcast(ids.distinct()), "vec_id").select("embedding").limit(rows).toArrow()
     x = completed(matrix(sample["embedding"]), norm)
     x = x[np.lexsort(x.T[::-1])]
-    lists = int(max(1, min(max_lists, len(x) // 4, -(-n // list_rows))))
-    c = balanced(x, lists)
+    c = balanced(x, max(1, min(wanted, len(x) // SAMPLE_LIST)))
     index = Index(c, neighbour_graph(c), norm, 1.0, dim)
     index.ratio = calibrated(index, x, k)
     return index
@@ -172,16 +189,18 @@ def calibrated(index: Index, x: np.ndarray, k: int) -> float:
     d = np.sqrt(squares(q, index.centroids))
     parts = [(i, replicas(index, x[i : i + BLOCK_SEARCH])) for i in range(0, len(x), BLOCK_SEARCH)]
     rows, lists = np.concatenate([i + r for i, (r, _) in parts]), np.concatenate([j for _, (_, j) in parts])
+    order = np.argsort(rows, kind="stable")
+    lists, at = lists[order], np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(x)))])
     best = np.argsort(-(q @ x.T), axis=1)[:, : k + 1]
-    own = np.full((len(x), len(index.centroids)), False)
-    own[rows, lists] = True
-    need = np.stack([np.where(own[best[i]], d[i][None, :], np.inf).min(axis=1) / d[i].min() for i in range(len(q))])
+    need = np.array([[d[i][lists[at[b] : at[b + 1]]].min() / d[i].min() for b in best[i]] for i in range(len(q))])
     return float(max(1.0, np.quantile(need, TARGET_RECALL))) * (1 + 1e-9)
 
 
 def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K, index: Index | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k nearest other rows by inner product, ties to the smaller vec_id; fewer only if there are fewer.
 
+    Queries whose lists hold fewer than k others are compared with all rows instead, in blocks.
+
     vectors: vec_id and embedding; rows of other dimensions than the index's, and those that usable() rejects, take no part, neither do rows
     without vec_id. A vec_id that occurs again is one candidate (of its scores the largest counts) and one query for each different vector.
     """
@@ -204,8 +223,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
                 yield pa.record_batch([pa.array(lists, pa.int32()), *(row_of_batch(part, c).take(pa.array(rows)) for c in ("vec_id", "embedding"))], ["list", "vec_id", "embedding"])
 
     postings = own.mapInArrow(placed, f"list int, vec_id {kind}, embedding array<{item}>")
-    held = postings.groupBy("list", "vec_id").agg(F.count("*").alias("n")).groupBy("list").agg(F.sum("n").alias("n"), F.count("*").alias("ids")).collect()  # MAX_LISTS rows at most
-    sizes = {r["list"]: r["n"] for r in held}
+    held = postings.groupBy("list", "vec_id").agg(F.count("*").alias("n")).groupBy("list").agg(F.sum("n").alias("n"), F.count("*").alias("ids")).collect()  # a row by list
     mean = max(1, sum(r["ids"] for r in held) // max(1, len(held)))
     least = min(len(index.centroids), 2 + REPLICAS * (k + 1) * 2 // mean)
 
@@ -221,26 +239,6 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
 
     queries = own.filter(is_query)
     probes = queries.mapInArrow(probed, f"list int, vec_id {kind}, embedding array<{item}>")
-    asked = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    shards, shard, filled = [], 0, 0
-    for j, n in sorted(sizes.items()):
-        if filled and filled + n > BLOCK_ROWS:
-            shard, filled = shard + 1, 0
-        filled += n
-        shards.append((int(j), shard, -(-n // BLOCK_ROWS)))
-    wanted: dict[int, int] = {}
-    for j, own_shard, _ in shards:
-        wanted[own_shard] = wanted.get(own_shard, 0) + asked.get(j, 0)
-    blocks = spark.createDataFrame([(j, x, rows, max(1, -(-wanted[x] // BLOCK_PROBES))) for j, x, rows in shards if asked.get(j)] or [(-1, 0, 1, 1)], "list int, shard int, rows int, queries int")
-
-    def dealt(df: DataFrame, own_part: str, other: str, own_name: str, other_name: str) -> DataFrame:
-        """Own rows go to one block of their side, and to every block of the other's."""
-        parts = df.join(F.broadcast(blocks), "list").withColumn(own_name, F.pmod(F.xxhash64("vec_id"), F.col(own_part)).cast("int"))
-        return parts.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("list", "vec_id", "embedding", (F.col("shard") + F.lit(0)).alias("shard"), "r", "q")
-
-    left = dealt(postings, "rows", "queries", "r", "q").groupBy("shard", "r", "q")
-    right = dealt(probes, "queries", "rows", "q", "r").groupBy("shard", "r", "q")
-
     def nearest(va, ia, vb, ib) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """A list against the queries that probe it: each one's k best vec_ids, and what may tie with them in rounding."""
         order = np.argsort(ia, kind="stable")
@@ -284,10 +282,43 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
         return pa.table({"query_id": pa.array(q, ia_type), "vec_id": pa.array(v, ia_type), "score": pa.array(s, pa.float64())})
 
     ia_type = pa.int64() if kind == "bigint" else pa.int32()
-    found = left.cogroup(right).applyInArrow(compare, f"query_id {kind}, vec_id {kind}, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def matched(postings: DataFrame, sizes: dict[int, int], probes: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score): of each shard of lists, the k best rows of every query that probes one of its lists."""
+        asked = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count("*").alias("n")).collect()}
+        shards, shard, filled = [], 0, 0
+        for j, n in sorted(sizes.items()):
+            if filled and filled + n > BLOCK_ROWS:
+                shard, filled = shard + 1, 0
+            filled += n
+            shards.append((int(j), shard, -(-n // BLOCK_ROWS)))
+        wanted: dict[int, int] = {}
+        for j, own_shard, _ in shards:
+            wanted[own_shard] = wanted.get(own_shard, 0) + asked.get(j, 0)
+        blocks = spark.createDataFrame([(j, x, rows, max(1, -(-wanted[x] // BLOCK_PROBES))) for j, x, rows in shards if asked.get(j)] or [(-1, 0, 1, 1)], "list int, shard int, rows int, queries int")
+
+        def dealt(df: DataFrame, own_part: str, other: str, own_name: str, other_name: str) -> DataFrame:
+            """Own rows go to one block of their side, and to every block of the other's."""
+            parts = df.join(F.broadcast(blocks), "list").withColumn(own_name, F.pmod(F.xxhash64("vec_id"), F.col(own_part)).cast("int"))
+            return parts.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("list", "vec_id", "embedding", (F.col("shard") + F.lit(0)).alias("shard"), "r", "q")
+
+        left = dealt(postings, "rows", "queries", "r", "q").groupBy("shard", "r", "q")
+        right = dealt(probes, "queries", "rows", "q", "r").groupBy("shard", "r", "q")
+        return left.cogroup(right).applyInArrow(compare, f"query_id {kind}, vec_id {kind}, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return once.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    result = saved(ranked(matched(postings, {r["list"]: r["n"] for r in held}, probes)))
+    full = result.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    short = saved(queries.join(full, "vec_id", "left_anti").select("vec_id", "embedding"))
+    if short.isEmpty():
+        return result
+    one = F.lit(0).alias("list")
+    exact = ranked(matched(own.select(one, "vec_id", "embedding"), {0: own.count()}, short.select(one, "vec_id", "embedding")))
+    return result.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(exact)
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
