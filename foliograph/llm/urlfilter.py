@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.common import table
 
-#: Captures of one pattern are dealt over so many groups, and the intervals are given to each: a host may hold a third of all captures.
-SALTS = 16
+#: Captures of the commonest pattern that one group takes, about: a host may hold a third of all captures, so they are dealt over groups, and the intervals are given to each.
+SALT_ROWS = 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -42,13 +42,16 @@ def intervals(entries: DataFrame) -> DataFrame:
     return states.withColumn("until", F.lead("at").over(order)).filter(F.col("action") == "add").select("list", "pattern", F.col("at").alias("since"), "until")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row for each different (page_id, url, fetched) of the captures: n_rows (how often it occurs), host, n_active (list entries in force at its fetch time), lists and rules (those, distinct, sorted, comma-joined) and blocked.
 
     Null, empty and hostless URLs and null fetch times match nothing. A capture at the instant of an entry sees that entry. Other columns are not read.
     """
     kept = captures.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("n_rows"))
-    keys = kept.select("page_id", "url", "fetched", F.explode(patterns_of(F.col("url"))).alias("pattern"), F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(salts)).alias("salt"))
+    keys = kept.select("page_id", "url", "fetched", F.explode(patterns_of(F.col("url"))).alias("pattern"))
+    most = captures.select(F.explode(patterns_of(F.col("url"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    salts = max(1, -(-most // salt_rows))
+    keys = keys.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(salts)))
     valid = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     hits = (
         keys.join(valid, ["pattern", "salt"]).filter((F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
