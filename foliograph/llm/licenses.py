@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm.common import WORD_TABLE, row_of_batch, table, text_blocks
+from foliograph.llm.common import WORD_TABLE, row_of_batch, table, text_blocks, word_places
 from foliograph.llm.decontam import LOWER_AZ, UPPER_AZ, WORD
 
 #: Phrases of the base scan and their labels.
@@ -29,7 +29,8 @@ NOTICES = {
 }
 BASE_WEIGHT, TAG_WEIGHT = 0.8, 0.95
 TAG = "spdx license identifier"
-TAGGED = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+#: What stands between a tag's last word and the end of its line is an expression, if it begins so.
+TAGGED = re.compile(rb":[ \t]*([^\r\n]*)")
 #: Identifier prefixes, longest kin first, and the family label; whether the family is permissive.
 FAMILIES = (("agpl", "agpl", False), ("lgpl", "lgpl", False), ("gpl", "gpl", False), ("apache", "apache", True), ("mit", "mit", True), ("bsd", "bsd", True), ("mpl", "mpl", False), ("epl", "epl", False), ("isc", "isc", True), ("bsl", "bsl", True), ("gfdl", "gfdl", False), ("unlicense", "unlicense", True), ("zlib", "zlib", True), ("cc0", "cc0", True))
 BINDS = {"or": 1, "and": 2, "with": 3}
@@ -100,7 +101,7 @@ def scan_text(text: bytes) -> tuple:
     if not words:
         return 0, 0, None, None, "", "", 0.0, None
     line = f" {b' '.join(words).decode('latin-1')} "
-    base, weight, starts, tagged = set(), {}, [], False
+    base, weight, starts, tags = set(), {}, [], []
     for end, phrase in automaton().iter(line):
         if phrase in BASE:
             base.add(BASE[phrase])
@@ -109,11 +110,14 @@ def scan_text(text: bytes) -> tuple:
         if phrase in NOTICES:
             label, w = NOTICES[phrase]
             weight[label] = max(weight.get(label, 0), w)
-        tagged |= phrase == TAG
+        if phrase == TAG:
+            tags.append(line.count(" ", 0, end))
     permissive = None
-    if tagged:
-        for m in TAGGED.finditer(text.decode()):
-            if value := evaluate(m[1]):
+    if tags:
+        # the automaton has counted the words up to each tag's end
+        ends = word_places(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[1]
+        for k in tags:
+            if (m := TAGGED.match(text, ends[k - 1])) and (value := evaluate(m[1].decode())):
                 weight |= dict.fromkeys(value[0], TAG_WEIGHT)
                 permissive = value[1] if permissive is None else permissive and value[1]
     ordinal = [line.count(" ", 0, s + 1) - 1 for s in (min(starts), max(starts))] if starts else [None, None]
