@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import row_of_batch, table
+from foliograph.llm.common import least_ids, row_of_batch, table
 from foliograph.llm.graph import saved
 
 K, QUERY_EVERY = 20, 20
@@ -172,8 +172,8 @@ def build(vectors: DataFrame, k: int = K, list_rows: int = LIST_ROWS, max_lists:
     norm = own.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0]
     wanted = max(1, min(max_lists, -(-n // list_rows)))
     rows = max(SAMPLE_ROWS, SAMPLE_LIST * wanted)
-    ids = own.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows)
-    sample = own.join(F.broadcast(ids.distinct()), "vec_id").select("embedding").limit(rows).toArrow()
+    ids = least_ids(own, "vec_id", rows)
+    sample = own.join(F.broadcast(ids), "vec_id").select("embedding").limit(rows).toArrow()
     x = completed(matrix(sample["embedding"]), norm)
     x = x[np.lexsort(x.T[::-1])]
     c = balanced(x, max(1, min(wanted, len(x) // SAMPLE_LIST)))

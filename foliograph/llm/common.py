@@ -118,6 +118,15 @@ def crc_rest(column: Column, of: int) -> Column:
     return F.crc32(column.cast("string")) % F.lit(of)
 
 
+def least_ids(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """The ids of least xxhash64 of the rows, `most` at most. They lie below twice their share of all hashes, so only few ids leave the tasks, whatever the number of tasks."""
+    n = rows.count()
+    ids = rows.select(column)
+    if n > 4 * most:
+        ids = rows.filter(F.xxhash64(column) / F.lit(2.0**64) + 0.5 < (2 * most + 100) / n).select(column)
+    return ids.distinct().orderBy(F.xxhash64(column), column).limit(most)
+
+
 #: Characters of a text that a model is fitted on, at most: a bound on what a sample of so many rows takes in bytes.
 SAMPLE_CHARS = 100_000
 
@@ -132,7 +141,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: in
         .filter(F.col("doc_id").isNotNull() & F.col("_label").isin(0, 1) & (crc_rest(F.col("doc_id"), folds) != held))
         .groupBy("doc_id").agg(F.max("_label").alias("_label"))
     )
-    chosen = [known.filter(F.col("_label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
+    chosen = [least_ids(known.filter(F.col("_label") == y), "doc_id", most).withColumn("_label", F.lit(y)) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
     rows = documents.select("doc_id", *columns).join(F.broadcast(ids), "doc_id").filter(F.length("text") <= SAMPLE_CHARS)
     return sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import byte_set, row_of_batch, sigmoid, table, text_blocks
+from foliograph.llm.common import byte_set, least_ids, row_of_batch, sigmoid, table, text_blocks
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: `secret`: keys and tokens of letters and digits, which only the network finds.
@@ -313,9 +313,9 @@ def training_windows(texts: list[str], windows: int = WINDOWS, seed: int = 5) ->
 
 
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """The network, fitted on at most sample_docs texts of up to SAMPLE_CHARS characters; of several texts of one doc_id, the least."""
+    """The network, fitted on at most sample_docs texts of up to SAMPLE_CHARS characters, and further texts of the same doc_ids."""
     anchored = documents.filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    rows = anchored.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).collect()
+    rows = anchored.join(F.broadcast(least_ids(anchored, "doc_id", sample_docs)), "doc_id").collect()
     return fit(*training_windows([r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]))
 
 
