@@ -141,12 +141,14 @@ MARK = "\u0001"
 def sentences(c: Column) -> Column:
     """array<struct<text, offset>>: trimmed sentences without empty ones, and where each begins (K1, K2)."""
     raw = F.split(F.regexp_replace(c, BOUNDARY, f"$0{MARK}"), MARK)
-    lead = lambda s: F.length(s) - F.length(F.regexp_replace(s, rf"\A[{WS}]+", ""))
-    none = F.array().cast("array<struct<text:string,offset:int>>")
-    folded = F.aggregate(raw, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, s: F.struct(
-        (a["at"] + F.length(s)).alias("at"), F.concat(a["out"], F.array(F.struct(js_trim(s).alias("text"), (a["at"] + lead(s)).alias("offset")))).alias("out"),
-    ))["out"]
-    return F.filter(folded, lambda s: s["text"] != "")
+    bind = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def placed(raw: Column) -> Column:
+        # only numbers are folded; a trimmed sentence stands first where its blanks end
+        begins = F.aggregate(F.transform(raw, lambda s: F.length(s)), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return bind(begins, lambda at: F.transform(raw, lambda s, i: bind(js_trim(s), lambda t: F.struct(t.alias("text"), (F.get(at, i) + F.instr(s, t) - 1).alias("offset")))))
+
+    return F.filter(bind(raw, placed), lambda s: s["text"] != "")
 
 
 def last_index(c: Column, part: str) -> Column:
@@ -210,7 +212,7 @@ def effective_wpm(measured: Column, base: float, rate: float) -> Column:
 def signature(c: Column) -> Column:
     """A head or foot line without its numbers (H2)."""
     c = F.regexp_replace(F.lower(c), "[0-9]+", "#")
-    c = F.regexp_replace(c, f"{EDGE}[ivxlcdm]+{EDGE}", "#")
+    c = F.regexp_replace(c, "(?<![A-Za-z0-9_])[ivxlcdm]+(?![A-Za-z0-9_])", "#")
     return js_trim(F.regexp_replace(c, "[^a-z#]+", " "))
 
 

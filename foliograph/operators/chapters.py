@@ -11,7 +11,7 @@ SHORT_LINE = 45
 
 
 def wrap_join(a: Column, b: Column) -> Column:
-    """Two halves of a wrapped line: a hyphen before a lower-case letter goes, else a blank stands between."""
+    """Two halves of a wrapped line of plain text: a hyphen before a lower-case letter goes, else a blank stands between (B17). blocks.wrapped() is the form for set lines."""
     return F.when(a.rlike(r"[\p{L}\p{N}]-\z") & b.rlike(r"\A\p{Ll}"), F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b)).otherwise(F.concat(a, F.lit(" "), b))
 
 
@@ -42,32 +42,83 @@ def opening_words(text: Column, page: Column) -> Column:
     return F.when(F.length(first) < 8, F.concat(F.lit("Page "), page.cast("string"))).otherwise(F.concat(F.lit("p."), page.cast("string"), F.lit(" — "), first, F.when(F.size(words) > 7, "…").otherwise("")))
 
 
-def chapter_starts(raw: DataFrame) -> DataFrame:
-    """book_id, raw_idx, title of the heuristic starts (C3 to C5): chapter headings, or even sections if there are fewer than two; always one at 0."""
+def outline(marks: DataFrame) -> DataFrame:
+    """book_id, place, title, page of the usable outline entries (S6): the upper two levels, with a title and a page; of one page the first. marks: book_id, mark_ord, depth, title, page."""
+    title = F.regexp_replace(T.js_trim(F.col("title")), f"[{T.WS}]+", " ")
+    own = marks.filter((F.col("depth") <= 1) & (F.col("page") > 0)).withColumn("title", title).filter("title <> ''")
+    first = own.groupBy("book_id", "page").agg(F.min_by("title", "mark_ord").alias("title"))
+    return first.select("book_id", "page", "title", F.row_number().over(Window.partitionBy("book_id").orderBy("page")).alias("place"))
+
+
+def stamped(raw: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """The raw blocks with chapter, and title and source at each chapter's first.
+
+    Starts come from the outline, else from chapter headings, or from even sections if there are fewer than two; there is always one at 0.
+    Each block belongs to the last start at or before it.
+    """
     book = Window.partitionBy("book_id")
-    marked = raw.withColumn("is_chapter", (F.col("type") == "heading") & T.looks_like_chapter(F.col("text")))
-    marked = marked.withColumn("n_found", F.sum(F.col("is_chapter").cast("int")).over(book)).withColumn("n", F.count("*").over(book))
+    rows = raw.withColumn("is_chapter", (F.col("type") == "heading") & T.looks_like_chapter(F.col("text")))
+    rows = rows.withColumn("n_found", F.sum(F.col("is_chapter").cast("int")).over(book)).withColumn("n", F.count("*").over(book))
     even = F.col("raw_idx") % F.greatest(F.lit(25), F.ceil(F.col("n") / 12)) == 0
-    is_start = F.when(F.col("n_found") >= 2, F.col("is_chapter")).otherwise(even)
-    title = F.when(F.col("n_found") >= 2, F.when(F.col("is_chapter"), F.col("text")).otherwise("Opening")).otherwise(opening_words(F.col("text"), F.col("page")))
-    return marked.filter(is_start | (F.col("raw_idx") == 0)).select("book_id", "raw_idx", title.alias("title"))
+    inferred = F.when(F.col("n_found") >= 2, F.when(F.col("is_chapter"), F.col("text"))).when(even, opening_words(F.col("text"), F.col("page")))
+    if marks is None:
+        rows = rows.withColumn("marked", F.lit(None).cast("string")).withColumn("has_outline", F.lit(False))
+    else:
+        # of an entry's page the first heading, else the first block; books with two usable entries or more go by them
+        known = outline(marks).withColumn("n_marks", F.count("*").over(book)).filter("n_marks >= 2")
+        page = Window.partitionBy("book_id", "page")
+        first = F.coalesce(F.min(F.when(F.col("type") == "heading", F.col("raw_idx"))).over(page), F.min("raw_idx").over(page))
+        rows = rows.withColumn("first", first).join(known.select("book_id", "page", F.col("title").alias("entry")), ["book_id", "page"], "left")
+        rows = rows.join(known.select("book_id").distinct().withColumn("has_outline", F.lit(True)), "book_id", "left").withColumn("has_outline", F.coalesce("has_outline", F.lit(False)))
+        rows = rows.withColumn("marked", F.when(F.col("raw_idx") == F.col("first"), F.col("entry")))
+    title = F.coalesce(F.when(F.col("has_outline"), F.col("marked")).otherwise(inferred), F.when(F.col("raw_idx") == 0, "Opening"))
+    rows = rows.withColumn("title", title).withColumn("source", F.when(F.col("title").isNotNull(), F.when(F.col("marked").isNotNull(), "outline").otherwise("heuristic")))
+    order = book.orderBy("raw_idx")
+    return rows.withColumn("chapter", (F.sum(F.col("title").isNotNull().cast("int")).over(order) - 1).cast("long"))
+
+
+def assembled(raw: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """book_id, block_id, type, text, page, chapter, words, note_ref of raw blocks, with title and source at each chapter's start (C8, C10): notes move behind their chapter's body; ids are dense."""
+    ids = Window.partitionBy("book_id").orderBy("chapter", F.col("type") == "footnote", "raw_idx")
+    ref = F.col("note_ref") if "note_ref" in raw.columns else F.lit(None).cast("string")
+    return stamped(raw, marks).select("book_id", (F.row_number().over(ids) - 1).cast("long").alias("block_id"), "type", "text", "page", "chapter", T.count_words(F.col("text")).alias("words"), ref.alias("note_ref"), "title", "source")
 
 
-def chapters(raw: DataFrame) -> DataFrame:
-    """book_id, chapter, title, start_block, end_block, page, words (C7 to C9): each raw block belongs to the last start at or before it; notes move behind their chapter's body; ids are dense."""
-    titled = raw.join(chapter_starts(raw), ["book_id", "raw_idx"], "left")
-    order = Window.partitionBy("book_id").orderBy("raw_idx")
-    stamped = titled.withColumn("chapter", F.sum(F.col("title").isNotNull().cast("int")).over(order) - 1)
-    ids = Window.partitionBy("book_id").orderBy("chapter", F.col("type") == "footnote", "raw_idx")
-    blocks = stamped.withColumn("block_id", F.row_number().over(ids) - 1)
-    return blocks.groupBy("book_id", "chapter").agg(
-        F.max("title").alias("title"), F.min("block_id").cast("long").alias("start_block"), (F.max("block_id") + 1).cast("long").alias("end_block"),
-        F.min_by("page", "block_id").alias("page"), F.sum(T.count_words(F.col("text"))).cast("long").alias("words"),
-    ).withColumn("chapter", F.col("chapter").cast("long"))
+def chapters(raw: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """book_id, chapter, title, source, start_block, end_block, page, words (C9). A start is a block of its chapter, so none is empty."""
+    return assembled(raw, marks).groupBy("book_id", "chapter").agg(
+        F.max("title").alias("title"), F.max("source").alias("source"), F.min("block_id").alias("start_block"), (F.max("block_id") + 1).alias("end_block"),
+        F.min_by("page", "block_id").alias("page"), F.sum("words").cast("long").alias("words"),
+    )
+
+
+PAINTS_IMAGE = ("paintImageXObject", "paintInlineImageXObject", "paintImageMaskXObject", "paintJpegXObject")
+
+
+def extraction_quality(pages: DataFrame, operations: DataFrame, dropped: DataFrame, raw: DataFrame) -> DataFrame:
+    """One row by book of what was found (C11), whether OCR would be asked for (C12) and whether its text is sparse.
+
+    pages: book_id, page, chars, has_text, n_columns; operations: book_id, page, op, of which those that paint images count, on text-poor pages only (S4);
+    dropped: book, page, line_idx of furniture; raw: raw blocks.
+    """
+    images = operations.filter(F.col("op").isin(*PAINTS_IMAGE)).groupBy("book_id", "page").agg(F.count("*").alias("images"))
+    poor = pages.join(images, ["book_id", "page"], "left").withColumn("images", F.when(~F.col("has_text"), F.coalesce("images", F.lit(0))).otherwise(0))
+    book = poor.groupBy("book_id").agg(
+        F.count("*").alias("n_pages"), F.round(F.avg(F.col("has_text").cast("int")), 6).alias("coverage"), F.sum("images").cast("long").alias("images"), F.max("n_columns").alias("n_columns"),
+        F.sort_array(F.collect_list(F.when(F.col("images") > 0, F.col("page")))).alias("scanned"),
+    )
+    heads = dropped.groupBy(F.col("book").alias("book_id")).agg(F.count("*").alias("headers"))
+    kind = lambda k: F.sum((F.col("type") == k).cast("int")).cast("long")
+    counts = raw.groupBy("book_id").agg(kind("footnote").alias("footnotes"), kind("table").alias("tables"), F.sum("n_hyphens").cast("long").alias("hyphens"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return book.join(heads, "book_id", "left").join(counts, "book_id", "left").select(
+        "book_id", "n_pages", "coverage", F.array_join("scanned", ",").alias("scanned"), "n_columns", zero("headers"), zero("footnotes"), zero("tables"), "images", zero("hyphens"),
+        ((F.col("coverage") < 0.6) & (F.size("scanned") > 0)).alias("needs_ocr"), (F.col("coverage") < 0.85).alias("sparse"),
+    )
 
 
 def quality(pages: DataFrame, least_chars: int = 100) -> DataFrame:
-    """book, n_pages, coverage (share of pages with enough characters), scanned (those without) of pages (book, page, chars) (C11), and whether OCR would be asked for."""
+    """book, n_pages, coverage (share of pages with enough characters), scanned (those without) of pages (book, page, chars), as far as characters alone tell (C11)."""
     poor = F.col("chars") < least_chars
     out = pages.groupBy("book").agg(F.count("*").alias("n_pages"), F.sum((~poor).cast("int")).cast("long").alias("n_text"), F.array_join(F.array_sort(F.collect_list(F.when(poor, F.col("page")))), ",").alias("scanned"))
     coverage = F.col("n_text") / F.col("n_pages")

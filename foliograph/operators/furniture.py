@@ -10,10 +10,14 @@ from foliograph.functions import text as T
 
 def keys_of(line: Column) -> Column:
     """The signature, and its first and last four words if it has more than four (H4)."""
-    sig = T.signature(line)
-    words = F.filter(F.split(sig, " "), lambda w: w != "")
-    four = F.when(F.size(words) > 4, F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, -4, 4), " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.length(sig) >= 2, F.concat(F.array(sig), four)).otherwise(F.array().cast("array<string>"))
+
+    def keys(sig: Column) -> Column:
+        words = F.filter(F.split(sig, " "), lambda w: w != "")
+        four = F.when(F.size(words) > 4, F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, -4, 4), " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.length(sig) >= 2, F.concat(F.array(sig), four)).otherwise(F.array().cast("array<string>"))
+
+    # bound once: four regexes are not to run for each use
+    return F.transform(F.array(T.signature(line)), keys)[0]
 
 
 def line_keys(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
@@ -38,3 +38,44 @@ def delete_keys(table: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
 def with_defaults(settings: DataFrame, defaults: dict) -> DataFrame:
     """Stored settings over defaults; a missing column or null takes the default."""
     return settings.select(*[c for c in settings.columns if c not in defaults], *[(F.coalesce(F.col(k), F.lit(v)) if k in settings.columns else F.lit(v)).alias(k) for k, v in defaults.items()])
+
+
+def progress_records(at: DataFrame, queue: DataFrame, chunks: DataFrame) -> DataFrame:
+    """book_id, block_id, offset, fraction (of the words before it, 0 of an empty queue): what is stored of a position (P4). at: book_id, pos, chunk_idx."""
+    total = queue.groupBy("book_id").agg(F.sum("words").alias("total"))
+    rows = at.join(queue.select("book_id", "pos", "block_id", "cum_words"), ["book_id", "pos"]).join(total, "book_id")
+    rows = rows.join(chunks.select("book_id", "block_id", "chunk_idx", "offset"), ["book_id", "block_id", "chunk_idx"], "left")
+    return rows.select("book_id", "block_id", F.coalesce("offset", F.lit(0)).cast("long").alias("offset"), F.when(F.col("total") > 0, F.col("cum_words") / F.col("total")).otherwise(0.0).alias("fraction"))
+
+
+def time_left(done: DataFrame, base_wpm: float = 165, rate: float = 1.0) -> DataFrame:
+    """book_id, seconds, left (as text): what a book still takes (M5). done: book_id, words_done, total_words, wpm (measured, or null)."""
+    seconds = (F.col("total_words") - F.col("words_done")) / T.effective_wpm(F.col("wpm"), base_wpm, rate) * 60
+    return done.select("book_id", F.round(seconds, 4).alias("seconds"), T.duration(seconds).alias("left"))
+
+
+def edit_blocks(blocks: DataFrame, edits: DataFrame) -> DataFrame:
+    """The blocks with the texts of edits (book_id, block_id, text) in place (P11): edited, and words as runs without white space; totals of chapters and books stay as they were."""
+    own = edits.select("book_id", "block_id", F.col("text").alias("put"))
+    rows = blocks.join(own, ["book_id", "block_id"], "left").withColumn("edited", F.col("put").isNotNull())
+    return rows.withColumn("words", F.when(F.col("edited"), T.count_tokens(F.col("put"))).otherwise(F.col("words"))).withColumn("text", F.coalesce("put", "text")).drop("put")
+
+
+def bookmarks(at: DataFrame, blocks: DataFrame) -> DataFrame:
+    """book_id, block_id, offset, excerpt of the 180 characters from there (P12). at: book_id, block_id, offset."""
+    rows = at.join(blocks.select("book_id", "block_id", "text"), ["book_id", "block_id"])
+    return rows.select("book_id", "block_id", "offset", T.js_trim(F.substring(F.col("text"), (F.col("offset") + 1).cast("int"), F.lit(180))).alias("excerpt"))
+
+
+def book_title(title: Column, file_name: Column) -> Column:
+    """A file's own title if it looks like one, else its name without extension and underscores."""
+    blank = f"[{T.WS}]"
+    named = T.js_trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(file_name, r"(?i)\.pdf\z", ""), "_+", " "), f"{blank}{{2,}}", " "))
+    own = F.coalesce(T.js_trim(title), F.lit(""))
+    return F.when((F.length(own) > 2) & ~own.rlike(r"(?i)\Auntitled|\Amicrosoft word"), own).otherwise(named)
+
+
+def imported(books: DataFrame, blocks: DataFrame) -> DataFrame:
+    """book_id, title, author, words, added_at of new books (S7, S9). books: book_id, title, author, file_name, added_at; blocks: book_id, words."""
+    words = blocks.groupBy("book_id").agg(F.sum("words").cast("long").alias("words"))
+    return books.join(words, "book_id", "left").select("book_id", book_title(F.col("title"), F.col("file_name")).alias("title"), F.coalesce(T.js_trim(F.col("author")), F.lit("")).alias("author"), F.coalesce("words", F.lit(0)).cast("long").alias("words"), "added_at")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.functions import text as T
+
 
 def audible(mode: str, captions: bool, images: bool) -> Column:
     kind = F.col("type")
@@ -49,16 +51,51 @@ def chapter_entries(queue: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def seek_fraction(queue: DataFrame, targets: DataFrame) -> DataFrame:
-    """book_id, fraction, pos: the last position at or before that share of the words (P5). targets: book_id, fraction."""
-    aim = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("fraction"))) * F.col("total_words")
-    asked = targets.join(totals(queue), "book_id").withColumn("aim", aim)
-    return asked.join(queue.select("book_id", "pos", "cum_words"), "book_id").groupBy("book_id", "fraction").agg(F.coalesce(F.max(F.when(F.col("cum_words") <= F.col("aim"), F.col("pos"))), F.lit(0)).cast("long").alias("pos"))
+    """book_id, fraction, pos: the last position at or before that share of the words (P5). targets: book_id, fraction.
+
+    Entries and targets stand in one order by words, where a target takes the last position before it: an as-of lookup in one exchange.
+    """
+    book = Window.partitionBy("book_id")
+    both = queue.select("book_id", "cum_words", "words", "pos", F.lit(None).cast("double").alias("fraction")).unionByName(targets.select("book_id", F.lit(None).cast("long").alias("cum_words"), F.lit(0).cast("long").alias("words"), F.lit(None).cast("long").alias("pos"), F.col("fraction").cast("double").alias("fraction")))
+    aim = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("fraction"))) * F.sum("words").over(book)
+    both = both.withColumn("n", F.count("pos").over(book)).withColumn("at", F.coalesce(F.col("cum_words").cast("double"), aim))
+    so_far = book.orderBy("at", F.col("pos").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("found", F.max("pos").over(so_far)).filter("pos is null and n > 0").select("book_id", "fraction", F.coalesce("found", F.lit(0)).cast("long").alias("pos"))
 
 
 def position_of(queue: DataFrame, targets: DataFrame) -> DataFrame:
-    """book_id, target, pos: the block itself, else the first later block in queue order, else the last entry (Q7). targets: book_id, target."""
-    rows = targets.join(queue.select("book_id", "pos", "block_id"), "book_id")
-    return rows.groupBy("book_id", "target").agg(F.coalesce(F.min(F.when(F.col("block_id") == F.col("target"), F.col("pos"))), F.min(F.when(F.col("block_id") > F.col("target"), F.col("pos"))), F.max("pos")).cast("long").alias("pos"))
+    """book_id, target, pos: the block itself, else the first later block in queue order, else the last entry (Q7). targets: book_id, target.
+
+    Entries and targets stand in one order by block; the least position of the later blocks is a running minimum from the end.
+    """
+    both = queue.select("book_id", F.col("block_id").alias("target"), "pos", F.lit(False).alias("asked")).unionByName(targets.select("book_id", "target").distinct().select("book_id", "target", F.lit(None).cast("long").alias("pos"), F.lit(True).alias("asked")))
+    book = Window.partitionBy("book_id")
+    own = F.max("pos").over(Window.partitionBy("book_id", "target").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    later = F.min("pos").over(book.orderBy(F.desc("target")).rangeBetween(Window.unboundedPreceding, -1))
+    found = both.withColumn("later", later).withColumn("last", F.max("pos").over(book)).withColumn("own", own)
+    return found.filter("asked and last is not null").select("book_id", "target", F.coalesce("own", "later", "last").cast("long").alias("pos"))
+
+
+def at_offset(positions: DataFrame, queue: DataFrame, chunks: DataFrame) -> DataFrame:
+    """book_id, target, pos, chunk_idx: where a saved block and character are taken up (P6): the last chunk that begins at or before the character, else the first.
+
+    positions: book_id, target, offset, pos (of position_of); chunks: book_id, block_id, chunk_idx, offset.
+    """
+    asked = positions.join(queue.select("book_id", "pos", "block_id"), ["book_id", "pos"])
+    found = asked.join(chunks.select("book_id", "block_id", "chunk_idx", F.col("offset").alias("begins")), ["book_id", "block_id"], "left")
+    return found.groupBy("book_id", "target", "offset", "pos").agg(F.coalesce(F.max(F.when(F.col("begins") <= F.col("offset"), F.col("chunk_idx"))), F.lit(0)).cast("long").alias("chunk_idx"))
+
+
+def skipped(at: DataFrame, by: str = "chunk") -> DataFrame:
+    """pos and chunk_idx after a step of delta (P7), of rows with pos, chunk_idx, delta, n_chunks (of the block) and n (of the queue).
+
+    A step by chunks that leaves the block goes to the first chunk of the block beside it; a step by blocks stops at the queue's ends.
+    """
+    target = F.col("chunk_idx") + F.col("delta")
+    inside = F.lit(by == "chunk") & (target >= 0) & (target < F.col("n_chunks"))
+    delta = F.when(F.col("delta") > 0, 1).otherwise(-1) if by == "chunk" else F.col("delta")
+    moved = F.least(F.col("n") - 1, F.greatest(F.lit(0), F.col("pos") + delta))
+    return at.withColumn("pos", F.when(inside, F.col("pos")).otherwise(moved).cast("long")).withColumn("chunk_idx", F.when(inside, target).otherwise(0).cast("long"))
 
 
 def reading_window(queue: DataFrame, at: DataFrame, before: int = 25, after: int = 45) -> DataFrame:
@@ -66,6 +103,24 @@ def reading_window(queue: DataFrame, at: DataFrame, before: int = 25, after: int
     return queue.join(at, "book_id").filter((F.col("pos") >= F.col("here") - before) & (F.col("pos") < F.col("here") + after)).select("book_id", "here", "pos", "block_id")
 
 
+def shelf(books: DataFrame, progress: DataFrame) -> DataFrame:
+    """book_id and badges (M10), comma-joined: OCR, columns, sparse text, share read. books: book_id, ocr, n_columns, coverage; progress: book_id, fraction."""
+    fraction = F.coalesce("fraction", F.lit(0.0))
+    badges = F.array(
+        F.when(F.col("ocr"), "OCR"), F.when(F.col("n_columns") > 1, F.concat(F.col("n_columns").cast("string"), F.lit(" columns"))), F.when((F.col("coverage") < 0.8) & ~F.col("ocr"), "sparse text"),
+        F.when(fraction > 0.01, F.concat(T.percent(fraction), F.lit(" read"))),
+    )
+    return books.join(progress.select("book_id", "fraction"), "book_id", "left").select("book_id", F.array_join(F.array_compact(badges), ",").alias("badges"))
+
+
+def edited_list(ids: Column, action: Column, book: Column, to: Column) -> Column:
+    """A reading list, an array, after an action (P13): add (at the end, if absent), remove, or move (of the book to a place, from 0)."""
+    rest = F.filter(ids, lambda x: x != book)
+    moved = F.concat(F.slice(rest, F.lit(1), to), F.array(book), F.slice(rest, to + 1, F.size(rest) + 1))
+    added = F.when(F.array_contains(ids, book), ids).otherwise(F.concat(ids, F.array(book)))
+    return F.when(action == "add", added).when(action == "remove", rest).when((action == "move") & F.array_contains(ids, book), moved).otherwise(ids)
+
+
 def reading_list(ids: DataFrame, books: DataFrame, progress: DataFrame) -> DataFrame:
     """pos, book_id, words, words_left, started: a reader's list in order, unknown books dropped (M8 to M10). ids: pos, book_id; progress: book_id, fraction."""
     rows = ids.join(books, "book_id").join(progress, "book_id", "left")

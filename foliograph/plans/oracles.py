@@ -152,7 +152,7 @@ def chapter_rows() -> str:
 t AS (SELECT *, CASE WHEN raw_idx = 0 OR CASE WHEN nf >= 2 THEN ch ELSE raw_idx % greatest(25, CAST(ceil(n / 12) AS BIGINT)) = 0 END THEN {title} END AS title FROM m),
 c AS (SELECT *, sum((title IS NOT NULL)::INT) OVER (PARTITION BY book_id ORDER BY raw_idx) - 1 AS chapter FROM t),
 b AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter, type = 'footnote', raw_idx) - 1 AS block_id FROM c)
-SELECT book_id, CAST(chapter AS BIGINT) AS chapter, max(title) AS title, CAST(min(block_id) AS BIGINT) AS start_block, CAST(max(block_id) + 1 AS BIGINT) AS end_block, arg_min(page, block_id) AS page, CAST(sum({words('text')}) AS BIGINT) AS words FROM b GROUP BY book_id, chapter"""
+SELECT book_id, CAST(chapter AS BIGINT) AS chapter, max(title) AS title, 'heuristic' AS source, CAST(min(block_id) AS BIGINT) AS start_block, CAST(max(block_id) + 1 AS BIGINT) AS end_block, arg_min(page, block_id) AS page, CAST(sum({words('text')}) AS BIGINT) AS words FROM b GROUP BY book_id, chapter"""
 
 
 def paragraph_rows() -> str:
@@ -171,6 +171,28 @@ def duration(s: str) -> str:
     return f"CASE WHEN {s} < 0 OR {s} IS NULL THEN '--' WHEN {s} < 60 THEN CAST(floor({s} + 0.5) AS BIGINT) || 's' WHEN {m} < 60 THEN {m} || 'm' WHEN {m} % 60 > 0 THEN ({m} // 60) || 'h ' || ({m} % 60) || 'm' ELSE ({m} // 60) || 'h' END"
 
 
+def position(queue_sql: str, targets: str) -> str:
+    return f"WITH qq AS ({queue_sql}) SELECT b.book_id, b.target, CAST(coalesce(min(pos) FILTER (qq.block_id = b.target), min(pos) FILTER (qq.block_id > b.target), max(pos)) AS BIGINT) AS pos FROM {targets} b JOIN qq ON b.book_id = qq.book_id GROUP BY b.book_id, b.target"
+
+
+def place_queries() -> dict[str, str]:
+    """Places in books: what is stored of them, where they are taken up again, and what remains."""
+    own, ch = queue("chapter-end"), chunks()
+    places = "(SELECT book_id, count(*) AS n, book_id * 7 % count(*) AS pos FROM qq GROUP BY book_id)"
+    sized = f"(SELECT p.book_id, p.n, p.pos, coalesce(c.n, 0) AS nc FROM {places} p JOIN qq ON qq.book_id = p.book_id AND qq.pos = p.pos LEFT JOIN (SELECT book_id, block_id, count(*) AS n FROM cc GROUP BY ALL) c ON c.book_id = qq.book_id AND c.block_id = qq.block_id)"
+    narrow = own.replace("FROM " + DOC_BLOCKS + " b)", "FROM " + DOC_BLOCKS + " b WHERE TRUE)")
+    inline = queue("inline").replace(f"{DOC_BLOCKS} b)", f"{DOC_BLOCKS} b WHERE type <> 'caption')")
+    step = lambda by, d, pos, c: f"SELECT book_id, '{by}' AS by, CAST({d} AS BIGINT) AS delta, CAST({pos} AS BIGINT) AS pos, CAST({c} AS BIGINT) AS chunk_idx FROM z"
+    beside = lambda d: f"least(n - 1, greatest(0, pos + {d}))"
+    return {
+        "progress_records": f"WITH qq AS ({own}), cc AS ({ch}) SELECT qq.book_id, qq.block_id, CAST(coalesce(cc.\"offset\", 0) AS BIGINT) AS \"offset\", round(CASE WHEN t.total > 0 THEN cum_words / t.total ELSE 0 END, 6) AS fraction FROM {places} p JOIN qq ON qq.book_id = p.book_id AND qq.pos = p.pos JOIN (SELECT book_id, sum(words) AS total FROM qq GROUP BY book_id) t ON t.book_id = p.book_id LEFT JOIN cc ON cc.book_id = qq.book_id AND cc.block_id = qq.block_id AND cc.chunk_idx = p.book_id % 2",
+        "time_left": f"WITH qq AS ({own}), s AS (SELECT qq.book_id, (t.total - cum_words) / CASE WHEN qq.book_id % 3 = 0 AND qq.book_id % 200 > 40 THEN CAST(qq.book_id % 200 AS DOUBLE) ELSE 165.0 END * 60 AS seconds FROM {places} p JOIN qq ON qq.book_id = p.book_id AND qq.pos = p.pos JOIN (SELECT book_id, sum(words) AS total FROM qq GROUP BY book_id) t ON t.book_id = p.book_id) SELECT book_id, round(seconds, 4) AS seconds, {duration('seconds')} AS \"left\" FROM s",
+        "seek_offset": f"WITH cc AS ({ch}), f AS ({position(queue('skip'), '(SELECT book_id, block_id AS target FROM ' + DOC_BLOCKS + ' WHERE (book_id + block_id) % 5 = 0)')}), qs AS ({queue('skip')}) SELECT f.book_id, f.target, CAST(120 AS BIGINT) AS \"offset\", f.pos, CAST(coalesce(max(chunk_idx) FILTER (cc.\"offset\" <= 120), 0) AS BIGINT) AS chunk_idx FROM f JOIN qs ON qs.book_id = f.book_id AND qs.pos = f.pos LEFT JOIN cc ON cc.book_id = f.book_id AND cc.block_id = qs.block_id GROUP BY f.book_id, f.target, f.pos",
+        "skip": f"WITH qq AS ({own}), cc AS ({ch}), z AS {sized} {step('chunk', 1, f'CASE WHEN 1 < nc THEN pos ELSE {beside(1)} END', 'CASE WHEN 1 < nc THEN 1 ELSE 0 END')} UNION ALL {step('chunk', -1, beside(-1), '0')} UNION ALL {step('block', 3, beside(3), '0')} UNION ALL {step('block', -3, beside(-3), '0')}",
+        "settings_change": f"WITH old AS ({narrow}), held AS (SELECT o.book_id, o.block_id AS target FROM (SELECT book_id, book_id * 7 % count(*) AS pos FROM old GROUP BY book_id) p JOIN old o ON o.book_id = p.book_id AND o.pos = p.pos), x AS ({position(inline, 'held')}) SELECT * FROM x",
+    }
+
+
 FRACTIONS = "(0.0), (0.1), (0.25), (0.5), (0.75), (0.999), (1.0)"
 
 
@@ -200,11 +222,20 @@ def oracle_sql() -> dict[str, str]:
         "queue_skip": queue("skip"),
         "queue_progress": f"WITH qq AS ({end}), t AS (SELECT book_id, sum(words) AS total FROM qq GROUP BY book_id), e AS (SELECT book_id, chapter, min(pos) AS entry, min(cum_words) AS cum FROM qq GROUP BY ALL) SELECT c.book_id, CAST(c.chapter AS BIGINT) AS chapter, CAST(coalesce(entry, 0) AS BIGINT) AS entry, CASE WHEN round(coalesce(cum, 0) / nullif(total, 0), 6) > 0.004 AND round(coalesce(cum, 0) / nullif(total, 0), 6) < 0.996 THEN round(coalesce(cum, 0) / nullif(total, 0), 6) END AS tick FROM (SELECT DISTINCT book_id, chapter FROM {DOC_BLOCKS}) c LEFT JOIN e ON c.book_id = e.book_id AND c.chapter = e.chapter LEFT JOIN t ON c.book_id = t.book_id",
         "seek": f"WITH qq AS ({end}), t AS (SELECT book_id, sum(words) AS total FROM qq GROUP BY book_id), f(fraction) AS (SELECT CAST(x AS DOUBLE) FROM (VALUES {FRACTIONS}) v(x)) SELECT qq.book_id, fraction, CAST(coalesce(max(pos) FILTER (cum_words <= fraction * total), 0) AS BIGINT) AS pos FROM qq JOIN t ON qq.book_id = t.book_id CROSS JOIN f GROUP BY qq.book_id, fraction",
-        "position": f"WITH qq AS ({queue('skip')}) SELECT b.book_id, b.block_id AS target, CAST(coalesce(min(pos) FILTER (qq.block_id = b.block_id), min(pos) FILTER (qq.block_id > b.block_id), max(pos)) AS BIGINT) AS pos FROM (SELECT book_id, block_id FROM {DOC_BLOCKS} WHERE type = 'footnote') b JOIN qq ON b.book_id = qq.book_id GROUP BY b.book_id, b.block_id",
+        "position": position(queue("skip"), f"(SELECT book_id, block_id AS target FROM {DOC_BLOCKS} WHERE type = 'footnote')"),
         "reading_window": f"WITH qq AS ({end}) SELECT qq.book_id, h.here, pos, block_id FROM qq JOIN (SELECT book_id, CAST(count(*) // 2 AS BIGINT) AS here FROM qq GROUP BY book_id) h ON qq.book_id = h.book_id WHERE pos >= here - 25 AND pos < here + 45",
         "reading_list": f"SELECT i.pos, i.book_id, b.words, CAST(floor(b.words * (1 - coalesce(p.fraction, 0.0)) + 0.5) AS BIGINT) AS words_left, coalesce(p.fraction, 0.0) > 0.01 AS started FROM (SELECT conv_id AS pos, conv_id * 7 AS book_id FROM conversations GROUP BY conv_id) i JOIN {sizes} b ON i.book_id = b.book_id LEFT JOIN {progress} p ON i.book_id = p.book_id",
         "wpm": f"SELECT reader, CAST(day AS VARCHAR) AS day, words, ms, CAST(wpm AS DOUBLE) AS wpm, CASE WHEN wpm > 40 THEN CAST(wpm AS DOUBLE) ELSE 165.0 END AS effective FROM (SELECT reader, day, CAST(sum(words) AS BIGINT) AS words, CAST(sum(ms) AS BIGINT) AS ms, CASE WHEN sum(ms) > 20000 THEN CAST(floor(sum(words) / sum(ms) * 60000 + 0.5) AS BIGINT) END AS wpm FROM {PLAYLOG} GROUP BY reader, day)",
         "running_wpm": f"SELECT reader, event_id, CASE WHEN t > 20000 THEN CAST(floor(w / t * 60000 + 0.5) AS DOUBLE) END AS wpm FROM (SELECT reader, event_id, sum(words) OVER o AS w, sum(ms) OVER o AS t FROM {PLAYLOG} WINDOW o AS (PARTITION BY reader ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))",
         "progress_latest": f"SELECT reader, ts, event_id, words FROM {PLAYLOG} QUALIFY row_number() OVER (PARTITION BY reader ORDER BY ts DESC, event_id DESC) = 1",
         "upsert_delete": "SELECT doc_id, lang, source, n_chars FROM documents ANTI JOIN labels USING (doc_id)",
-    }
+        "edited_blocks": f"SELECT b.book_id, b.block_id, coalesce(e.text, b.text) AS text, e.text IS NOT NULL AS edited, CASE WHEN e.text IS NOT NULL THEN {tokens('e.text')} ELSE {words('b.text')} END AS words FROM {DOC_BLOCKS} b LEFT JOIN (SELECT conv_id, turn, max(text) AS text FROM conversations GROUP BY ALL) e ON b.book_id = e.conv_id AND b.block_id = e.turn",
+        "bookmarks": f"SELECT a.book_id, a.block_id, a.\"offset\", {trim('b.text[a.\"offset\" + 1:a.\"offset\" + 180]')} AS excerpt FROM (SELECT DISTINCT event_id % 97 AS book_id, user_id % 11 AS block_id, event_id % 50 AS \"offset\" FROM events) a JOIN {DOC_BLOCKS} b ON a.book_id = b.book_id AND a.block_id = b.block_id",
+        "imported": f"""SELECT page_id AS book_id, CASE WHEN page_id % 4 = 2 THEN {trim("' On ' || url")} ELSE {trim("regexp_replace('my file ' || url, '_+', ' ', 'g')")} END AS title, CASE WHEN page_id % 2 = 0 THEN 'A. Nyone' ELSE '' END AS author, CAST(coalesce(w.words, 0) AS BIGINT) AS words, page_id * 7919 % 1000 AS added_at,
+row_number() OVER (PARTITION BY page_id // 1000 ORDER BY page_id * 7919 % 1000 DESC, page_id) AS place FROM pages LEFT JOIN (SELECT book_id, sum({words('text')}) AS words FROM {DOC_BLOCKS} GROUP BY book_id) w ON w.book_id = page_id""",
+        "list_edits": """WITH l AS (SELECT user_id AS reader, list_sort(list(DISTINCT event_id % 23))[:8] AS ids FROM events GROUP BY user_id), k AS (SELECT *, CASE WHEN reader % 2 = 0 THEN ids[1] ELSE 5 END AS b FROM l), r AS (SELECT *, list_filter(ids, lambda x: x <> b) AS rest FROM k),
+e AS (SELECT reader, CASE WHEN reader % 3 = 0 AND NOT list_contains(ids, b) THEN list_append(ids, b) WHEN reader % 3 = 1 THEN rest WHEN reader % 3 = 2 AND list_contains(ids, b) THEN list_concat(list_append(rest[:2], b), rest[3:]) ELSE ids END AS ids FROM r)
+SELECT reader, CAST(unnest(range(len(ids))) AS BIGINT) AS place, unnest(ids) AS book_id FROM e""",
+        "shelf": """SELECT doc_id AS book_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'OCR' END, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3 + 1) || ' columns' END, CASE WHEN doc_id % 10 / 10.0 < 0.8 AND doc_id % 7 <> 0 THEN 'sparse text' END,
+CASE WHEN f > 0.01 THEN CAST(floor(f * 100 + 0.5) AS BIGINT) || '% read' END], lambda x: x IS NOT NULL), ',') AS badges FROM documents LEFT JOIN (SELECT user_id, max(event_id % 100) / 100.0 AS f FROM events GROUP BY user_id) p ON user_id = doc_id""",
+    } | place_queries()

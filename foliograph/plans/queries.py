@@ -11,6 +11,7 @@ from foliograph.operators import furniture as H
 from foliograph.operators import narration as K
 from foliograph.operators import playback as P
 from foliograph.operators import queue as Q
+from foliograph.plans import layout_queries
 from foliograph.sources import projections as S
 
 
@@ -38,8 +39,8 @@ def sentence_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def roman_values(spark: SparkSession, d: str) -> DataFrame:
     """Numerals written from numbers, and read back."""
-    lines = S.read(spark, d, "lineitem").select("l_linenumber").distinct()
-    v = S.read(spark, d, "part").select("p_size").distinct().join(F.broadcast(lines), F.lit(True)).select((F.col("p_size") + F.col("l_linenumber") * 50).cast("long").alias("v")).distinct()
+    step = F.explode(F.sequence(F.lit(1), F.lit(7)))
+    v = S.read(spark, d, "part").select("p_size", step.alias("step")).select((F.col("p_size") + F.col("step") * 50).cast("long").alias("v")).distinct()
     tens = F.array(*map(F.lit, ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"]))
     ones = F.array(*map(F.lit, ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]))
     hundreds = F.array(*map(F.lit, ["", "C", "CC", "CCC", "CD", "D"]))
@@ -111,9 +112,8 @@ def queue_progress(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seek(spark: SparkSession, d: str) -> DataFrame:
-    queue = queue_end(spark, d)
-    targets = queue.select("book_id").distinct().withColumn("fraction", F.explode(F.array(*map(F.lit, [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]))))
-    return Q.seek_fraction(queue, targets)
+    fractions = F.explode(F.array(*map(F.lit, [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0])))
+    return Q.seek_fraction(queue_end(spark, d), S.read(spark, d, "documents").select(F.col("doc_id").alias("book_id"), fractions.alias("fraction")))
 
 
 def position(spark: SparkSession, d: str) -> DataFrame:
@@ -149,11 +149,86 @@ def upsert_delete(spark: SparkSession, d: str) -> DataFrame:
     return P.delete_keys(S.read(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), S.read(spark, d, "labels"), ["doc_id"])
 
 
+def places(queue: DataFrame) -> DataFrame:
+    """A position in every book, chosen by its number, with the queue's length."""
+    return queue.groupBy("book_id").agg(F.count("*").alias("n")).withColumn("pos", F.col("book_id") * 7 % F.col("n")).withColumn("chunk_idx", F.lit(0).cast("long"))
+
+
+def progress_records(spark: SparkSession, d: str) -> DataFrame:
+    queue = queue_end(spark, d)
+    at = places(queue).withColumn("chunk_idx", F.col("book_id") % 2)
+    return P.progress_records(at.select("book_id", "pos", "chunk_idx"), queue, chunks(spark, d)).withColumn("fraction", F.round("fraction", 6))
+
+
+def time_left(spark: SparkSession, d: str) -> DataFrame:
+    queue = queue_end(spark, d)
+    done = places(queue).select("book_id", "pos").join(queue.select("book_id", "pos", F.col("cum_words").alias("words_done")), ["book_id", "pos"]).join(Q.totals(queue), "book_id")
+    return P.time_left(done.withColumn("wpm", F.when(F.col("book_id") % 3 == 0, F.col("book_id") % 200)))
+
+
+def seek_offset(spark: SparkSession, d: str) -> DataFrame:
+    """Saved places in notes, captions and other blocks, taken up in a queue without notes."""
+    queue = queue_skip(spark, d)
+    saved = S.doc_blocks(spark, d).filter((F.col("book_id") + F.col("block_id")) % 5 == 0).select("book_id", F.col("block_id").alias("target"), F.lit(120).cast("long").alias("offset"))
+    return Q.at_offset(Q.position_of(queue, saved).join(saved, ["book_id", "target"]), queue, chunks(spark, d))
+
+
+def skip(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of one chunk and of three blocks, either way, from a place in every book."""
+    queue = queue_end(spark, d)
+    sizes = chunks(spark, d).groupBy("book_id", "block_id").agg(F.count("*").alias("n_chunks"))
+    at = places(queue).join(queue.select("book_id", "pos", "block_id"), ["book_id", "pos"]).join(sizes, ["book_id", "block_id"], "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+    step = lambda by, delta: Q.skipped(at.withColumn("delta", F.lit(delta)), by).select("book_id", F.lit(by).alias("by"), F.lit(delta).cast("long").alias("delta"), "pos", "chunk_idx")
+    return step("chunk", 1).unionByName(step("chunk", -1)).unionByName(step("block", 3)).unionByName(step("block", -3))
+
+
+def settings_change(spark: SparkSession, d: str) -> DataFrame:
+    """Where a listener stands after the queue was built anew: notes inline, captions and images left out."""
+    own, old = blocks(spark, d), queue_end(spark, d)
+    held = places(old).select("book_id", "pos").join(old.select("book_id", "pos", F.col("block_id").alias("target")), ["book_id", "pos"]).select("book_id", "target")
+    return Q.position_of(Q.build_queue(own, "inline", captions=False, images=False), held)
+
+
+def edited_blocks(spark: SparkSession, d: str) -> DataFrame:
+    edits = S.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("book_id"), F.col("turn").alias("block_id")).agg(F.max("text").alias("text"))
+    return P.edit_blocks(blocks(spark, d), edits).select("book_id", "block_id", "text", "edited", "words")
+
+
+def bookmarks(spark: SparkSession, d: str) -> DataFrame:
+    at = S.read(spark, d, "events").select((F.col("event_id") % 97).alias("book_id"), (F.col("user_id") % 11).alias("block_id"), (F.col("event_id") % 50).alias("offset")).distinct()
+    return P.bookmarks(at, S.doc_blocks(spark, d))
+
+
+def imported(spark: SparkSession, d: str) -> DataFrame:
+    """The pages table as files: titles of its addresses, some blank or of a template; listed by what was added last."""
+    n, url = F.col("page_id"), F.col("url")
+    title = F.when(n % 4 == 0, F.lit("Untitled 3")).when(n % 4 == 1, F.lit(" ab ")).when(n % 4 == 2, F.concat(F.lit(" On "), url)).otherwise(F.lit("Microsoft Word - x"))
+    books = S.read(spark, d, "pages").select(n.alias("book_id"), title.alias("title"), F.when(n % 2 == 0, F.lit(" A. Nyone ")).alias("author"), F.concat(F.lit("my__file  "), url, F.lit(".PDF")).alias("file_name"), (n * 7919 % 1000).alias("added_at"))
+    found = P.imported(books, blocks(spark, d).select("book_id", "words"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(F.floor(F.col("book_id") / 1000)).orderBy(F.desc("added_at"), "book_id")).cast("long"))
+
+
+def list_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Reading lists after additions, removals and moves."""
+    own = S.read(spark, d, "events").groupBy(F.col("user_id").alias("reader")).agg(F.slice(F.sort_array(F.collect_set(F.col("event_id") % 23)), 1, 8).alias("ids"))
+    action = F.element_at(F.array(*map(F.lit, ["add", "remove", "move"])), (F.col("reader") % 3 + 1).cast("int"))
+    made = own.withColumn("ids", Q.edited_list(F.col("ids"), action, F.when(F.col("reader") % 2 == 0, F.get("ids", F.lit(0))).otherwise(F.lit(5).cast("long")), F.lit(2)))
+    return made.select("reader", F.posexplode("ids").alias("place", "book_id")).withColumn("place", F.col("place").cast("long"))
+
+
+def shelf(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    books = S.read(spark, d, "documents").select(n.alias("book_id"), (n % 7 == 0).alias("ocr"), (n % 3 + 1).alias("n_columns"), (n % 10 / 10.0).alias("coverage"))
+    progress = S.read(spark, d, "events").groupBy(F.col("user_id").alias("book_id")).agg((F.max(F.col("event_id") % 100) / 100.0).alias("fraction"))
+    return Q.shelf(books, progress)
+
+
 NAMES = (
     clean_text, speech_text, word_counts, sentences, sentence_rows, roman_values, chunks, chunk_pacing, paragraphs, signatures, folios, running_heads, stripped_lines,
     chapters, durations, quality, queue_end, queue_inline, queue_skip, queue_progress, seek, position, reading_window, reading_list, wpm, running_wpm, progress_latest, upsert_delete,
+    progress_records, time_left, seek_offset, skip, settings_change, edited_blocks, bookmarks, imported, list_edits, shelf,
 )
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in NAMES}
+    return {f.__name__: f for f in NAMES} | layout_queries.queries()

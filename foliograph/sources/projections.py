@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Ids that are ranked together.
+STRETCH = 100_000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,8 +21,12 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, book (ten documents of a source each), page (from 1)."""
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return read(spark, sf_dir, "documents").select("doc_id", "source").withColumn("rn", rn).select("doc_id", "source", F.concat("source", F.lit("-"), F.floor(F.col("rn") / 10)).alias("book"), (F.col("rn") % 10 + 1).cast("long").alias("page"))
+    # numbered by stretches of ids: a large source is not ranked in one task
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source").withColumn("part", F.floor(F.col("doc_id") / STRETCH))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = docs.groupBy("source", "part").agg(F.count("*").alias("n")).select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("source", "part").orderBy("doc_id")) - 1
+    return docs.withColumn("own", own).join(starts, ["source", "part"]).withColumn("rn", F.col("own") + F.col("before")).select("doc_id", "source", F.concat("source", F.lit("-"), F.floor(F.col("rn") / 10)).alias("book"), (F.col("rn") % 10 + 1).cast("long").alias("page"))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,3 +70,64 @@ def raw_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def playlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as spoken chunks: reader, day, ts, event_id, words, ms."""
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("reader"), F.to_date("ts").alias("day"), "ts", "event_id", (F.col("event_id") % 40).alias("words"), F.floor(F.col("value") * 60).alias("ms"))
+
+
+def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a book of positioned text items on pages of 612 x 792 points; odd documents are set in two columns.
+
+    Lines are cut into slices of 40 characters, two items each, with superscripts, captions, list items, table rows, wrapped
+    words, heads, feet, titles and notes among them; sizes and heights of zero occur.
+    """
+    line, k = F.col("line"), F.col("k")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length(line) / 40)) - 1), lambda i: F.substring(line, (i * 40 + 1).cast("int"), F.lit(40)))
+    rows = text_lines(spark, sf_dir).select("doc_id", "source", "li", F.posexplode(cut).alias("k", "slice")).filter(F.col("slice") != "")
+    rows = rows.withColumn("s", F.row_number().over(Window.partitionBy("doc_id").orderBy("li", k)) - 1).withColumn("two", F.col("doc_id") % 2 == 1)
+    s, two = F.col("s"), F.col("two")
+    page, col = F.floor(s / F.when(two, 80).otherwise(40)) + 1, F.when(two, F.floor(s % 80 / 40)).otherwise(0)
+    cw = F.when(two, 5.5).otherwise(9.0)
+    rows = rows.withColumn("page", page).withColumn("x", 72.0 + 246 * col).withColumn("y", 96.0 + 15 * (s % 40)).withColumn("cw", cw)
+    lead = F.when(s % 29 == 5, "• ").when(s % 31 == 7, "Figure 3. ").when(s % 43 == 11, "CHAPTER IX").otherwise("")
+    a = F.when(s % 43 == 11, lead).otherwise(F.concat(lead, F.substring("slice", 1, 20)))
+    hyphen = F.when((s % 3 == 1) & F.substring("slice", 40, 1).rlike(r"\A\p{L}\z"), "-").otherwise("")
+    b = F.when(s % 43 == 11, "").otherwise(F.concat(F.substring("slice", 21, 20), hyphen))
+    gap = F.when((s % 37).between(10, 12) & ~two, 60.0).when(s % 3 == 0, 0.5).when(s % 3 == 1, 2.0).otherwise(3.0)
+    item = lambda n, text, x, y, w, size: F.struct((s * 4 + n).cast("long").alias("frag_ord"), text.alias("str"), x.alias("left"), y.alias("y"), w.alias("width"), F.lit(size).alias("size"))
+    right = F.col("x") + 20 * F.col("cw") + gap
+    body = F.array(
+        item(1, a, F.col("x"), F.col("y"), F.length(a) * F.col("cw"), 10.0), item(2, b, right, F.col("y") + 0.7, F.length(b) * F.col("cw"), 10.0),
+        F.when((s % 11 == 0) & (F.length("slice") == 40), item(3, (s % 9 + 1).cast("string"), right + F.length(b) * F.col("cw"), F.col("y") - 3, F.lit(3.0), 6.2)),
+    )
+    text = rows.select("doc_id", "page", F.explode(body).alias("i")).filter("i is not null").select("doc_id", "page", "i.*")
+    pages = rows.groupBy("doc_id", "page", "two").agg(F.min("source").alias("source"))
+    fixed = lambda n, text, x, y, w, size: F.struct(F.lit(n).cast("long").alias("frag_ord"), text.alias("str"), F.lit(x).alias("left"), F.lit(y).alias("y"), F.lit(w).alias("width"), F.lit(size).alias("size"))
+    own = F.array(
+        fixed(1_000_000, F.concat(F.lit("RUNNING HEAD "), F.col("source")), 72.0, 50.0, 100.0, 9.0), fixed(1_000_001, F.col("page").cast("string"), 303.0, 750.0, 6.0, 9.0),
+        F.when(two & (F.col("page") == 1), fixed(1_000_002, F.lit("The Title of This Piece"), 186.0, 82.0, 240.0, 17.0)),
+        F.when(~two, fixed(1_000_003, F.lit("1. See note 1, which goes"), 72.0, 700.0, 90.0, 7.6)), F.when(~two, fixed(1_000_004, F.lit("2) See note 2"), 72.0, 710.0, 90.0, 7.6)),
+        F.when(~two, fixed(1_000_005, F.lit("on to a further line."), 72.0, 720.0, 90.0, 7.6)),
+    )
+    rest = pages.select("doc_id", "page", F.explode(own).alias("i")).filter("i is not null").select("doc_id", "page", "i.*")
+    n, size = F.col("frag_ord"), F.col("size")
+    return text.unionByName(rest).select(
+        F.col("doc_id").alias("book_id"), F.col("page").cast("long").alias("page"), "frag_ord", "str", F.when(n % 7 == 0, 0.0).when(n % 2 == 0, -size).otherwise(size).alias("scale"), "left",
+        (792.0 - F.col("y")).alias("base"), "width", F.when(n % 5 == 0, 0.0).otherwise(size).alias("height"), F.when(n % 43 == 2, "Serif-Bold").otherwise("Serif").alias("font"),
+        F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"),
+    )
+
+
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book_id, page, op: paint operations of the pages of text_items, chosen by number."""
+    pages = text_items(spark, sf_dir).select("book_id", "page").distinct()
+    names = F.array(*map(F.lit, ["paintImageXObject", "showText", "paintInlineImageXObject", "fill"]))
+    k = F.sequence(F.lit(0), ((F.col("book_id") + F.col("page")) % 5).cast("int"))
+    return pages.select("book_id", "page", F.explode(F.transform(k, lambda i: F.get(names, ((F.col("book_id") + i) % 4).cast("int")))).alias("op"))
+
+
+def outline_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book_id, mark_ord, depth, title, page: an outline of every third book, with entries too deep, blank, without a page, of one page, or out of order."""
+    pages = text_items(spark, sf_dir).groupBy("book_id").agg(F.max("page").alias("n")).filter("book_id % 3 = 0")
+    marks = pages.select("book_id", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("mark_ord"))
+    k = F.col("mark_ord")
+    page = F.when(k == 5, 0).when(k == 6, 1).otherwise(F.floor(k / 2) + 1)
+    title = F.when(k == 3, "  ").otherwise(F.concat(F.lit("  Section \t "), k.cast("string"), F.lit(" of  "), F.col("book_id").cast("string"), F.lit(" ")))
+    return marks.select("book_id", F.col("mark_ord").cast("long").alias("mark_ord"), (k % 3).cast("long").alias("depth"), title.alias("title"), page.cast("long").alias("page"))

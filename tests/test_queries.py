@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from foliograph.functions import text as T
 from foliograph.operators import chapters as C
 from foliograph.operators import queue as Q
-from foliograph.plans import oracles
+from foliograph.plans import layout_oracles, oracles
 from foliograph.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_against_sql(spark, duck, name):
     got = plans.queries()[name](spark, SF).toPandas()
-    want = duck.execute(oracles.oracle_sql()[name]).df()
+    want = duck.execute((oracles.oracle_sql() | layout_oracles.oracle_sql())[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     plain = lambda d: sorted(map(tuple, d[columns].astype(str).values.tolist()))
