@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A text of up to chunk_chars characters is one chunk, encoded in the task that has read it. A longer
-one is cut into chunks that overlap, dealt over the tasks, and pre-tokenised there from each
-chunk's own start. Two neighbours that have a pre-token boundary in common agree from there
+A text of up to chunk_chars characters is one chunk. A longer one is cut into chunks that overlap,
+each pre-tokenised from its own start: of a text of up to local_chars in the task that has read it,
+of a longer one dealt over the tasks. Two neighbours that have a pre-token boundary in common agree from there
 on, as a match depends on nothing before it; so they are stitched at the first common boundary,
 each task encodes its piece from seam to seam, and the ids are put together in order. Seams are
 found from the boundaries in the overlaps alone; texts of chunks don't meet again. A text in
@@ -29,7 +29,7 @@ from foliograph.llm.common import row_of_batch, table, text_blocks
 from foliograph.llm.graph import saved
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK_CHARS, OVERLAP_CHARS = 1 << 13, 256
+CHUNK_CHARS, OVERLAP_CHARS, LOCAL_CHARS = 1 << 13, 256, 1 << 16
 #: Characters before the end of a cut text in which a boundary may still move: a contraction has three, and one looks ahead by one.
 UNSURE = 4
 
@@ -60,16 +60,27 @@ def boundaries(text: str, last: bool) -> list[int]:
     return found if last else [p for p in found if p <= len(text) - UNSURE]
 
 
-def _whole(path: str, column: str, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]):
-        for rows, data, at in text_blocks(batches, column):
-            ids = [encode_text(path, data[a:b].tobytes().decode()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.record_batch([*(row_of_batch(rows, c) for c in keep), pa.array(ids, pa.binary())], [*keep, "ids"])
+def overlap_ends(text: str, k: int, last: bool, chunk_chars: int, overlap_chars: int) -> tuple[list[int], list[int]]:
+    """Boundaries of chunk k in its overlaps with the chunk before and the one behind, counted from the whole text's start."""
+    start = k * chunk_chars
+    found = [start + p for p in boundaries(text, last)]
+    return [p for p in found if p <= start + overlap_chars], [p for p in found if p >= start + chunk_chars]
+
 
-    return run
+def encode_chunks(path: str, text: str, chunk_chars: int, overlap_chars: int) -> bytes:
+    """Ids of one text by its chunks: pieces from seam to seam, or the whole if two neighbours have no boundary in common."""
+    n = -(-len(text) // chunk_chars)
+    if n < 2:
+        return encode_text(path, text)
+    ends = [overlap_ends(text[k * chunk_chars : (k + 1) * chunk_chars + overlap_chars], k, k == n - 1, chunk_chars, overlap_chars) for k in range(n)]
+    common = [set(tail) & set(head) for (_, tail), (head, _) in zip(ends, ends[1:], strict=False)]
+    if not all(common):
+        return encode_text(path, text)
+    seams = [0, *map(min, common), len(text)]
+    return b"".join(encode_text(path, text[a:b]) for a, b in zip(seams, seams[1:], strict=False))
 
 
-def encode(documents: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+def encode(documents: DataFrame, path: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, local_chars: int = LOCAL_CHARS) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit token ids) of every row's whole text, without special tokens.
 
     Null and empty texts have no ids. Repeated rows each get their row; other columns are not read.
@@ -77,7 +88,13 @@ def encode(documents: DataFrame, path: str | None = None, chunk_chars: int = CHU
     path = path or public_tokenizers.path(VOCABULARY)
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short = docs.filter(F.length("text") <= chunk_chars).mapInArrow(_whole(path, "text", ["doc_id"]), f"doc_id {kind}, ids binary")
+
+    def local(batches: Iterator[pa.RecordBatch]):
+        for rows, data, at in text_blocks(batches):
+            ids = [encode_chunks(path, data[a:b].tobytes().decode(), chunk_chars, overlap_chars) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.record_batch([row_of_batch(rows, "doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    short = docs.filter(F.length("text") <= local_chars).mapInArrow(local, f"doc_id {kind}, ids binary")
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for rows, data, at in text_blocks(batches):
@@ -88,7 +105,7 @@ def encode(documents: DataFrame, path: str | None = None, chunk_chars: int = CHU
                 of = pa.array(np.full(len(starts), i))
                 yield pa.record_batch([row_of_batch(rows, "row").take(of), row_of_batch(rows, "doc_id").take(of), pa.array(range(len(starts)), pa.int32()), pa.array(np.arange(len(starts)) == len(starts) - 1), pa.array(parts)], ["row", "doc_id", "k", "last", "text"])
 
-    long = docs.filter(F.length("text") > chunk_chars).withColumn("row", F.monotonically_increasing_id())
+    long = docs.filter(F.length("text") > local_chars).withColumn("row", F.monotonically_increasing_id())
     # written once: the rows' numbers have to be the same for all that follows
     chunks = saved(long.mapInArrow(cut, f"row long, doc_id {kind}, k int, last boolean, text string").repartition("row", "k"))
 
@@ -97,10 +114,9 @@ def encode(documents: DataFrame, path: str | None = None, chunk_chars: int = CHU
             k, last = row_of_batch(rows, "k").to_pylist(), row_of_batch(rows, "last").to_pylist()
             head, tail = [], []
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                start = k[i] * chunk_chars
-                found = [start + p for p in boundaries(data[a:b].tobytes().decode(), last[i])]
-                head.append([p for p in found if p <= start + overlap_chars])
-                tail.append([p for p in found if p >= start + chunk_chars])
+                ends = overlap_ends(data[a:b].tobytes().decode(), k[i], last[i], chunk_chars, overlap_chars)
+                head.append(ends[0])
+                tail.append(ends[1])
             yield pa.record_batch([*(row_of_batch(rows, c) for c in ("row", "k", "last")), pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], ["row", "k", "last", "head", "tail"])
 
     order = Window.partitionBy("row").orderBy("k")

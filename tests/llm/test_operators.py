@@ -199,7 +199,7 @@ def test_urls(spark):
     assert got == {1: (True, 2), 2: (True, 1), 3: (False, 1), 4: (False, 1), 5: (True, 1), 6: (False, 1), 7: (False, 1), 8: (False, 1)}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_chars": 100, "overlap_chars": 30}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_chars": 100, "overlap_chars": 30}, {"chunk_chars": 100, "overlap_chars": 30, "local_chars": 200}])
 def test_bpe(spark, odd, sizes):
     path = __import__("public_tokenizers").path(bpe.VOCABULARY)
     own = tiktoken.Encoding("test", pat_str=__import__("public_tokenizers").PATTERN, mergeable_ranks=bpe.encoder(path)._mergeable_ranks, special_tokens={})
