@@ -79,8 +79,12 @@ def bounded(pattern: str) -> str:
     return pattern.replace("~", EDGE)
 
 
+#: The characters of WS one by one.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 @F.pandas_udf(StringType())
@@ -213,7 +217,7 @@ def signature(c: Column) -> Column:
     """A head or foot line without its numbers (H2)."""
     c = F.regexp_replace(F.lower(c), "[0-9]+", "#")
     c = F.regexp_replace(c, "(?<![A-Za-z0-9_])[ivxlcdm]+(?![A-Za-z0-9_])", "#")
-    return js_trim(F.regexp_replace(c, "[^a-z#]+", " "))
+    return F.btrim(F.regexp_replace(c, "[^a-z#]+", " "))
 
 
 FOLIO = (

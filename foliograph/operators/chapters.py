@@ -10,29 +10,28 @@ from foliograph.functions import text as T
 SHORT_LINE = 45
 
 
-def wrap_join(a: Column, b: Column) -> Column:
-    """Two halves of a wrapped line of plain text: a hyphen before a lower-case letter goes, else a blank stands between (B17). blocks.wrapped() is the form for set lines."""
-    return F.when(a.rlike(r"[\p{L}\p{N}]-\z") & b.rlike(r"\A\p{Ll}"), F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b)).otherwise(F.concat(a, F.lit(" "), b))
+#: Ends of a sentence at the end of a line.
+STOPPED = r"""[.!?]["')\]]?\z"""
 
 
 def paragraphs(texts: DataFrame, *keys: str) -> DataFrame:
-    """keys, idx, text: paragraphs of plain text (B17). A blank line ends one; so does a short line that ends a sentence, unless it is the paragraph's first. Folds within the row."""
-    lines = F.transform(F.split("text", r"\r?\n"), T.js_trim)
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, line: Column) -> Column:
-        joined = wrap_join(a["buf"], line)
-        ends = line.rlike(r"""[.!?]["')\]]?\z""") & (F.length(line) < SHORT_LINE)
-        return (
-            F.when(line == "", F.struct(F.lit("").alias("buf"), F.when(a["buf"] != "", F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]).alias("out")))
-            .when(a["buf"] == "", F.struct(line.alias("buf"), a["out"].alias("out")))
-            .when(ends, F.struct(F.lit("").alias("buf"), F.concat(a["out"], F.array(joined)).alias("out")))
-            .otherwise(F.struct(joined.alias("buf"), a["out"].alias("out")))
-        )
-
-    done = F.aggregate(lines, start, step)
-    all_ = F.filter(F.concat(done["out"], F.array(done["buf"])), lambda p: F.length(p) > 1)
-    return texts.select(*keys, F.posexplode(all_).alias("idx", "text")).withColumn("idx", F.col("idx").cast("long"))
+    """keys, idx, text: paragraphs of plain text (B17). A blank line ends one; so does a short line that ends a sentence, unless it is the paragraph's first.
+
+    A wrapped line is joined with a blank, or without its hyphen before a lower-case letter; blocks.wrapped() is the form for set lines (B15).
+    Each line is a letter of a string of flags, in which one pattern finds the closing lines, so the work is linear in the text.
+    Lines hold no line break: one of them stands for a wrap, two or more for a paragraph's end.
+    """
+    bind = lambda value, body: F.transform(F.array(value), body)[0]
+    flag = lambda line: F.when(line == "", "b").when((F.length(line) < SHORT_LINE) & line.rlike(STOPPED), "e").otherwise("n")
+
+    def set_apart(lines: Column) -> Column:
+        # a paragraph is a line of any kind, then lines that don't end it; the next that does becomes c
+        flags = F.regexp_replace(F.array_join(F.transform(lines, flag), ""), "(?<!n)([ne]n*+)e", "$1c")
+        return F.array_join(F.zip_with(lines, F.filter(F.split(flags, ""), lambda f: f != ""), lambda line, f: F.concat(line, F.when(f == "c", "\n\n").otherwise("\n"))), "")
+
+    whole = F.regexp_replace(bind(F.transform(F.split("text", r"\r?\n"), T.js_trim), set_apart), r"(?<=[\p{L}\p{N}])-\n(?=\p{Ll})", "")
+    made = F.transform(F.split(whole, "\n{2,}"), lambda p: F.translate(F.btrim(p, F.lit("\n")), "\n", " "))
+    return texts.select(*keys, F.posexplode(F.filter(made, lambda p: F.length(p) > 1)).alias("idx", "text")).withColumn("idx", F.col("idx").cast("long"))
 
 
 def opening_words(text: Column, page: Column) -> Column:

@@ -31,11 +31,11 @@ def chunk_blocks(blocks: DataFrame, read_tables: bool = False, describe_images:
     own = F.when((F.col("type") == "image") | ((F.col("type") == "table") & F.lit(not read_tables)), F.array().cast(kind)).otherwise(F.flatten(F.transform(T.sentences(F.col("text")), lambda s: T.pieces(s["text"], s["offset"]))))
     lead = F.when(F.col("label").isNotNull(), F.array(F.struct(F.col("label").alias("text"), F.lit(0).alias("offset"), F.lit(T.PAUSES["sentence"]).alias("pause")))).otherwise(F.array().cast(kind))
     rows = blocks.withColumn("label", label(read_tables, describe_images)).withColumn("spoken", own).withColumn("all", F.concat(lead, "spoken"))
-    rows = rows.select("book_id", "block_id", "type", "opens_chapter", F.col("text").alias("whole"), F.size("all").alias("n"), F.size("spoken").alias("n_own"), F.posexplode("all").alias("chunk_idx", "c"))
+    cut_off = (F.col("type") == "paragraph") & ~T.js_trim(F.col("text")).rlike(ENDED)
+    rows = rows.select("book_id", "block_id", "type", "opens_chapter", cut_off.alias("cut_off"), F.size("all").alias("n"), F.size("spoken").alias("n_own"), F.posexplode("all").alias("chunk_idx", "c"))
     silent = (F.col("type") == "image") | ((F.col("type") == "table") & F.lit(not read_tables))
     rest = F.when(F.col("type") == "heading", F.when(F.col("opens_chapter"), T.PAUSES["chapter"]).otherwise(T.PAUSES["heading"])).otherwise(F.greatest(F.col("c.pause"), F.lit(T.PAUSES["paragraph"])))
-    cut_off = (F.col("type") == "paragraph") & ~T.js_trim(F.col("whole")).rlike(ENDED)
-    pause = F.when((F.col("chunk_idx") < F.col("n") - 1) | silent, F.col("c.pause")).when(cut_off, T.PAUSES["clause"]).otherwise(rest)
+    pause = F.when((F.col("chunk_idx") < F.col("n") - 1) | silent, F.col("c.pause")).when(F.col("cut_off"), T.PAUSES["clause"]).otherwise(rest)
     return rows.select("book_id", "block_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("c.offset").cast("long").alias("offset"), F.col("c.text").alias("text"), pause.cast("long").alias("pause_ms"), T.count_tokens(F.col("c.text")).alias("words"))
 
 
