@@ -213,6 +213,11 @@ def effective_wpm(measured: Column, base: float, rate: float) -> Column:
     return F.when(measured > 40, measured.cast("double")).otherwise(F.lit(float(base) * rate))
 
 
+def rate_step(rate: Column, up: bool) -> Column:
+    """The rate one key step faster or slower, within 0.5 and 2."""
+    return F.least(F.lit(2.0), F.round(rate + 0.05, 2)) if up else F.greatest(F.lit(0.5), F.round(rate - 0.05, 2))
+
+
 def signature(c: Column) -> Column:
     """A head or foot line without its numbers (H2)."""
     c = F.regexp_replace(F.lower(c), "[0-9]+", "#")

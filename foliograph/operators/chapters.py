@@ -91,6 +91,11 @@ def chapters(raw: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     )
 
 
+def chapter_times(chapters: DataFrame, wpm: float = 165) -> DataFrame:
+    """book_id, chapter, title, page, duration, inferred (not from an outline) of chapters (M7)."""
+    return chapters.select("book_id", "chapter", "title", "page", T.duration(F.col("words") / F.lit(float(wpm)) * 60).alias("duration"), (F.col("source") == "heuristic").alias("inferred"))
+
+
 PAINTS_IMAGE = ("paintImageXObject", "paintInlineImageXObject", "paintImageMaskXObject", "paintJpegXObject")
 
 

@@ -46,3 +46,18 @@ ENDED = r"""[.!?\x{2026}]["'\x{201D}\x{2019})\]]*\z"""
 def scaled_pause(ms: Column, pause_scale: float, rate: float) -> Column:
     """K6."""
     return F.floor(ms * pause_scale / max(0.5, rate) + 0.5).cast("long")
+
+
+def highlighted(at: DataFrame, blocks: DataFrame) -> DataFrame:
+    """book_id, block_id, chunk_idx, start (in the block's text), word: the displayed word that is being spoken.
+
+    at: book_id, block_id, chunk_idx, offset, text (of the chunk), char_index (in its speech form). The place is carried over in proportion to the
+    lengths, then widened to the blanks around it; an empty stretch has an empty word.
+    """
+    rows = at.join(blocks.select("book_id", "block_id", F.col("text").alias("whole")), ["book_id", "block_id"])
+    rows = rows.withColumn("live", F.substring(F.col("whole"), (F.col("offset") + 1).cast("int"), F.length("text")))
+    spoken, n = F.greatest(F.length(T.speech(F.col("text"))), F.lit(1)), F.length("live")
+    rows = rows.withColumn("here", F.greatest(F.lit(0), F.least(n - 1, F.floor(F.col("char_index") / spoken * n + 0.5).cast("int"))))
+    rows = rows.withColumn("start", F.length(F.regexp_replace(F.substring(F.col("live"), F.lit(1), F.col("here")), rf"[^{T.WS}]++\z", "")))
+    word = F.regexp_extract(F.substring(F.col("live"), F.col("start") + 1, n), rf"\A[^{T.WS}]*", 0)
+    return rows.select("book_id", "block_id", "chunk_idx", (F.col("offset") + F.col("start")).cast("long").alias("start"), word.alias("word"))

@@ -9,6 +9,13 @@ from foliograph.functions import text as T
 
 TRUSTED_MS = 20_000
 
+# A player's settings until a reader changes them.
+DEFAULTS = {
+    "rate": 1.0, "pitch": 1.0, "volume": 1.0, "footnote_mode": "chapter-end", "describe_images": False, "read_tables": False, "read_captions": True,
+    "announce_chapters": True, "pause_scale": 1.0, "base_wpm": 165,
+}
+# End of the fixed values.
+
 
 def speaking_rate(log: DataFrame, keys: list[str], base_wpm: float = 165, rate: float = 1.0) -> DataFrame:
     """keys, words, ms, wpm (published once more than 20 s were spoken), effective (P2, M4). Partial sums, one shuffle."""
@@ -79,3 +86,14 @@ def imported(books: DataFrame, blocks: DataFrame) -> DataFrame:
     """book_id, title, author, words, added_at of new books (S7, S9). books: book_id, title, author, file_name, added_at; blocks: book_id, words."""
     words = blocks.groupBy("book_id").agg(F.sum("words").cast("long").alias("words"))
     return books.join(words, "book_id", "left").select("book_id", book_title(F.col("title"), F.col("file_name")).alias("title"), F.coalesce(T.js_trim(F.col("author")), F.lit("")).alias("author"), F.coalesce("words", F.lit(0)).cast("long").alias("words"), "added_at")
+
+
+def importable(name: Column, mime: Column) -> Column:
+    """Files that are taken in."""
+    return F.coalesce(name.rlike(r"(?i)\.pdf\z"), F.lit(False)) | F.coalesce(mime == "application/pdf", F.lit(False))
+
+
+def import_fraction(phase: Column, page: Column, pages: Column) -> Column:
+    """How far an import is (M14): reading is the first four fifths, structuring the last; 0 without pages."""
+    reading = phase.isin("scanning", "ocr")
+    return F.when(pages > 0, F.when(reading, 0.0).otherwise(0.8) + page / pages * F.when(reading, 0.8).otherwise(0.2)).otherwise(0.0)

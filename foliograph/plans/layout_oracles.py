@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliograph.plans.oracles import LINES, WS, clean, folio, q, signature, trim, words
+from foliograph.plans.oracles import LINES, WS, clean, duration, folio, q, signature, trim, words
 
 ITEMS = f"""(WITH sl AS (SELECT doc_id, source, li, k, substr(line, CAST(k * 40 + 1 AS BIGINT), 40) AS slice FROM (SELECT doc_id, source, li, line, unnest(range(greatest(1, CAST(ceil(length(line) / 40) AS BIGINT)))) AS k FROM {LINES})),
 s AS (SELECT doc_id, source, slice, row_number() OVER (PARTITION BY doc_id ORDER BY li, k) - 1 AS s, doc_id % 2 = 1 AS two FROM sl WHERE slice <> ''),
@@ -139,5 +139,6 @@ LEFT JOIN (SELECT book_id, sum((type = 'footnote')::INT) AS footnotes, sum((type
         "outline": after("ol", "SELECT * FROM ol"),
         "book_blocks": after("bb", "SELECT book_id, block_id, type, text, page, chapter, words, note_ref FROM bb"),
         "book_chapters": after("bb", "SELECT book_id, chapter, max(title) AS title, max(source) AS source, min(block_id) AS start_block, max(block_id) + 1 AS end_block, arg_min(page, block_id) AS page, CAST(sum(words) AS BIGINT) AS words FROM bb GROUP BY book_id, chapter"),
+        "chapter_list": after("bb", f"SELECT book_id, chapter, title, page, {duration('(words / 165.0 * 60)')} AS duration, source = 'heuristic' AS inferred FROM (SELECT book_id, chapter, max(title) AS title, max(source) AS source, arg_min(page, block_id) AS page, sum(words) AS words FROM bb GROUP BY book_id, chapter)"),
         "extraction_quality": after("pc", quality),
     }

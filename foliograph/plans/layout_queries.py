@@ -81,12 +81,16 @@ def book_chapters(spark: SparkSession, d: str) -> DataFrame:
     return C.chapters(raw_of(laid_out(spark, d)), S.outline_marks(spark, d))
 
 
+def chapter_list(spark: SparkSession, d: str) -> DataFrame:
+    return C.chapter_times(book_chapters(spark, d))
+
+
 def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
     lines = laid_out(spark, d)
     return C.extraction_quality(L.page_chars(lines), S.page_images(spark, d), dropped(lines), raw_of(lines))
 
 
-NAMES = (fragments, column_bounds, reading_order, page_chars, layout_furniture, segment_measures, body_sizes, line_kinds, raw_blocks, outline, book_blocks, book_chapters, extraction_quality)
+NAMES = (fragments, column_bounds, reading_order, page_chars, layout_furniture, segment_measures, body_sizes, line_kinds, raw_blocks, outline, book_blocks, book_chapters, chapter_list, extraction_quality)
 
 
 def queries() -> dict:

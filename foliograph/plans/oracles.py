@@ -193,6 +193,23 @@ def place_queries() -> dict[str, str]:
     }
 
 
+def display_queries() -> dict[str, str]:
+    """What a player shows and keeps of its reader."""
+    kept = f"length(regexp_replace(live[:here], {q(f'[^{WS}]+$')}, ''))"
+    return {
+        "highlights": f"""WITH cc AS ({chunks()}), l AS (SELECT cc.*, b.text[cc."offset" + 1:cc."offset" + length(cc.text)] AS live, greatest(length({speech('cc.text')}), 1) AS spoken, (cc.block_id * 31 + chunk_idx * 17 + cc.book_id) % (length(cc.text) + 9) AS ci FROM cc JOIN {DOC_BLOCKS} b ON b.book_id = cc.book_id AND b.block_id = cc.block_id),
+h AS (SELECT *, greatest(0, least(length(live) - 1, CAST(floor(CAST(ci AS DOUBLE) / spoken * length(live) + 0.5) AS BIGINT))) AS here FROM l)
+SELECT book_id, block_id, chunk_idx, CAST("offset" + {kept} AS BIGINT) AS start, regexp_extract(live[{kept} + 1:], {q(f'^[^{WS}]*')}) AS word FROM h""",
+        "sizes": """SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CAST(floor(n / 1024 + 0.5) AS BIGINT) || ' KB' ELSE (CAST(floor(n / 1048576 * 10 + 0.5) AS BIGINT) // 10) || '.' || (CAST(floor(n / 1048576 * 10 + 0.5) AS BIGINT) % 10) || ' MB' END AS size,
+CAST(floor(least(1.0, greatest(0.0, CAST(length(text) AS DOUBLE) / CAST(2000 AS DOUBLE) - CAST(0.1 AS DOUBLE))) * 100 + 0.5) AS BIGINT) || '%' AS share FROM (SELECT doc_id, text, length(text) * (doc_id % 4000 + 1) AS n FROM documents)""",
+        "settings": """SELECT DISTINCT user_id AS reader, CASE WHEN user_id % 3 = 0 THEN CAST(0.5 + user_id % 4 * 0.25 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS rate, CAST(1 AS DOUBLE) AS pitch, CAST(1 AS DOUBLE) AS volume, CASE WHEN user_id % 2 = 0 THEN 'inline' ELSE 'chapter-end' END AS footnote_mode,
+FALSE AS describe_images, user_id % 7 = 0 AS read_tables, TRUE AS read_captions, TRUE AS announce_chapters, CAST(1 AS DOUBLE) AS pause_scale, CAST(CASE WHEN user_id % 5 = 0 THEN user_id % 90 + 120 ELSE 165 END AS INTEGER) AS base_wpm FROM events""",
+        "import_progress": """SELECT page_id, name, round(CASE WHEN n > 0 THEN CASE WHEN page_id % 5 IN (1, 3) THEN page / n * CAST(0.8 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) + page / n * CAST(0.2 AS DOUBLE) END ELSE CAST(0 AS DOUBLE) END, 6) AS fraction
+FROM (SELECT page_id, 'f' || page_id || ['.pdf', '.PDF', '.txt', '.pdf.zip'][page_id % 4 + 1] AS name, CAST(length(url) % 12 AS DOUBLE) AS page, page_id % 9 AS n FROM pages) WHERE page_id % 4 < 2 OR page_id % 6 = 3""",
+        "rate_steps": "SELECT *, least(CAST(2 AS DOUBLE), round(rate + CAST(0.05 AS DOUBLE), 2)) AS faster, greatest(CAST(0.5 AS DOUBLE), round(rate - CAST(0.05 AS DOUBLE), 2)) AS slower FROM (SELECT DISTINCT user_id AS reader, CAST(user_id % 160 + 45 AS DOUBLE) / CAST(100 AS DOUBLE) AS rate FROM events)",
+    }
+
+
 FRACTIONS = "(0.0), (0.1), (0.25), (0.5), (0.75), (0.999), (1.0)"
 
 
@@ -238,4 +255,4 @@ e AS (SELECT reader, CASE WHEN reader % 3 = 0 AND NOT list_contains(ids, b) THEN
 SELECT reader, CAST(unnest(range(len(ids))) AS BIGINT) AS place, unnest(ids) AS book_id FROM e""",
         "shelf": """SELECT doc_id AS book_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'OCR' END, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3 + 1) || ' columns' END, CASE WHEN doc_id % 10 / 10.0 < 0.8 AND doc_id % 7 <> 0 THEN 'sparse text' END,
 CASE WHEN f > 0.01 THEN CAST(floor(f * 100 + 0.5) AS BIGINT) || '% read' END], lambda x: x IS NOT NULL), ',') AS badges FROM documents LEFT JOIN (SELECT user_id, max(event_id % 100) / 100.0 AS f FROM events GROUP BY user_id) p ON user_id = doc_id""",
-    } | place_queries()
+    } | place_queries() | display_queries()

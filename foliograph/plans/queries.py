@@ -223,10 +223,45 @@ def shelf(spark: SparkSession, d: str) -> DataFrame:
     return Q.shelf(books, progress)
 
 
+def highlights(spark: SparkSession, d: str) -> DataFrame:
+    """The word shown as spoken at a character of every chunk, chosen by its numbers."""
+    own = chunks(spark, d).withColumn("char_index", (F.col("block_id") * 31 + F.col("chunk_idx") * 17 + F.col("book_id")) % (F.length("text") + 9))
+    return K.highlighted(own, S.doc_blocks(spark, d))
+
+
+def sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and shares as they are shown (M2, M3): bytes of the texts taken up to 4,000 times."""
+    docs = S.read(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    return docs.select("doc_id", T.file_size(F.col("n").cast("long") * (F.col("doc_id") % 4000 + 1)).alias("size"), T.percent(F.col("n") / 2000.0 - 0.1).alias("share"))
+
+
+def settings(spark: SparkSession, d: str) -> DataFrame:
+    """What readers have stored over the defaults."""
+    n = F.col("reader")
+    stored = S.read(spark, d, "events").select(F.col("user_id").alias("reader")).distinct()
+    stored = stored.select("reader", F.when(n % 3 == 0, 0.5 + n % 4 * 0.25).alias("rate"), F.when(n % 5 == 0, (n % 90 + 120).cast("int")).alias("base_wpm"), F.when(n % 2 == 0, "inline").alias("footnote_mode"), F.when(n % 7 == 0, True).alias("read_tables"))
+    return P.with_defaults(stored, P.DEFAULTS)
+
+
+def import_progress(spark: SparkSession, d: str) -> DataFrame:
+    """The pages table as files of several kinds on their way in."""
+    n = F.col("page_id")
+    name = F.concat(F.lit("f"), n.cast("string"), F.element_at(F.array(*map(F.lit, [".pdf", ".PDF", ".txt", ".pdf.zip"])), (n % 4 + 1).cast("int")))
+    phase = F.element_at(F.array(*map(F.lit, ["loading", "scanning", "analysing", "ocr", "done"])), (n % 5 + 1).cast("int"))
+    files = S.read(spark, d, "pages").select("page_id", name.alias("name"), F.when(n % 6 == 3, "application/pdf").alias("mime"), phase.alias("phase"), (F.length("url") % 12).alias("page"), (n % 9).alias("pages"))
+    return files.filter(P.importable(F.col("name"), F.col("mime"))).select("page_id", "name", F.round(P.import_fraction(F.col("phase"), F.col("page"), F.col("pages")), 6).alias("fraction"))
+
+
+def rate_steps(spark: SparkSession, d: str) -> DataFrame:
+    own = S.read(spark, d, "events").select(F.col("user_id").alias("reader")).distinct().withColumn("rate", (F.col("reader") % 160 + 45) / 100.0)
+    return own.select("reader", "rate", T.rate_step(F.col("rate"), True).alias("faster"), T.rate_step(F.col("rate"), False).alias("slower"))
+
+
 NAMES = (
     clean_text, speech_text, word_counts, sentences, sentence_rows, roman_values, chunks, chunk_pacing, paragraphs, signatures, folios, running_heads, stripped_lines,
     chapters, durations, quality, queue_end, queue_inline, queue_skip, queue_progress, seek, position, reading_window, reading_list, wpm, running_wpm, progress_latest, upsert_delete,
     progress_records, time_left, seek_offset, skip, settings_change, edited_blocks, bookmarks, imported, list_edits, shelf,
+    highlights, sizes, settings, import_progress, rate_steps,
 )
 
 

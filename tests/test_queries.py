@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from foliograph.functions import text as T
 from foliograph.operators import chapters as C
+from foliograph.operators import narration as K
+from foliograph.operators import playback as P
 from foliograph.operators import queue as Q
 from foliograph.plans import layout_oracles, oracles
 from foliograph.plans import queries as plans
+from foliograph.sources import stores
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -89,3 +92,40 @@ def test_inline_queue(spark):
     blocks = spark.createDataFrame(rows, "book_id int, block_id long, chapter int, type string, note_ref string, words int")
     order = lambda mode: [r["block_id"] for r in Q.build_queue(blocks, mode).orderBy("pos").collect()]
     assert order("chapter-end") == [0, 1, 2, 3, 4] and order("inline") == [0, 1, 2, 3, 4] and order("skip") == [0, 1, 2]
+
+
+def test_paragraph_ends(spark):
+    """Of closing lines in a row every second one is a paragraph's first; blank lines, line breaks of either kind, empty and null texts."""
+    rows = [(1, "One.\nTwo.\nThree.\nFour.\nFive."), (2, "\r\n\r\n  a-\r\nb \r\n\r\n\r\nlong-\nEnd"), (3, ""), (4, None), (5, "x")]
+    got = C.paragraphs(spark.createDataFrame(rows, "id int, text string"), "id").orderBy("id", "idx").collect()
+    assert [(r["id"], r["idx"], r["text"]) for r in got] == [(1, 0, "One. Two."), (1, 1, "Three. Four."), (1, 2, "Five."), (2, 0, "ab"), (2, 1, "long- End")]
+
+
+@pytest.mark.parametrize(("at", "want"), [(0, (4, "one")), (4, (8, "two")), (7, (8, "two")), (99, (12, "three"))])
+def test_highlight(spark, at, want):
+    blocks = spark.createDataFrame([(1, 2, "Oh, one two three")], "book_id int, block_id int, text string")
+    said = spark.createDataFrame([(1, 2, 0, 4, "one two three", at)], "book_id int, block_id int, chunk_idx int, offset int, text string, char_index int")
+    assert tuple(K.highlighted(said, blocks).first())[3:] == want
+
+
+def test_display(spark):
+    steps = [T.rate_step(F.lit(r), up) for r, up in ((1.0, True), (1.98, True), (0.52, False), (1.1, False))]
+    done = [P.import_fraction(F.lit(p), F.lit(a), F.lit(n)) for p, a, n in (("scanning", 5, 10), ("analysing", 5, 10), ("ocr", 1, 0))]
+    taken = [P.importable(F.lit(n), F.lit(m)) for n, m in (("A.PDF", None), ("a", "application/pdf"), ("a.pdf.txt", "text/plain"), (None, None))]
+    assert list(spark.range(1).select(*steps).first()) == [1.05, 2.0, 0.5, 1.05]
+    assert [round(x, 9) for x in spark.range(1).select(*done).first()] == [0.4, 0.9, 0.0]
+    assert list(spark.range(1).select(*taken).first()) == [True, True, False, False]
+
+
+def test_stores(spark, tmp_path):
+    """A save replaces a book in the stores it names; one that wasn't published is not seen; a removed book is gone from all."""
+    root, ids = str(tmp_path), lambda *n: spark.createDataFrame([(i,) for i in n], "book_id int")
+    blocks = lambda *rows: spark.createDataFrame(list(rows), "book_id int, text string")
+    read = lambda name: sorted(map(tuple, stores.load(spark, root, name).select("book_id", "text").collect()))
+    stores.save(ids(1, 2), root, 1, {"books": blocks((1, "A"), (2, "B")), "blocks": blocks((1, "x"), (1, "y"), (2, "z"))})
+    stores.save(ids(1), root, 2, {"blocks": blocks((1, "w"), (2, "not of this save"))})
+    assert read("blocks") == [(1, "w"), (2, "z")] and read("books") == [(1, "A"), (2, "B")]
+    blocks((2, "lost")).write.parquet(f"{root}/blocks/version=3")
+    assert read("blocks") == [(1, "w"), (2, "z")]
+    stores.save(ids(2), root, 3, {"books": None, "blocks": None})
+    assert read("blocks") == [(1, "w")] and read("books") == [(1, "A")]
