@@ -16,25 +16,25 @@ from foliograph.sources import projections as S
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return S.read(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("text"))
+    return S.texts(spark, d).select("doc_id", T.clean(F.col("text")).alias("text"))
 
 
 def speech_text(spark: SparkSession, d: str) -> DataFrame:
-    return S.read(spark, d, "documents").select("doc_id", T.speech(F.col("text")).alias("text"))
+    return S.texts(spark, d).select("doc_id", T.speech(F.col("text")).alias("text"))
 
 
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
-    return S.read(spark, d, "documents").select("doc_id", T.count_words(F.col("text")).alias("words"), T.count_tokens(F.col("text")).alias("tokens"))
+    return S.texts(spark, d).select("doc_id", T.count_words(F.col("text")).alias("words"), T.count_tokens(F.col("text")).alias("tokens"))
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: sentences and words by language."""
-    rows = K.split_sentences(S.read(spark, d, "documents"), "doc_id", "lang").withColumn("words", T.count_words(F.col("text")))
+    rows = K.split_sentences(S.texts(spark, d), "doc_id", "lang").withColumn("words", T.count_words(F.col("text")))
     return rows.groupBy("lang").agg(F.count("*").alias("sentences"), F.sum("words").alias("words"), F.round(F.sum("words") / F.count("*"), 6).alias("mean_words"))
 
 
 def sentence_rows(spark: SparkSession, d: str) -> DataFrame:
-    return K.split_sentences(S.read(spark, d, "documents"), "doc_id")
+    return K.split_sentences(S.texts(spark, d), "doc_id")
 
 
 def roman_values(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def chunk_pacing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return C.paragraphs(S.read(spark, d, "documents"), "doc_id")
+    return C.paragraphs(S.texts(spark, d), "doc_id")
 
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +128,7 @@ def reading_window(spark: SparkSession, d: str) -> DataFrame:
 
 def reading_list(spark: SparkSession, d: str) -> DataFrame:
     ids = S.read(spark, d, "conversations").select(F.col("conv_id").alias("pos")).distinct().withColumn("book_id", F.col("pos") * 7)
-    books = S.read(spark, d, "documents").select(F.col("doc_id").alias("book_id"), T.count_words(F.col("text")).alias("words"))
+    books = S.texts(spark, d).select(F.col("doc_id").alias("book_id"), T.count_words(F.col("text")).alias("words"))
     progress = S.read(spark, d, "events").groupBy(F.col("user_id").alias("book_id")).agg((F.max(F.col("event_id") % 100) / 100.0).alias("fraction"))
     return Q.reading_list(ids, books, progress)
 

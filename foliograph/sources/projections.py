@@ -8,15 +8,28 @@ from pyspark.sql import functions as F
 
 #: Ids that are ranked together.
 STRETCH = 100_000
+#: Bytes of a Parquet row group, about, which one task reads.
+ROW_GROUP = 128 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """The documents. A table smaller than a row group for each core may lie in one, and so in one task; it is dealt over the cores by doc_id. A larger one is read where it lies.
+
+    together: for what brings the lines of a document together later, so that whole texts are shuffled once instead of their lines.
+    """
+    docs, cores = read(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    if docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * ROW_GROUP:
+        return docs.repartition(cores, "doc_id")
+    return docs.repartition("doc_id") if together else docs
+
+
+def text_lines(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
     """doc_id, source, li (from 0), line."""
-    return read(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("li", "line"))
+    return texts(spark, sf_dir, together).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("li", "line"))
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +44,7 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, page, line_idx (from 0), line, band (the first and last line of a page)."""
-    sized = read(spark, sf_dir, "documents").select("doc_id", "source", F.size(F.split("text", "\n")).alias("n_lines"), F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
+    sized = texts(spark, sf_dir).select("doc_id", "source", F.size(F.split("text", "\n")).alias("n_lines"), F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
     pages = doc_pages(spark, sf_dir)
     return sized.join(pages.drop("source"), "doc_id").select("book", "page", F.col("line_idx").cast("long").alias("line_idx"), "line", ((F.col("line_idx") == 0) | (F.col("line_idx") == F.col("n_lines") - 1)).alias("band"))
 
@@ -52,7 +65,7 @@ def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, k = F.col("li"), (F.col("doc_id") + F.col("li")) % 10
     kind = F.when(k == 0, "heading").when(k == 1, "caption").when(k == 2, "table").when(k.isin(3, 4), "footnote").otherwise("paragraph")
     ref = F.when((F.col("type") == "paragraph") & (li % 2 == 0) | (F.col("type") == "footnote") & (li % 5 != 0), (li % 3).cast("string"))
-    rows = text_lines(spark, sf_dir).withColumn("chapter", F.floor(li / 25).cast("long")).withColumn("type", kind).withColumn("note_ref", ref)
+    rows = text_lines(spark, sf_dir, together=True).withColumn("chapter", F.floor(li / 25).cast("long")).withColumn("type", kind).withColumn("note_ref", ref)
     order = Window.partitionBy("doc_id").orderBy("chapter", F.col("type") == "footnote", "li")
     return rows.select(F.col("doc_id").alias("book_id"), (F.row_number().over(order) - 1).cast("long").alias("block_id"), "chapter", "type", F.col("line").alias("text"), "note_ref")
 
@@ -61,7 +74,7 @@ def raw_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines as raw blocks of pages of twelve; every 25th line of an even document is a chapter heading."""
     li = F.col("li")
     heading = (F.col("doc_id") % 2 == 0) & (li % 25 == 0)
-    return text_lines(spark, sf_dir).select(
+    return text_lines(spark, sf_dir, together=True).select(
         F.col("doc_id").alias("book_id"), li.cast("long").alias("raw_idx"), F.when(heading, "heading").otherwise("paragraph").alias("type"),
         F.when(heading, F.concat(F.lit("Chapter "), (F.floor(li / 25) + 1).cast("string"))).otherwise(F.col("line")).alias("text"), (F.floor(li / 12) + 1).cast("long").alias("page"),
     )
@@ -80,7 +93,7 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     line, k = F.col("line"), F.col("k")
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length(line) / 40)) - 1), lambda i: F.substring(line, (i * 40 + 1).cast("int"), F.lit(40)))
-    rows = text_lines(spark, sf_dir).select("doc_id", "source", "li", F.posexplode(cut).alias("k", "slice")).filter(F.col("slice") != "")
+    rows = text_lines(spark, sf_dir, together=True).select("doc_id", "source", "li", F.posexplode(cut).alias("k", "slice")).filter(F.col("slice") != "")
     rows = rows.withColumn("s", F.row_number().over(Window.partitionBy("doc_id").orderBy("li", k)) - 1).withColumn("two", F.col("doc_id") % 2 == 1)
     s, two = F.col("s"), F.col("two")
     page, col = F.floor(s / F.when(two, 80).otherwise(40)) + 1, F.when(two, F.floor(s % 80 / 40)).otherwise(0)
