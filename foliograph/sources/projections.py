@@ -45,8 +45,9 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, page, line_idx (from 0), line, band (the first and last line of a page)."""
     sized = texts(spark, sf_dir).select("doc_id", "source", F.size(F.split("text", "\n")).alias("n_lines"), F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
-    pages = doc_pages(spark, sf_dir)
-    return sized.join(pages.drop("source"), "doc_id").select("book", "page", F.col("line_idx").cast("long").alias("line_idx"), "line", ((F.col("line_idx") == 0) | (F.col("line_idx") == F.col("n_lines") - 1)).alias("band"))
+    # met where the lines lie: a broadcast of the lines would leave what follows to the tasks of the pages, one for a small table
+    pages = doc_pages(spark, sf_dir).drop("source").hint("merge")
+    return sized.join(pages, "doc_id").select("book", "page", F.col("line_idx").cast("long").alias("line_idx"), "line", ((F.col("line_idx") == 0) | (F.col("line_idx") == F.col("n_lines") - 1)).alias("band"))
 
 
 def doc_lines_dressed(spark: SparkSession, sf_dir: str) -> DataFrame:
