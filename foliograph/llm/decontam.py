@@ -20,7 +20,7 @@ from foliograph.llm.common import LOWER, WORD_TABLE, row_of_batch, span_hashes,
 from foliograph.llm.graph import saved
 
 N = 10
-#: Windows of test items that are broadcast at once (about 150 bytes each), about; an item is not divided.
+#: Windows of test items that are broadcast at once (about 520 bytes each in a worker), about; an item is not divided.
 MAX_WINDOWS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
