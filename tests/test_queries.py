@@ -14,7 +14,7 @@ from foliograph.operators import playback as P
 from foliograph.operators import queue as Q
 from foliograph.plans import layout_oracles, oracles
 from foliograph.plans import queries as plans
-from foliograph.sources import stores
+from foliograph.sources import projections, stores
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,6 +39,15 @@ def test_against_sql(spark, duck, name):
     assert plain(got) == plain(want)
 
 
+@pytest.mark.parametrize("name", ["word_counts", "paragraphs", "queue_end", "chapters", "signatures"])
+def test_large_tables(spark, monkeypatch, name):
+    """Tables that are read where they lie give what small ones give, which are dealt over the cores first."""
+    rows = lambda: sorted(map(str, plans.queries()[name](spark, SF).collect()))
+    dealt = rows()
+    monkeypatch.setattr(projections, "ROW_GROUP", 0)
+    assert rows() == dealt
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
