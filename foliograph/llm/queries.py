@@ -1,6 +1,6 @@
-"""The ten operators' queries, and DuckDB SQL for those that SQL can express."""
+"""The thirteen operators' queries, and DuckDB SQL for those that SQL can express."""
 
-from foliograph.llm import ann, bpe, decontam, langid, licenses, pii, quality, simhash, toxicity, urlfilter
+from foliograph.llm import ann, bpe, decontam, exact, langid, licenses, phrases, pii, prefix_trie, quality, simhash, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -15,8 +15,17 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
+        "op11_trie": prefix_trie.op11_trie,
+        "op12_phrases": phrases.op12_phrases,
+        "op13_exact": exact.op13_exact,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.OP2_SQL, "op4_urlfilter": urlfilter.OP4_SQL}
+    return {
+        "op2_decontamination": decontam.OP2_SQL,
+        "op4_urlfilter": urlfilter.OP4_SQL,
+        "op11_trie": prefix_trie.OP11_SQL,
+        "op12_phrases": phrases.OP12_SQL,
+        "op13_exact": exact.OP13_SQL,
+    }
