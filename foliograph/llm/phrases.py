@@ -27,9 +27,9 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Bits of the bitmap of frequent fingerprints, as a power of 2: 16 MB in the driver and in each Python worker, whatever the input.
 BITS = 27
 #: Fingerprints that a task holds before it adds up equal ones, and distinct ones that it holds before it hands them on.
-HELD, DISTINCT = 1 << 22, 1 << 21
+HELD, DISTINCT = 1 << 20, 1 << 19
 #: Bytes of text in which equal occurrences are grouped before they are written out.
-GROUPED_BYTES = 1 << 22
+GROUPED_BYTES = 1 << 21
 #: A-Z in lower case, a tab as a blank: words stand joined as they are found.
 PLAIN = LOWER.copy()
 PLAIN[9] = 32
