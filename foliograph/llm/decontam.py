@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams, scanned over all training windows.
 
 Every window of N words of every item is hashed and the hash set goes to the executors. Items of more
-than MAX_WINDOWS windows are dealt over several such sets, which look at the documents one after the
-other; the hits are written with the documents in between. A window of a document whose hash is in
+than MAX_WINDOWS windows are dealt over several such sets, a larger item in pieces, which look at the documents one
+after the other; of each only the texts that it hits are written. A window of a document whose hash is in
 the set is compared word by word before it counts.
 """
 
@@ -13,14 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import LOWER, WORD_TABLE, row_of_batch, span_hashes, table, text_blocks, weighted, word_places
+from foliograph.llm.common import LOWER, WORD_TABLE, free_name, row_of_batch, span_hashes, table, text_blocks, weighted, word_places
 from foliograph.llm.graph import saved
 
 N = 10
-#: Windows of test items that are broadcast at once (about 520 bytes each in a worker), about; an item is not divided.
+#: Windows of test items that are broadcast at once (about 520 bytes each in a worker), about; larger items are divided.
 MAX_WINDOWS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,14 +83,22 @@ class WindowSet:
         return cuts, hits
 
 
-def benchmark_windows(benchmark: DataFrame, n: int) -> int:
-    """Windows of all items, at most; an upper bound from word counts, computed by Spark."""
-    size = F.size(F.regexp_extract_all(F.translate("text", UPPER_AZ, LOWER_AZ), F.lit(WORD), 0))
-    return benchmark.filter(F.col("text").isNotNull()).agg(F.sum(size)).first()[0] or 0
+def words_in(text: str) -> Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER_AZ, LOWER_AZ), F.lit(WORD), 0)
 
 
-#: Hits of earlier sets by row: first word, words, items, and the bytes of the text.
+def in_pieces(benchmark: DataFrame, n: int, most: int) -> DataFrame:
+    """item_id, piece, text, windows: items in pieces of at most `most` windows, so that every window lies in one piece; an item of fewer than n words is one piece."""
+    words = benchmark.select("item_id", words_in("text").alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)), F.lit(most))
+    pieces = words.select("item_id", F.size("w").alias("size"), "w", F.posexplode(starts).alias("piece", "at"))
+    text = F.array_join(F.slice("w", F.col("at") + 1, F.lit(most + n - 1)), " ")
+    return pieces.select("item_id", "piece", text.alias("text"), F.greatest(F.lit(1), F.least(F.lit(most), F.col("size") - n + 1 - F.col("at"))).alias("windows"))
+
+
+#: Hits by text: first word, words, items, and the bytes of the text.
 HITS = "array<struct<first:int,size:int,ids:array<string>,a:int,b:int>>"
+HITS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.string())), ("a", pa.int32()), ("b", pa.int32())]))
 
 
 def hits_of(items: WindowSet, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[int, list[dict]]]:
@@ -104,32 +112,40 @@ def hits_of(items: WindowSet, data: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 
 def searched(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, n: int, max_windows: int):
-    """Documents and a function of (rows, data, at) of their text blocks that gives what hits_of() gives for all items. Several sets leave their hits in a column _hits."""
-    parts = -(-benchmark_windows(benchmark, n) // max_windows)
+    """Documents and a function of (rows, data, at) of their text blocks that gives what hits_of() gives for all items.
+
+    Several sets are looked up one after the other, and what is written of each are the texts that it hits, by their SHA-256, with the hits; in the end the documents get them in a column of their own, in one join.
+    """
+    pieces = in_pieces(benchmark, n, max_windows)
+    parts = -(-(pieces.agg(F.sum("windows")).first()[0] or 0) // max_windows)
 
     def shared(own: DataFrame):
         return spark.sparkContext.broadcast(WindowSet([tuple(r) for r in own.select("item_id", "text").collect()], n))
 
     if parts <= 1:
-        items = shared(benchmark)
+        items = shared(pieces)
         return documents, lambda rows, data, at: hits_of(items.value, data, at)
-    documents = documents.withColumn("_hits", F.array().cast(HITS))
+    key = F.unhex(F.sha2("text", 256))
+    texts = documents.filter("text is not null").select(key.alias("key"), "text")
+    found = None
     for p in range(parts):
-        items = shared(benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p))
+        items = shared(pieces.filter(F.pmod(F.xxhash64("item_id", "piece", "text"), F.lit(parts)) == p))
 
         def look(batches: Iterator[pa.RecordBatch], items=items):
             for rows, data, at in text_blocks(batches):
-                place = rows.schema.get_field_index("_hits")
-                found = rows.column(place).to_pylist()
-                for k, more in hits_of(items.value, data, at)[1].items():
-                    found[k] = [*found[k], *more]
-                yield rows.set_column(place, rows.schema.field(place), pa.array(found, rows.schema.field(place).type))
+                by = hits_of(items.value, data, at)[1]
+                if by:
+                    yield pa.record_batch([row_of_batch(rows, "key").take(pa.array(list(by))), pa.array(list(by.values()), HITS_ARROW)], ["key", "hits"])
 
-        documents = saved(documents.mapInArrow(look, documents.schema))
+        own = saved(texts.mapInArrow(look, f"key binary, hits {HITS}").dropDuplicates(["key"]))
+        found = own if found is None else found.unionByName(own)
         items.unpersist()
+    name, own_key = free_name(documents, "_hits"), free_name(documents, "_key")
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias(name)).withColumnRenamed("key", own_key)
+    documents = documents.withColumn(own_key, key).join(found, own_key, "left").drop(own_key)
 
     def written(rows, data, at):
-        return word_places(data, at)[2], {k: found for k, found in enumerate(row_of_batch(rows, "_hits").to_pylist()) if found}
+        return word_places(data, at)[2], {k: hits for k, hits in enumerate(row_of_batch(rows, name).to_pylist()) if hits}
 
     return documents, written
 
@@ -172,12 +188,13 @@ def _merged(text: bytes, found: list[tuple[int, int]]) -> list[list[int]]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-    return [[len(text[:a].decode()), len(text[:b].decode())] for a, b in out]
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+    return before[np.array(out, int)].tolist()
 
 
 def scan_by_join(documents: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The same result without spans, which the tests compare with: windows of both sides meet in a shuffle join by their text. Rows of one doc_id and text are one document here and come out as often as they went in."""
-    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER_AZ, LOWER_AZ), F.lit(WORD), 0)
+    words = words_in("text")
 
     def windows(size):
         return F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, size), " ").alias("g")))
@@ -220,10 +237,8 @@ def remove_spans(spark: SparkSession, documents: DataFrame, benchmark: DataFrame
                 for h in found:
                     covered[h["first"] : h["first"] + h["size"]] = True
                 kept[k] = covered.mean() <= max_share
-                whole = text[k]
-                for a, b in reversed(_merged(whole.encode(), [(h["a"], h["b"]) for h in found])):
-                    whole = whole[:a] + " " + whole[b:]
-                text[k] = whole
+                spans = _merged(text[k].encode(), [(h["a"], h["b"]) for h in found])
+                text[k] = " ".join(text[k][a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), None], strict=True))
             rows = rows.select(names)
             place = rows.schema.get_field_index("text")
             yield rows.set_column(place, rows.schema.field(place), pa.array(text, rows.schema.field(place).type)).filter(pa.array(kept))
