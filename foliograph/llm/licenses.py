@@ -47,19 +47,20 @@ def family(identifier: str) -> tuple[frozenset[str], bool]:
 
 
 def evaluate(expression: str) -> tuple[frozenset[str], bool] | None:
-    """Labels and permissiveness of the longest expression at the beginning; None if there is none.
+    """Labels and permissiveness of the expression at the beginning; None if there is none.
 
     `with` binds closest and keeps its licence's value, its exception counts as no licence; `and` needs both to be
-    permissive; `or` either. Equal operators group from the left. A parenthesis that is not closed ends the expression before it.
+    permissive; `or` either. Equal operators group from the left. What is left open at the end is closed there: operators
+    without an operand behind them don't count, and parentheses end where the expression does.
     """
-    best, ops, values, operand = None, [], [], True
+    ops, values, operand, whole = [], [], True, 0
 
     def apply():
         op, b, a = ops.pop(), values.pop(), values.pop()
         values.append((a[0], a[1]) if op == "with" else (a[0] | b[0], a[1] and b[1] if op == "and" else a[1] or b[1]))
 
-    for token in re.findall(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*|\S", expression):
-        word = token.lower()
+    for match in re.finditer(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*|\S", expression):
+        token, word = match[0], match[0].lower()
         if operand and token == "(":
             ops.append(token)
         elif operand and re.match(r"[A-Za-z0-9]", token) and word not in BINDS:
@@ -68,6 +69,7 @@ def evaluate(expression: str) -> tuple[frozenset[str], bool] | None:
         elif not operand and word in BINDS:
             while ops and ops[-1] != "(" and BINDS[ops[-1]] >= BINDS[word]:
                 apply()
+            whole = len(ops)
             ops.append(word)
             operand = True
         elif not operand and token == ")" and "(" in ops:
@@ -76,13 +78,14 @@ def evaluate(expression: str) -> tuple[frozenset[str], bool] | None:
             ops.pop()
         else:
             break
-        if not operand and "(" not in ops:
-            held = ops[:], values[:]
-            while ops:
-                apply()
-            best = values[-1]
-            ops, values = held
-    return best
+    if operand:
+        del ops[whole:]
+    while ops and values:
+        if ops[-1] == "(":
+            ops.pop()
+        else:
+            apply()
+    return values[-1] if values else None
 
 
 @lru_cache(1)
@@ -102,6 +105,7 @@ def scan_text(text: bytes) -> tuple:
         return 0, 0, None, None, "", "", 0.0, None
     line = f" {b' '.join(words).decode('latin-1')} "
     base, weight, starts, tags = set(), {}, [], []
+    blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
     for end, phrase in automaton().iter(line):
         if phrase in BASE:
             base.add(BASE[phrase])
@@ -111,16 +115,17 @@ def scan_text(text: bytes) -> tuple:
             label, w = NOTICES[phrase]
             weight[label] = max(weight.get(label, 0), w)
         if phrase == TAG:
-            tags.append(line.count(" ", 0, end))
+            tags.append(end)
     permissive = None
     if tags:
-        # the automaton has counted the words up to each tag's end
-        ends = word_places(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[1]
-        for k in tags:
-            if (m := TAGGED.match(text, ends[k - 1])) and (value := evaluate(m[1].decode())):
+        # as many words end before a tag's end as blanks stand before it; what stands behind a tag ends where the next one begins
+        first, ends, _ = word_places(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        last = np.searchsorted(blanks, tags) - 1
+        for at, stop in zip(ends[last].tolist(), [*first[last[1:] + 1 - len(TAG.split())].tolist(), len(text)], strict=True):
+            if (m := TAGGED.match(text, at, max(at, stop))) and (value := evaluate(m[1].decode(errors="ignore"))):
                 weight |= dict.fromkeys(value[0], TAG_WEIGHT)
                 permissive = value[1] if permissive is None else permissive and value[1]
-    ordinal = [line.count(" ", 0, s + 1) - 1 for s in (min(starts), max(starts))] if starts else [None, None]
+    ordinal = [int(np.searchsorted(blanks, s + 1)) - 1 for s in (min(starts), max(starts))] if starts else [None, None]
     score = 1 - float(np.prod([1 - w for w in weight.values()])) if weight else 0.0
     return len(words), len(starts), *ordinal, ",".join(sorted(base)), ",".join(sorted(weight)), score, permissive
 
