@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -381,7 +383,10 @@ def decode_spans(model: Model, texts: list[str], everywhere: bool = False) -> li
 
 def all_spans(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Base spans and those of more that meet none of them, by kind as listed, then start."""
-    kept = [m for m in more if all(m[2] <= b[1] or m[1] >= b[2] for b in base)]
+    starts = sorted(b[1] for b in base)
+    # the farthest end of the base spans up to each start
+    ends = list(accumulate((b[2] for b in sorted(base, key=lambda b: b[1])), max))
+    kept = [m for m in more if not (n := bisect_left(starts, m[2])) or ends[n - 1] <= m[1]]
     return sorted({*base, *kept}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
