@@ -11,22 +11,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import table
+from foliograph.llm.graph import saved
 
-#: Captures of the commonest pattern that one group takes, about: a host may hold a third of all captures, so they are dealt over groups, and the intervals are given to each.
+#: Captures of a pattern that one group takes, about: a host may hold a third of all captures, so those of a commoner pattern are dealt over groups, and its intervals are given to each.
 SALT_ROWS = 500_000
 
 
+#: The host of a URL, which may be an address in square brackets.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+#: A host that is an address has no parent domains.
+ADDRESS = r"^(\[.*|[0-9]+(\.[0-9]+)*)$"
+
+
 def host_of(url: Column) -> Column:
     """Host in lower case, without user, port and a final dot; empty if there is none."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"\.$", "")
+    return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
 
 
 def patterns_of(url: Column) -> Column:
-    """What a list can name of a URL: its host, every parent domain of two labels at least, and its host with the first path segment."""
+    """What a list can name of a URL: its host, every parent domain of two labels at least (an address has none), and its host with the first path segment."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     segment = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+)", 1)
+    parents = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(parents)
     known = F.array_union(parents, F.when(segment != "", F.array(F.concat(host, segment))).otherwise(F.array().cast("array<string>")))
     return F.when(host != "", known).otherwise(F.array().cast("array<string>"))
 
@@ -49,12 +57,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame, salt_rows: int = SALT_R
     """
     kept = captures.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("n_rows"))
     keys = kept.select("page_id", "url", "fetched", F.explode(patterns_of(F.col("url"))).alias("pattern"))
-    most = captures.select(F.explode(patterns_of(F.col("url"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    salts = max(1, -(-most // salt_rows))
-    keys = keys.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(salts)))
-    valid = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    valid = intervals(entries)
+    # one row for each salt_rows captures at most; cold patterns stay in one group
+    hot = captures.select(F.explode(patterns_of(F.col("url"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") > salt_rows).select("pattern", F.ceil(F.col("n") / salt_rows).alias("salts"))
+    on = ["pattern"]
+    if not hot.isEmpty():
+        hot, on = saved(hot), ["pattern", "salt"]
+        salts = F.coalesce("salts", F.lit(1).cast("long"))
+        keys = keys.join(hot, "pattern", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched"), salts)).drop("salts")
+        valid = valid.join(hot, "pattern", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
     hits = (
-        keys.join(valid, ["pattern", "salt"]).filter((F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+        keys.join(valid, on).filter((F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
         .groupBy("page_id", "url", "fetched")
         .agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias("rules"))
     )
@@ -97,9 +110,9 @@ def _crc32_sql(column: str) -> str:
 
 
 _PATTERNS = """(SELECT page_id, url, host, pattern FROM (SELECT page_id, url, host, unnest(list_distinct(list_concat(
-  list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
+  CASE WHEN regexp_matches(host, '^(\\[.*|[0-9]+(\\.[0-9]+)*)$') THEN [host] ELSE list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')) END,
   CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+)', 1) <> '' THEN [host || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+)', 1)] ELSE [] END))) AS pattern
-  FROM (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '[.]$', '') AS host FROM pages) WHERE host <> ''))"""
+  FROM (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)', 1)), '[.]$', '') AS host FROM pages) WHERE host <> ''))"""
 
 OP4_SQL = f"""
 WITH keys AS (SELECT DISTINCT pattern FROM {_PATTERNS} WHERE len(string_split_regex(pattern, '[./]')) > 2),
@@ -111,7 +124,7 @@ k AS (SELECT page_id, url, host, pattern, DATE '2024-01-01' + CAST(page_id % 365
 x AS (SELECT k.page_id, k.url, count(*) AS n_active, string_agg(DISTINCT v.list, ',' ORDER BY v.list) AS lists, string_agg(DISTINCT v.pattern, ',' ORDER BY v.pattern) AS rules
   FROM k JOIN v ON k.pattern = v.pattern AND k.fetched >= v.since AND (v.until IS NULL OR k.fetched < v.until) GROUP BY ALL)
 SELECT p.page_id, p.url, CAST(CAST(DATE '2024-01-01' + CAST(p.page_id % 365 AS INTEGER) AS DATE) AS VARCHAR) AS fetched, CAST(count(*) AS BIGINT) AS n_rows,
-  regexp_replace(lower(regexp_extract(coalesce(p.url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '[.]$', '') AS host,
+  regexp_replace(lower(regexp_extract(coalesce(p.url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)', 1)), '[.]$', '') AS host,
   CAST(coalesce(any_value(x.n_active), 0) AS BIGINT) AS n_active, coalesce(any_value(x.lists), '') AS lists, coalesce(any_value(x.rules), '') AS rules, coalesce(any_value(x.n_active), 0) > 0 AS blocked
 FROM pages p LEFT JOIN x ON p.page_id = x.page_id AND p.url = x.url GROUP BY p.page_id, p.url
 """
