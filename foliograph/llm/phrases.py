@@ -29,7 +29,7 @@ BITS = 27
 #: Fingerprints that a task holds before it adds up equal ones, and distinct ones that it holds before it hands them on.
 HELD, DISTINCT = 1 << 20, 1 << 19
 #: Bytes of text in which equal occurrences are grouped before they are written out.
-GROUPED_BYTES = 1 << 21
+GROUPED_BYTES = 1 << 20
 #: A-Z in lower case, a tab as a blank: words stand joined as they are found.
 PLAIN = LOWER.copy()
 PLAIN[9] = 32
