@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.operators import order
 
 TRUSTED_MS = 20_000
+#: Least time between two writes of a reader's position.
+EVERY_MS = 4_000
 
 # A player's settings until a reader changes them.
 DEFAULTS = {
@@ -31,6 +34,28 @@ def running_rate(log: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "event_id", F.when(F.col("t") > TRUSTED_MS, F.floor(F.col("w") / F.col("t") * 60000 + 0.5).cast("long")).alias("wpm"))
 
 
+def session_rate(log: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, event_id, session, words, ms, wpm after every event, counted from the opening of a book on (P2): a row whose column `opens` is true begins anew. A busy reader is scanned by ranges."""
+    rows = log.select(*keys, "ts", "event_id", "opens", F.col("words").alias("w"), F.col("ms").alias("t"))
+    sums = order.segment_sums(rows, keys, [F.col("ts"), F.col("event_id")], "opens", {"words": "w", "ms": "t"})
+    return sums.select(*keys, "event_id", F.col("segment").alias("session"), "words", "ms", F.when(F.col("ms") > TRUSTED_MS, F.floor(F.col("words") / F.col("ms") * 60000 + 0.5).cast("long")).alias("wpm"))
+
+
+def throttled(moves: DataFrame, every: int = EVERY_MS) -> DataFrame:
+    """reader, opened, due, event_id: the writes of positions (P3). A move sets a timer unless one is running; moves meanwhile don't extend it, and what is written when it ends is the last move before.
+
+    moves: reader, t (in ms), event_id; of moves of one time the last event_id counts. Each move points to the first one after the timer that it would set; the moves that do set one
+    are those that are reached from the reader's first.
+    """
+    rows = moves.groupBy("reader", F.col("t").alias("at")).agg(F.max("event_id").alias("event_id"))
+    later = Window.partitionBy("reader").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -every)
+    steps = rows.withColumn("to", F.min("at").over(later))
+    set_by = order.reached(steps, rows.groupBy("reader").agg(F.min("at").alias("at")), ["reader"]).withColumn("opened", F.col("at"))
+    so_far = Window.partitionBy("reader").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    timed = rows.join(set_by, ["reader", "at"], "left").withColumn("opened", F.max("opened").over(so_far))
+    return timed.groupBy("reader", "opened").agg(F.max_by("event_id", "at").alias("event_id")).select("reader", "opened", (F.col("opened") + every).alias("due"), "event_id")
+
+
 def upsert(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last write of every key (S13): a partial maximum, no sort."""
     values = [c for c in rows.columns if c not in key]
@@ -48,11 +73,12 @@ def with_defaults(settings: DataFrame, defaults: dict) -> DataFrame:
 
 
 def progress_records(at: DataFrame, queue: DataFrame, chunks: DataFrame) -> DataFrame:
-    """book_id, block_id, offset, fraction (of the words before it, 0 of an empty queue): what is stored of a position (P4). at: book_id, pos, chunk_idx."""
+    """book_id, block_id, offset, fraction (of the words before it, 0 of an empty queue): what is stored of a position (P4). at: book_id, pos, chunk_idx; its other columns come first. It may be a stream."""
     total = queue.groupBy("book_id").agg(F.sum("words").alias("total"))
     rows = at.join(queue.select("book_id", "pos", "block_id", "cum_words"), ["book_id", "pos"]).join(total, "book_id")
     rows = rows.join(chunks.select("book_id", "block_id", "chunk_idx", "offset"), ["book_id", "block_id", "chunk_idx"], "left")
-    return rows.select("book_id", "block_id", F.coalesce("offset", F.lit(0)).cast("long").alias("offset"), F.when(F.col("total") > 0, F.col("cum_words") / F.col("total")).otherwise(0.0).alias("fraction"))
+    others = [c for c in at.columns if c not in ("book_id", "pos", "chunk_idx")]
+    return rows.select(*others, "book_id", "block_id", F.coalesce("offset", F.lit(0)).cast("long").alias("offset"), F.when(F.col("total") > 0, F.col("cum_words") / F.col("total")).otherwise(0.0).alias("fraction"))
 
 
 def time_left(done: DataFrame, base_wpm: float = 165, rate: float = 1.0) -> DataFrame:
@@ -88,6 +114,11 @@ def imported(books: DataFrame, blocks: DataFrame) -> DataFrame:
     return books.join(words, "book_id", "left").select("book_id", book_title(F.col("title"), F.col("file_name")).alias("title"), F.coalesce(T.js_trim(F.col("author")), F.lit("")).alias("author"), F.coalesce("words", F.lit(0)).cast("long").alias("words"), "added_at")
 
 
+def library(books: DataFrame) -> DataFrame:
+    """The books with their place (from 1) in the library: those added last come first, those of one time by id (S12). A rank over the whole table, in ranges."""
+    return order.ranked(books, [F.desc_nulls_last("added_at"), F.asc("book_id")])
+
+
 def importable(name: Column, mime: Column) -> Column:
     """Files that are taken in."""
     return F.coalesce(name.rlike(r"(?i)\.pdf\z"), F.lit(False)) | F.coalesce(mime == "application/pdf", F.lit(False))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.operators import order
+from foliograph.operators.narration import scaled_pause
 
 
 def audible(mode: str, captions: bool, images: bool) -> Column:
@@ -126,3 +128,42 @@ def reading_list(ids: DataFrame, books: DataFrame, progress: DataFrame) -> DataF
     rows = ids.join(books, "book_id").join(progress, "book_id", "left")
     fraction = F.coalesce("fraction", F.lit(0.0))
     return rows.select("pos", "book_id", "words", F.floor(F.col("words") * (1 - fraction) + 0.5).cast("long").alias("words_left"), (fraction > 0.01).alias("started"))
+
+
+def auto_advance(lists: DataFrame, books: DataFrame, removed: DataFrame, finished: DataFrame) -> DataFrame:
+    """reader, book_id, played, last_id, stopped_by: what is played after a book of a reader's list has ended (P13): the books after it, from their beginnings, up to the end of the list
+    (`end`) or a book that the library doesn't know (`unknown`), at which playback stops. Books taken off the list in between are passed over.
+
+    lists: reader, place (one row each, counted from 0 without gaps), book_id; removed: reader, book_id; finished: reader, book_id. A finished book that is unknown or not on its reader's list starts nothing.
+    """
+    own = ["reader", "book_id"]
+    rows = lists.join(removed.select(*own).distinct().withColumn("gone", F.lit(True)), own, "left").join(books.select("book_id").distinct().withColumn("known", F.lit(True)), "book_id", "left")
+    gone, known = F.coalesce("gone", F.lit(False)), F.coalesce("known", F.lit(False))
+    rows = rows.select(*own, F.col("place").alias("at"), gone.alias("gone"), (~gone & ~known).alias("unknown"))
+    played = F.when(~F.col("gone") & ~F.col("unknown"), F.col("book_id"))
+    chained = order.chains(rows.select("reader", "at", F.when(~F.col("unknown"), F.col("at") + 1).alias("to"), played.alias("value")), ["reader"])
+    started = rows.filter(~F.col("gone") & ~F.col("unknown")).select(*own, "at").join(finished.select(*own).distinct(), own).join(chained, ["reader", "at"])
+    started = started.join(rows.select("reader", F.col("at").alias("end"), "unknown"), ["reader", "end"])
+    return started.select(*own, F.col("hops").alias("played"), F.coalesce("last", "book_id").alias("last_id"), F.when(F.col("unknown"), "unknown").otherwise("end").alias("stopped_by"))
+
+
+def chapter_jump(queue: DataFrame, chapters: DataFrame, jumps: DataFrame) -> DataFrame:
+    """book_id, chapter, pos, chunk_idx: where a jump to a chapter lands (P7): at the chapter's first audible block, of a chapter without any at the queue's start; no such chapter, no jump. jumps: book_id, chapter."""
+    entries = chapter_entries(queue, chapters).select("book_id", "chapter", F.col("entry").alias("pos"))
+    return jumps.select("book_id", "chapter").distinct().join(entries, ["book_id", "chapter"]).withColumn("chunk_idx", F.lit(0).cast("long"))
+
+
+def timeline(chunks: DataFrame, queue: DataFrame, base_wpm: float = 165, rate: float = 1.0, scale: float = 1.0) -> DataFrame:
+    """book_id, pos, chunk_idx, start_ms, speech_ms, pause_ms: when each chunk of a book begins to be spoken (P1 as a table): the speech and scaled pauses of all chunks before it in the queue.
+
+    chunks: book_id, block_id, chunk_idx, words, pause_ms; queue: book_id, pos, block_id. A long book is scanned by ranges.
+    """
+    speech = F.floor(F.col("words") * 60000 / (base_wpm * rate) + 0.5).cast("long")
+    rows = chunks.join(queue.select("book_id", "pos", "block_id"), ["book_id", "block_id"]).select("book_id", "pos", "chunk_idx", speech.alias("speech_ms"), scaled_pause(F.col("pause_ms"), scale, rate).alias("pause_ms"))
+    rows = rows.withColumn("both", F.col("speech_ms") + F.col("pause_ms"))
+    return order.running(rows, ["book_id"], [F.col("pos"), F.col("chunk_idx")], {"start_ms": "both"}).select("book_id", "pos", "chunk_idx", "start_ms", "speech_ms", "pause_ms")
+
+
+def marks_in_order(marks: DataFrame) -> DataFrame:
+    """book_id, mark_id, block_id, place (from 0): the bookmarks of a book by block, those of one block as they were set (S12). marks: book_id, mark_id (ascending with time), block_id."""
+    return order.running(marks.select("book_id", "mark_id", "block_id"), ["book_id"], [F.col("block_id"), F.col("mark_id")], {}, "place")

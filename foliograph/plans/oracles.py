@@ -210,6 +210,29 @@ FROM (SELECT page_id, 'f' || page_id || ['.pdf', '.PDF', '.txt', '.pdf.zip'][pag
     }
 
 
+def order_queries() -> dict[str, str]:
+    """Orders over whole tables and steps that follow each other."""
+    ch, end = chunks(), queue("chapter-end")
+    return {
+        "auto_advance": """WITH RECURSIVE l AS MATERIALIZED (SELECT user_id AS reader, event_id AS book, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, event_type = 'signup' AS gone, event_type = 'error' AND event_id % 4 = 0 AS unknown, event_type = 'view' AND event_id % 3 = 0 AS ended FROM events),
+r AS (SELECT reader, book AS started, place, book AS last, 0 AS n, FALSE AS stopped FROM l WHERE ended
+UNION ALL SELECT r.reader, started, l.place, CASE WHEN l.gone OR l.unknown THEN last ELSE l.book END, CASE WHEN l.gone OR l.unknown THEN n ELSE n + 1 END, l.unknown FROM r JOIN l ON l.reader = r.reader AND l.place = r.place + 1 WHERE NOT stopped)
+SELECT reader, started AS book_id, CAST(n AS BIGINT) AS played, last AS last_id, CASE WHEN stopped THEN 'unknown' ELSE 'end' END AS stopped_by FROM r QUALIFY row_number() OVER (PARTITION BY reader, started ORDER BY place DESC) = 1""",
+        "chapter_jump": f"WITH qq AS ({queue('skip')}), c AS (SELECT book_id, chapter, max(chapter) OVER (PARTITION BY book_id) AS n FROM (SELECT DISTINCT book_id, chapter FROM {DOC_BLOCKS})) SELECT c.book_id, CAST(c.chapter AS BIGINT) AS chapter, CAST(coalesce(min(pos), 0) AS BIGINT) AS pos, CAST(0 AS BIGINT) AS chunk_idx FROM c LEFT JOIN qq ON qq.book_id = c.book_id AND qq.chapter = c.chapter WHERE c.chapter IN (1, c.n - 1) GROUP BY c.book_id, c.chapter",
+        "timeline": f"""WITH cc AS ({ch}), qq AS ({end}), x AS (SELECT cc.book_id, pos, chunk_idx, CAST(floor(cc.words * 60000 / CAST(165 * 1.25 AS DOUBLE) + 0.5) AS BIGINT) AS speech_ms, CAST(floor(pause_ms * 1.2 / 1.25 + 0.5) AS BIGINT) AS pause_ms FROM cc JOIN qq ON qq.book_id = cc.book_id AND qq.block_id = cc.block_id)
+SELECT book_id, pos, chunk_idx, CAST(coalesce(sum(speech_ms + pause_ms) OVER (PARTITION BY book_id ORDER BY pos, chunk_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms, speech_ms, pause_ms FROM x""",
+        "session_wpm": """WITH e AS (SELECT user_id AS reader, ts, event_id, event_id % 40 AS w, CAST(floor(value * 60) AS BIGINT) AS t, sum((event_type = 'view')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM events),
+s AS (SELECT reader, event_id, session, sum(w) OVER o AS words, sum(t) OVER o AS ms FROM e WINDOW o AS (PARTITION BY reader, session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT reader, event_id, CAST(session AS BIGINT) AS session, CAST(words AS BIGINT) AS words, CAST(ms AS BIGINT) AS ms, CASE WHEN ms > 20000 THEN CAST(floor(words / ms * 60000 + 0.5) AS DOUBLE) END AS wpm FROM s""",
+        "throttled_writes": """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS reader, epoch_ms(ts) // 10000 AS t, max(event_id) AS event_id FROM events GROUP BY ALL),
+p AS MATERIALIZED (SELECT a.reader, a.t, min(b.t) AS next FROM e a LEFT JOIN e b ON b.reader = a.reader AND b.t >= a.t + 4000 GROUP BY a.reader, a.t),
+r AS (SELECT reader, min(t) AS t FROM e GROUP BY reader UNION ALL SELECT p.reader, p.next FROM r JOIN p ON p.reader = r.reader AND p.t = r.t WHERE p.next IS NOT NULL)
+SELECT r.reader, r.t AS opened, r.t + 4000 AS due, arg_max(e.event_id, e.t) AS event_id FROM r JOIN e ON e.reader = r.reader AND e.t >= r.t AND e.t < r.t + 4000 GROUP BY r.reader, r.t""",
+        "library": "SELECT doc_id AS book_id, doc_id * 7919 % 1000 AS added_at, row_number() OVER (ORDER BY doc_id * 7919 % 1000 DESC, doc_id) AS place FROM documents",
+        "bookmark_order": "SELECT event_id % 97 AS book_id, event_id AS mark_id, user_id % 11 AS block_id, row_number() OVER (PARTITION BY event_id % 97 ORDER BY user_id % 11, event_id) - 1 AS place FROM events",
+    }
+
+
 FRACTIONS = "(0.0), (0.1), (0.25), (0.5), (0.75), (0.999), (1.0)"
 
 
@@ -255,4 +278,4 @@ e AS (SELECT reader, CASE WHEN reader % 3 = 0 AND NOT list_contains(ids, b) THEN
 SELECT reader, CAST(unnest(range(len(ids))) AS BIGINT) AS place, unnest(ids) AS book_id FROM e""",
         "shelf": """SELECT doc_id AS book_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'OCR' END, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3 + 1) || ' columns' END, CASE WHEN doc_id % 10 / 10.0 < 0.8 AND doc_id % 7 <> 0 THEN 'sparse text' END,
 CASE WHEN f > 0.01 THEN CAST(floor(f * 100 + 0.5) AS BIGINT) || '% read' END], lambda x: x IS NOT NULL), ',') AS badges FROM documents LEFT JOIN (SELECT user_id, max(event_id % 100) / 100.0 AS f FROM events GROUP BY user_id) p ON user_id = doc_id""",
-    } | place_queries() | display_queries()
+    } | place_queries() | display_queries() | order_queries()

@@ -9,6 +9,7 @@ from foliograph.functions import text as T
 from foliograph.operators import chapters as C
 from foliograph.operators import furniture as H
 from foliograph.operators import narration as K
+from foliograph.operators import order
 from foliograph.operators import playback as P
 from foliograph.operators import queue as Q
 from foliograph.plans import layout_queries
@@ -257,11 +258,50 @@ def rate_steps(spark: SparkSession, d: str) -> DataFrame:
     return own.select("reader", "rate", T.rate_step(F.col("rate"), True).alias("faster"), T.rate_step(F.col("rate"), False).alias("slower"))
 
 
+def auto_advance(spark: SparkSession, d: str) -> DataFrame:
+    """Events as entries of reading lists, in which every twentieth book or so is unknown and every fifth has been taken off; some of the others end."""
+    events = S.read(spark, d, "events").select(F.col("user_id").alias("reader"), F.col("event_id").alias("book_id"), "ts", "event_type")
+    lists = order.running(events.select("reader", "book_id", "ts"), ["reader"], [F.col("ts"), F.col("book_id")], {}, "place")
+    known, gone = events.filter("event_type <> 'error' or book_id % 4 > 0"), events.filter("event_type = 'signup'")
+    return Q.auto_advance(lists, known, gone, events.filter("event_type = 'view' and book_id % 3 = 0"))
+
+
+def chapter_jump(spark: SparkSession, d: str) -> DataFrame:
+    """Jumps to the second and the last chapter but one of every book, in a queue without notes."""
+    own = S.doc_blocks(spark, d)
+    last = own.groupBy("book_id").agg(F.max("chapter").alias("n"))
+    jumps = last.select("book_id", F.explode(F.array(F.lit(1).cast("long"), F.col("n") - 1)).alias("chapter"))
+    return Q.chapter_jump(queue_skip(spark, d), own, jumps)
+
+
+def timeline(spark: SparkSession, d: str) -> DataFrame:
+    return Q.timeline(chunks(spark, d), queue_end(spark, d), rate=1.25, scale=1.2)
+
+
+def session_wpm(spark: SparkSession, d: str) -> DataFrame:
+    """Rates since a book was opened; every view opens one."""
+    return P.session_rate(S.playlog(spark, d).withColumn("opens", F.col("event_type") == "view"), ["reader"]).withColumn("wpm", F.col("wpm").cast("double"))
+
+
+def throttled_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Writes of positions, of a log whose days are taken as 8.64 seconds."""
+    return P.throttled(S.read(spark, d, "events").select(F.col("user_id").alias("reader"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 10_000).alias("t"), "event_id"))
+
+
+def library(spark: SparkSession, d: str) -> DataFrame:
+    return P.library(S.read(spark, d, "documents").select(F.col("doc_id").alias("book_id"), (F.col("doc_id") * 7919 % 1000).alias("added_at")))
+
+
+def bookmark_order(spark: SparkSession, d: str) -> DataFrame:
+    return Q.marks_in_order(S.read(spark, d, "events").select((F.col("event_id") % 97).alias("book_id"), F.col("event_id").alias("mark_id"), (F.col("user_id") % 11).alias("block_id")))
+
+
 NAMES = (
     clean_text, speech_text, word_counts, sentences, sentence_rows, roman_values, chunks, chunk_pacing, paragraphs, signatures, folios, running_heads, stripped_lines,
     chapters, durations, quality, queue_end, queue_inline, queue_skip, queue_progress, seek, position, reading_window, reading_list, wpm, running_wpm, progress_latest, upsert_delete,
     progress_records, time_left, seek_offset, skip, settings_change, edited_blocks, bookmarks, imported, list_edits, shelf,
     highlights, sizes, settings, import_progress, rate_steps,
+    auto_advance, chapter_jump, timeline, session_wpm, throttled_writes, library, bookmark_order,
 )
 
 

@@ -82,8 +82,8 @@ def raw_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def playlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as spoken chunks: reader, day, ts, event_id, words, ms."""
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("reader"), F.to_date("ts").alias("day"), "ts", "event_id", (F.col("event_id") % 40).alias("words"), F.floor(F.col("value") * 60).alias("ms"))
+    """Events as spoken chunks: reader, day, ts, event_id, event_type, words, ms."""
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("reader"), F.to_date("ts").alias("day"), "ts", "event_id", "event_type", (F.col("event_id") % 40).alias("words"), F.floor(F.col("value") * 60).alias("ms"))
 
 
 def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
