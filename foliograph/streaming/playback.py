@@ -8,34 +8,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
-from foliograph.operators.playback import EVERY_MS, TRUSTED_MS, progress_records, speaking_rate, upsert
+from foliograph.operators.playback import EVERY_MS, TRUSTED_MS, progress_records, speaking_rate
+from foliograph.sources import stores
 
 #: Least time between two writes of positions.
 EVERY = "4 seconds"
 
 
 def rates(log: DataFrame, path: str, checkpoint: str, keys: list[str], trigger: dict | None = None) -> StreamingQuery:
-    """Speaking rates by keys (P2) of a streaming log (keys, words, ms): the state holds two sums by key, and each batch writes the keys that it has changed, under its number."""
+    """Speaking rates by keys (P2) of a streaming log (keys, words, ms): the state holds two sums by key, and each batch stores the keys that it has changed, under its number."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        stores.save(batch, path, number, {"rates": batch}, keys)
 
     return speaking_rate(log, keys).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": EVERY})).foreachBatch(write).start()
 
 
 def positions(log: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str], trigger: dict | None = None) -> StreamingQuery:
-    """The last row by key, stored once a trigger at most (P3, P4). A batch that is run again overwrites what it has written."""
+    """The last row by key, stored once a trigger at most (P4). A batch that is run again overwrites what it has written, and a late row doesn't take the place of a later one."""
 
     def write(batch: DataFrame, number: int) -> None:
-        upsert(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        stores.merge(batch, path, number, "positions", key, order)
 
     return log.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": EVERY})).foreachBatch(write).start()
 
 
-def stored(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
-    """What the batches have stored, the last of each key. order may name `batch`, the number of the batch."""
-    found = upsert(spark.read.parquet(path), key, order)
-    return found.drop("batch")
+def stored(spark: SparkSession, path: str, key: list[str], keys: DataFrame | None = None) -> DataFrame:
+    """The positions that are stored, or those of some keys; the store is compacted as it is written, so old batches are not read."""
+    return stores.load(spark, path, "positions", keys, key)
+
+
+def last_rates(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The rates that are stored, the last of each key."""
+    return stores.load(spark, path, "rates", key=key)
 
 
 class Throttle(StatefulProcessor):

@@ -14,7 +14,7 @@ from foliograph.operators import playback as P
 from foliograph.operators import queue as Q
 from foliograph.plans import layout_oracles, oracles
 from foliograph.plans import queries as plans
-from foliograph.sources import projections, stores
+from foliograph.sources import projections
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -124,17 +124,3 @@ def test_display(spark):
     assert list(spark.range(1).select(*steps).first()) == [1.05, 2.0, 0.5, 1.05]
     assert [round(x, 9) for x in spark.range(1).select(*done).first()] == [0.4, 0.9, 0.0]
     assert list(spark.range(1).select(*taken).first()) == [True, True, False, False]
-
-
-def test_stores(spark, tmp_path):
-    """A save replaces a book in the stores it names; one that wasn't published is not seen; a removed book is gone from all."""
-    root, ids = str(tmp_path), lambda *n: spark.createDataFrame([(i,) for i in n], "book_id int")
-    blocks = lambda *rows: spark.createDataFrame(list(rows), "book_id int, text string")
-    read = lambda name: sorted(map(tuple, stores.load(spark, root, name).select("book_id", "text").collect()))
-    stores.save(ids(1, 2), root, 1, {"books": blocks((1, "A"), (2, "B")), "blocks": blocks((1, "x"), (1, "y"), (2, "z"))})
-    stores.save(ids(1), root, 2, {"blocks": blocks((1, "w"), (2, "not of this save"))})
-    assert read("blocks") == [(1, "w"), (2, "z")] and read("books") == [(1, "A"), (2, "B")]
-    blocks((2, "lost")).write.parquet(f"{root}/blocks/version=3")
-    assert read("blocks") == [(1, "w"), (2, "z")]
-    stores.save(ids(2), root, 3, {"books": None, "blocks": None})
-    assert read("blocks") == [(1, "w")] and read("books") == [(1, "A")]

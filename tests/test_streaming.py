@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliograph.operators import playback as P
 from foliograph.sources import projections as S
+from foliograph.sources import stores
 from foliograph.streaming import playback as live
 
 SF = "/root/testdata/sf0.001"
@@ -26,9 +27,12 @@ def test_rates_and_positions(spark, tmp_path):
     now = {"availableNow": True}
     live.rates(stream(), f"{tmp_path}/rates", f"{tmp_path}/c1", ["reader"], now).awaitTermination()
     live.positions(stream(), f"{tmp_path}/places", f"{tmp_path}/c2", ["reader"], ["ts", "event_id"], now).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/rates").select("batch").distinct().count() >= 3
-    assert rows(live.stored(spark, f"{tmp_path}/rates", ["reader"], ["batch"])) == rows(P.speaking_rate(log, ["reader"]))
-    assert rows(live.stored(spark, f"{tmp_path}/places", ["reader"], ["ts", "event_id"])) == rows(P.upsert(log, ["reader"], ["ts", "event_id"]))
+    assert len(stores.published(spark, f"{tmp_path}/rates")) >= 3
+    assert rows(live.last_rates(spark, f"{tmp_path}/rates", ["reader"])) == rows(P.speaking_rate(log, ["reader"]))
+    want = P.upsert(log, ["reader"], ["ts", "event_id"])
+    assert rows(live.stored(spark, f"{tmp_path}/places", ["reader"])) == rows(want)
+    some = want.filter("reader % 5 = 1")
+    assert rows(live.stored(spark, f"{tmp_path}/places", ["reader"], some)) == rows(some)
 
 
 @pytest.fixture
