@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
-from foliograph.operators.layout import LEAST_SIZE, PAGE, joined, measured, or_else, segments
+from foliograph.operators.layout import LEAST_SIZE, PAGE, joined, or_else
 
 S = f"[{T.WS}]"
 
@@ -60,8 +60,8 @@ def is_tabular(t: Column) -> Column:
 
 
 def labelled(lines: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The lines of segments with kind (note, caption, heading, table, list or body), plain, refs, t (the trimmed text) and the segment's measures (B7 to B9). sizes: book_id, body."""
-    rows = stripped(measured(segments(lines))).join(sizes, "book_id").withColumn("t", T.js_trim(F.col("text")))
+    """The lines of segments, with their measures, with kind (note, caption, heading, table, list or body), plain, refs and t, the trimmed text (B7 to B9). lines: of measured(); sizes: book_id, body."""
+    rows = stripped(lines).join(sizes, "book_id").withColumn("t", T.js_trim(F.col("text")))
     seg = Window.partitionBy(*PAGE, "seg")
     order = seg.orderBy("line_idx")
     rest = order.rowsBetween(0, Window.unboundedFollowing)

@@ -5,7 +5,7 @@ A page is the unit: everything is partitioned by book and page, so one exchange
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
@@ -44,12 +44,6 @@ def spans_page(x: Column, right: Column, page_width: Column) -> Column:
     return (right - x > page_width * WIDE) | ((right - x > page_width * CENTRED) & (F.abs((x + right) / 2 - page_width / 2) < page_width * OFF_CENTRE))
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value of an array at a share of its order, without interpolation; 0 for an empty one."""
-    ordered = F.sort_array(values)
-    return F.coalesce(F.get(ordered, F.floor((F.size(ordered) - 1) * share + 0.5).cast("int")), F.lit(0.0))
-
-
 def column_bounds(frags: DataFrame) -> DataFrame:
     """book_id, page, bounds (from 0 to the page's width) of the pages of two or three columns.
 
@@ -166,9 +160,17 @@ def segments(lines: DataFrame) -> DataFrame:
     return lines.withColumn("fresh", fresh).withColumn("seg", F.sum("fresh").over(order).cast("long")).drop("fresh")
 
 
+def ranked_value(value: str, share: float, seg: WindowSpec) -> Column:
+    """The value of a window's rows at a share of their order, without interpolation (G2): the row of that rank is picked, nothing is collected."""
+    rank = F.row_number().over(seg.orderBy(value)) - 1
+    return F.struct((rank == F.floor((F.count("*").over(seg) - 1) * share + 0.5)).alias("picked"), F.col(value).alias("value"))
+
+
 def measured(segs: DataFrame) -> DataFrame:
     """The lines of segments with dy (to the next line), spacing (G10), left and edge (the segment's left and right measure, B4)."""
     seg = Window.partitionBy(*PAGE, "seg")
     own = segs.withColumn("dy", F.lead("y").over(seg.orderBy("line_idx")) - F.col("y"))
     usual = F.median(F.when((F.col("dy") > 0) & (F.col("dy") < LARGEST_GAP), F.col("dy"))).over(seg)
-    return own.withColumn("spacing", or_else(usual, USUAL_SPACING)).withColumn("left", nearest_rank(F.collect_list("x").over(seg), 0.1)).withColumn("edge", nearest_rank(F.collect_list("right").over(seg), 0.9))
+    own = own.withColumn("left", ranked_value("x", 0.1, seg)).withColumn("edge", ranked_value("right", 0.9, seg))
+    picked = lambda c: F.coalesce(F.max(F.when(F.col(c)["picked"], F.col(c)["value"])).over(seg), F.lit(0.0))
+    return own.select(*segs.columns, "dy", or_else(usual, USUAL_SPACING).alias("spacing"), picked("left").alias("left"), picked("edge").alias("edge"))

@@ -72,6 +72,20 @@ def with_defaults(settings: DataFrame, defaults: dict) -> DataFrame:
     return settings.select(*[c for c in settings.columns if c not in defaults], *[(F.coalesce(F.col(k), F.lit(v)) if k in settings.columns else F.lit(v)).alias(k) for k, v in defaults.items()])
 
 
+def stored_settings(rows: DataFrame, stored: str, defaults: dict) -> DataFrame:
+    """rows with their settings, read from JSON objects that any version of a player has stored (S14), instead of the column `stored`.
+
+    A setting that the object lacks, as a later version has brought it, or holds as null or of another kind, takes its default. Fields that are not known here, of
+    later versions or given up, are kept in `other` as name=value, by name, comma-joined. What is no object holds nothing.
+    """
+    kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
+    known = F.from_json(stored, ", ".join(f"{k} {kinds[type(v)]}" for k, v in defaults.items()))
+    given = F.coalesce(F.from_json(stored, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    others = F.array_sort(F.transform(F.map_entries(F.map_filter(given, lambda k, v: ~k.isin(*defaults))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))))
+    own = rows.withColumn("known", known)
+    return own.select(*[c for c in rows.columns if c != stored], *[F.coalesce(F.col("known")[k], F.lit(v)).alias(k) for k, v in defaults.items()], F.array_join(others, ",").alias("other"))
+
+
 def progress_records(at: DataFrame, queue: DataFrame, chunks: DataFrame) -> DataFrame:
     """book_id, block_id, offset, fraction (of the words before it, 0 of an empty queue): what is stored of a position (P4). at: book_id, pos, chunk_idx; its other columns come first. It may be a stream."""
     total = queue.groupBy("book_id").agg(F.sum("words").alias("total"))

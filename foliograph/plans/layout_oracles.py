@@ -128,6 +128,7 @@ LEFT JOIN (SELECT book_id, count(*) AS n FROM dr GROUP BY book_id) h ON b.book_i
 LEFT JOIN (SELECT book_id, sum((type = 'footnote')::INT) AS footnotes, sum((type = 'table')::INT) AS tables, sum(n_hyphens) AS hyphens FROM rw GROUP BY book_id) c ON b.book_id = c.book_id"""
     return {
         "fragments": after("fr", "SELECT book_id, page, frag_ord, str, x, round(y, 6) AS y, w, h, size, font FROM fr"),
+        "read_fragments": after("fr", "SELECT book_id, page, frag_ord, str, x, round(y, 6) AS y, w, h, size, font FROM fr"),
         "column_bounds": after("cb", "SELECT book_id, page, array_to_string(list_transform(b, lambda z: CAST(CAST(floor(z * 100 + 0.5) AS BIGINT) AS VARCHAR)), ',') AS bounds FROM cb"),
         "reading_order": after("ln", f"SELECT book_id, page, CAST(line_idx AS BIGINT) AS line_idx, text, {r('x', 'y', '\"right\"', 'size', 'max_gap')}, font, CAST(col AS BIGINT) AS col, CAST(n_columns AS BIGINT) AS n_columns FROM ln"),
         "page_chars": after("pc", "SELECT * FROM pc"),

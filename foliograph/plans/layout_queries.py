@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,14 @@ from foliograph.operators import blocks as B
 from foliograph.operators import chapters as C
 from foliograph.operators import furniture as H
 from foliograph.operators import layout as L
+from foliograph.sources import fragments as source
 from foliograph.sources import projections as S
+from foliograph.sources.tables import shared_folder, written
 
 
 def laid_out(spark: SparkSession, d: str) -> DataFrame:
-    """Lines in reading order; kept, as several steps read them."""
-    return L.lines(L.fragments(S.text_items(spark, d))).persist()
+    """Lines in reading order; written, as several steps read them and plan anew from there."""
+    return written(L.lines(written(L.fragments(S.text_items(spark, d)))))
 
 
 def dropped(lines: DataFrame) -> DataFrame:
@@ -25,14 +29,25 @@ def kept_lines(lines: DataFrame) -> DataFrame:
     return lines.join(dropped(lines).withColumnRenamed("book", "book_id"), ["book_id", "page", "line_idx"], "left_anti")
 
 
+def labelled(lines: DataFrame) -> DataFrame:
+    return B.labelled(written(L.measured(L.segments(kept_lines(lines)))), B.body_size(lines))
+
+
 def raw_of(lines: DataFrame) -> DataFrame:
-    return B.raw_blocks(B.labelled(kept_lines(lines), B.body_size(lines)))
+    return B.raw_blocks(written(labelled(lines)))
 
 
 def fragments(spark: SparkSession, d: str) -> DataFrame:
     return L.fragments(S.text_items(spark, d)).select("book_id", "page", "frag_ord", "str", "x", F.round("y", 6).alias("y"), "w", "h", "size", "font")
 
 
+def read_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """fragments of the items written as pages of JSON and read again."""
+    path = f"{shared_folder(spark)}/pages-{uuid4().hex}"
+    source.write_pages(S.text_items(spark, d), path)
+    return L.fragments(source.read_pages(spark, path)).select("book_id", "page", "frag_ord", "str", "x", F.round("y", 6).alias("y"), "w", "h", "size", "font")
+
+
 def column_bounds(spark: SparkSession, d: str) -> DataFrame:
     found = L.column_bounds(L.fragments(S.text_items(spark, d)))
     return found.select("book_id", "page", F.array_join(F.transform("bounds", lambda b: F.floor(b * 100 + 0.5).cast("long").cast("string")), ",").alias("bounds"))
@@ -61,8 +76,7 @@ def body_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_kinds(spark: SparkSession, d: str) -> DataFrame:
-    lines = laid_out(spark, d)
-    return B.labelled(kept_lines(lines), B.body_size(lines)).select("book_id", "page", "line_idx", "seg", "kind", "plain", F.array_join("refs", ",").alias("refs"))
+    return labelled(laid_out(spark, d)).select("book_id", "page", "line_idx", "seg", "kind", "plain", F.array_join("refs", ",").alias("refs"))
 
 
 def raw_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +104,7 @@ def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
     return C.extraction_quality(L.page_chars(lines), S.page_images(spark, d), dropped(lines), raw_of(lines))
 
 
-NAMES = (fragments, column_bounds, reading_order, page_chars, layout_furniture, segment_measures, body_sizes, line_kinds, raw_blocks, outline, book_blocks, book_chapters, chapter_list, extraction_quality)
+NAMES = (fragments, read_fragments, column_bounds, reading_order, page_chars, layout_furniture, segment_measures, body_sizes, line_kinds, raw_blocks, outline, book_blocks, book_chapters, chapter_list, extraction_quality)
 
 
 def queries() -> dict:

@@ -296,12 +296,22 @@ def bookmark_order(spark: SparkSession, d: str) -> DataFrame:
     return Q.marks_in_order(S.read(spark, d, "events").select((F.col("event_id") % 97).alias("book_id"), F.col("event_id").alias("mark_id"), (F.col("user_id") % 11).alias("block_id")))
 
 
+def settings_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Settings as three versions of a player have stored them: the first knew one setting, the third one more than are known here."""
+    n = F.col("reader")
+    rate, wpm = F.concat(F.lit('"rate": '), (n % 4 * 0.25 + 0.5).cast("string")), F.concat(F.lit('"base_wpm": '), (n % 90 + 120).cast("string"))
+    more = F.concat(F.lit('"theme": "t'), (n % 7).cast("string"), F.lit('", "read_tables": '), F.when(n % 2 == 0, "true").otherwise("null"))
+    text = F.when(n % 3 == 0, rate).when(n % 3 == 1, F.concat_ws(", ", wpm, rate)).otherwise(F.concat_ws(", ", more, wpm))
+    stored = S.read(spark, d, "events").select(F.col("user_id").alias("reader")).distinct().withColumn("stored", F.concat(F.lit("{"), text, F.lit("}")))
+    return P.stored_settings(stored, "stored", P.DEFAULTS)
+
+
 NAMES = (
     clean_text, speech_text, word_counts, sentences, sentence_rows, roman_values, chunks, chunk_pacing, paragraphs, signatures, folios, running_heads, stripped_lines,
     chapters, durations, quality, queue_end, queue_inline, queue_skip, queue_progress, seek, position, reading_window, reading_list, wpm, running_wpm, progress_latest, upsert_delete,
     progress_records, time_left, seek_offset, skip, settings_change, edited_blocks, bookmarks, imported, list_edits, shelf,
     highlights, sizes, settings, import_progress, rate_steps,
-    auto_advance, chapter_jump, timeline, session_wpm, throttled_writes, library, bookmark_order,
+    settings_versions, auto_advance, chapter_jump, timeline, session_wpm, throttled_writes, library, bookmark_order,
 )
 
 

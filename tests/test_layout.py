@@ -1,6 +1,9 @@
 """Rules of set pages that the tables hardly show, on literal rows."""
 
+import pathlib
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
@@ -9,6 +12,7 @@ from foliograph.operators import chapters as C
 from foliograph.operators import layout as L
 from foliograph.operators import playback as P
 from foliograph.operators import queue as Q
+from foliograph.sources import fragments
 
 
 def one(spark, column):
@@ -24,7 +28,8 @@ def test_wrapped(spark, lines, want):
 
 @pytest.mark.parametrize(("values", "share", "want"), [([3.0, 1.0, 2.0], 0.5, 2.0), ([1.0, 2.0, 3.0, 4.0], 0.5, 3.0), ([5.0], 0.9, 5.0), ([1.0, 2.0], 0.1, 1.0)])
 def test_nearest_rank(spark, values, share, want):
-    assert one(spark, L.nearest_rank(F.array(*map(F.lit, values)), share)) == want
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", L.ranked_value("x", share, Window.partitionBy(F.lit(1))).alias("r"))
+    assert [r["x"] for r in rows.filter("r.picked").collect()] == [want]
 
 
 def frags(spark, rows):
@@ -81,3 +86,30 @@ def test_lists(spark):
 @pytest.mark.parametrize(("title", "name", "want"), [(" A Book ", "x.pdf", "A Book"), ("ab", "my__file.PDF", "my file"), ("Untitled 1", "a_b  c.pdf", "a b c"), (None, "d.pdf", "d"), ("Microsoft Word - z", "e.txt", "e.txt")])
 def test_titles(spark, title, name, want):
     assert one(spark, P.book_title(F.lit(title), F.lit(name))) == want
+
+
+def test_pages(spark, tmp_path):
+    """Items come back as they were written; broken lines are set aside; some books and pages are read from their folders alone."""
+    items = spark.createDataFrame([(b, p, i, f"t{i} ü \"", 10.0 * i, 1.5, 700.25, 30.0, 0.0, None if i else "Serif", 612.0, 792.0) for b in range(20) for p in (1, 70, 130) for i in range(3)], "book_id long, page long, frag_ord long, str string, scale double, left double, base double, width double, height double, font string, page_width double, page_height double")
+    path = f"{tmp_path}/pages"
+    fragments.write_pages(items, path)
+    broken = ['{"book_id": 3, "page": 1, "items": [', '{"page": 1, "items": []}', "no json", '{"book_id": 3, "page": "one", "items": []}', '{"book_id": 3, "page": 2}']
+    (next(pathlib.Path(path).glob("bucket=*/range=0")) / "more.txt").write_text("\n".join([*broken, '{"book_id": 99, "page": 1, "width": 1, "height": 2, "items": [{"str": "x"}, {"str": null, "transform": [1, 2]}]}']))
+    rows = lambda df: sorted(map(str, df.select(items.columns).collect()))
+    found = fragments.read_pages(spark, path)
+    assert rows(found.filter("book_id < 99")) == rows(items) and found.filter("book_id = 99").count() == 2
+    assert sorted(r["value"] for r in fragments.set_aside(spark, path).collect()) == sorted(broken)
+    few = fragments.read_pages(spark, path, books=[4, 7], first=64, last=129)
+    assert rows(few) == rows(items.filter("book_id in (4, 7) and page = 70"))
+    assert "range#" in few._jdf.queryExecution().toString().split("PartitionFilters")[1][:300] and {x.split("range=")[1][:1] for x in few.inputFiles()} <= {"0", "1", "2"}
+    assert len(few.filter("true")._jdf.queryExecution().executedPlan().toString()) and fragments.read_pages(spark, path, books=[]).count() == 0
+    assert L.fragments(found).filter("book_id < 99").count() == items.count()
+
+
+@pytest.mark.parametrize(("stored", "want"), [
+    ('{"rate": 1.5}', (1.5, 165, "chapter-end", "")), ('{"rate": 2, "base_wpm": 180, "theme": "dark", "keys": {"a": 1}}', (2.0, 180, "chapter-end", "keys={\"a\":1},theme=dark")),
+    ("{}", (1.0, 165, "chapter-end", "")), (None, (1.0, 165, "chapter-end", "")), ("broken", (1.0, 165, "chapter-end", "")), ('{"rate": null, "footnote_mode": "skip"}', (1.0, 165, "skip", "")), ('{"base_wpm": "fast"}', (1.0, 165, "chapter-end", "")),
+])
+def test_stored_settings(spark, stored, want):
+    row = P.stored_settings(spark.createDataFrame([(1, stored)], "reader int, stored string"), "stored", P.DEFAULTS).first()
+    assert (row["rate"], row["base_wpm"], row["footnote_mode"], row["other"]) == want
