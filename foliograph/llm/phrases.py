@@ -27,9 +27,9 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Bits of the bitmap of frequent fingerprints, as a power of 2: 16 MB in the driver and in each Python worker, whatever the input.
 BITS = 27
 #: Fingerprints that a task holds before it adds up equal ones, and distinct ones that it holds before it hands them on.
-HELD, DISTINCT = 1 << 20, 1 << 19
-#: Bytes of text in which equal occurrences are grouped before they are written out.
-GROUPED_BYTES = 1 << 20
+HELD, DISTINCT = 1 << 19, 1 << 19
+#: Bytes of text that are hashed at once, and in which equal occurrences are grouped before they are written out.
+GROUPED_BYTES = 1 << 19
 #: A-Z in lower case, a tab as a blank: words stand joined as they are found.
 PLAIN = LOWER.copy()
 PLAIN[9] = 32
@@ -111,7 +111,7 @@ def frequent(documents: DataFrame, k: int, bits, least: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]):
         known, fresh, n_fresh = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
         row = lambda x: pa.record_batch([pa.array(x[0].view(np.int64)), pa.array(x[1])], ["h", "n"])
-        for _, block in blocks(batches, 1 << 20):
+        for _, block in blocks(batches, GROUPED_BYTES):
             fresh.append(block.known(k, bits.value)[1])
             n_fresh += len(fresh[-1])
             if n_fresh > HELD:
