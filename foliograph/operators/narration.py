@@ -10,7 +10,9 @@ from foliograph.functions import text as T
 
 def split_sentences(blocks: DataFrame, *keys: str) -> DataFrame:
     """keys, idx, offset, text: one row by sentence of column text. Null texts have none."""
-    return blocks.select(*keys, F.posexplode(T.sentences(F.col("text"))).alias("idx", "s")).select(*keys, F.col("idx").cast("long").alias("idx"), F.col("s.offset").cast("long").alias("offset"), F.col("s.text").alias("text"))
+    # the outer form, as the other one has its array made twice: once more for a filter on its size
+    rows = blocks.select(*keys, F.posexplode_outer(T.sentences(F.col("text"))).alias("idx", "s")).filter(F.col("idx").isNotNull())
+    return rows.select(*keys, F.col("idx").cast("long").alias("idx"), F.col("s.offset").cast("long").alias("offset"), F.col("s.text").alias("text"))
 
 
 def label(read_tables: bool, describe_images: bool) -> Column:
@@ -32,7 +34,7 @@ def chunk_blocks(blocks: DataFrame, read_tables: bool = False, describe_images:
     lead = F.when(F.col("label").isNotNull(), F.array(F.struct(F.col("label").alias("text"), F.lit(0).alias("offset"), F.lit(T.PAUSES["sentence"]).alias("pause")))).otherwise(F.array().cast(kind))
     rows = blocks.withColumn("label", label(read_tables, describe_images)).withColumn("spoken", own).withColumn("all", F.concat(lead, "spoken"))
     cut_off = (F.col("type") == "paragraph") & ~T.js_trim(F.col("text")).rlike(ENDED)
-    rows = rows.select("book_id", "block_id", "type", "opens_chapter", cut_off.alias("cut_off"), F.size("all").alias("n"), F.size("spoken").alias("n_own"), F.posexplode("all").alias("chunk_idx", "c"))
+    rows = rows.select("book_id", "block_id", "type", "opens_chapter", cut_off.alias("cut_off"), F.size("all").alias("n"), F.posexplode_outer("all").alias("chunk_idx", "c")).filter(F.col("chunk_idx").isNotNull())
     silent = (F.col("type") == "image") | ((F.col("type") == "table") & F.lit(not read_tables))
     rest = F.when(F.col("type") == "heading", F.when(F.col("opens_chapter"), T.PAUSES["chapter"]).otherwise(T.PAUSES["heading"])).otherwise(F.greatest(F.col("c.pause"), F.lit(T.PAUSES["paragraph"])))
     pause = F.when((F.col("chunk_idx") < F.col("n") - 1) | silent, F.col("c.pause")).when(F.col("cut_off"), T.PAUSES["clause"]).otherwise(rest)
