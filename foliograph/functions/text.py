@@ -102,12 +102,17 @@ def clean(c: Column) -> Column:
     return js_trim(reduce(lambda s, rule: F.regexp_replace(s, *rule), CLEAN_RULES, c))
 
 
+#: Signs without which the patterns that name them match nothing; looking for one is cheap beside a pass of a pattern.
+SIGNS = {"@": "@", "&": "&", "%": "%", "=": "=", r"\$": "$"} | {rf"\x{{{ord(x):X}}}": x for x in "£€°×≠≤≥→½¼¾"}
+
+
 def speech(c: Column) -> Column:
     """A display text as a voice should read it (T2); the order of the rules matters."""
     for pattern, ahead, put, any_case in SPEECH_RULES:
         p = ("(?i)" if any_case else "") + bounded(pattern) + (f"(?={ahead.replace('$', chr(92) + 'z').replace('~', EDGE)})" if ahead else "")
-        done = F.regexp_replace(c, p, put)
-        c = F.when(F.contains(c, F.lit("@")), done).otherwise(c) if "@" in pattern else done
+        sign = next((x for code, x in SIGNS.items() if code in pattern.replace(WS, "")), None)
+        # bound in an array of one, since what stands thrice in an expression is made thrice
+        c = F.transform(F.array(c), lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, p, put)).otherwise(t))[0] if sign else F.regexp_replace(c, p, put)  # noqa: B023
     parts = F.split(F.regexp_replace(c, bounded(CAPITALS), f"$1{CAP_MARK}$2{CAP_END}"), CAP_MARK)
     rest = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.concat(F.lower(F.substring_index(p, CAP_END, 1)), F.substring(p, F.instr(p, CAP_END) + 1, F.length(p))))
     c = F.concat(parts[0], F.array_join(rest, ""))

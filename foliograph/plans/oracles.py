@@ -249,6 +249,12 @@ def oracle_sql() -> dict[str, str]:
         "sentences": f"SELECT lang, count(*) AS sentences, CAST(sum({words('text')}) AS BIGINT) AS words, round(sum({words('text')}) / count(*), 6) AS mean_words FROM ({sentence_rows('documents', 'doc_id, lang')}) GROUP BY lang",
         "sentence_rows": sentence_rows("documents", "doc_id"),
         "roman_values": "WITH RECURSIVE d AS (SELECT DISTINCT p_size + l_linenumber * 50 AS v FROM part, (SELECT DISTINCT l_linenumber FROM lineitem)) SELECT CAST(v AS BIGINT) AS v, CAST(v AS BIGINT) AS value FROM d",
+        "numerals": """WITH e AS (SELECT translate(n, '0123456789', 'IVXLCDMivc') AS plain, translate(n, '0123456789', 'iixIJCdXMl') AS odd FROM (SELECT CAST(event_id AS VARCHAR) || CAST(user_id AS VARCHAR) AS n FROM events)),
+w AS (SELECT DISTINCT unnest([plain, odd, 'é' || plain, odd[3:]]) AS numeral FROM e),
+c AS (SELECT numeral, unnest(range(1, length(numeral) + 1)) AS i FROM w),
+v AS (SELECT numeral, i, CASE upper(numeral[i]) WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 ELSE 0 END AS v FROM c),
+s AS (SELECT numeral, bool_or(v = 0) AS bad, sum(CASE WHEN v < coalesce(next, 0) THEN -v ELSE v END) AS total FROM (SELECT *, lead(v) OVER (PARTITION BY numeral ORDER BY i) AS next FROM v) GROUP BY numeral)
+SELECT w.numeral, CAST(CASE WHEN bad THEN 0 ELSE coalesce(total, 0) END AS BIGINT) AS value FROM w LEFT JOIN s USING (numeral)""",
         "chunks": chunks(),
         "chunk_pacing": f"SELECT book_id, count(*) AS n_chunks, CAST(sum(words) AS BIGINT) AS words, CAST(sum(CAST(floor(pause_ms * 1.2 / 1.5 + 0.5) AS BIGINT)) AS BIGINT) AS pause_ms FROM ({chunks()}) GROUP BY book_id",
         "paragraphs": paragraph_rows(),

@@ -50,6 +50,14 @@ def roman_values(spark: SparkSession, d: str) -> DataFrame:
     return v.select("v", T.roman_to_int(written).alias("value"))
 
 
+def numerals(spark: SparkSession, d: str) -> DataFrame:
+    """The digits of event and user numbers spelt with letters of either case, in any order, some of which are no numeral's, and read as numerals."""
+    number = F.concat(F.col("event_id").cast("string"), F.col("user_id").cast("string"))
+    return S.read(spark, d, "events").select(F.translate(number, "0123456789", "IVXLCDMivc").alias("plain"), F.translate(number, "0123456789", "iixIJCdXMl").alias("odd")).select(
+        F.explode(F.array("plain", "odd", F.concat(F.lit("é"), "plain"), F.substring("odd", 3, 99))).alias("numeral")
+    ).distinct().select("numeral", T.roman_to_int(F.col("numeral")).alias("value"))
+
+
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     return S.doc_blocks(spark, d).withColumn("words", T.count_words(F.col("text")))
 
@@ -311,7 +319,7 @@ NAMES = (
     chapters, durations, quality, queue_end, queue_inline, queue_skip, queue_progress, seek, position, reading_window, reading_list, wpm, running_wpm, progress_latest, upsert_delete,
     progress_records, time_left, seek_offset, skip, settings_change, edited_blocks, bookmarks, imported, list_edits, shelf,
     highlights, sizes, settings, import_progress, rate_steps,
-    settings_versions, auto_advance, chapter_jump, timeline, session_wpm, throttled_writes, library, bookmark_order,
+    numerals, settings_versions, auto_advance, chapter_jump, timeline, session_wpm, throttled_writes, library, bookmark_order,
 )
 
 

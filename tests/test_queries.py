@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -124,3 +125,19 @@ def test_display(spark):
     assert list(spark.range(1).select(*steps).first()) == [1.05, 2.0, 0.5, 1.05]
     assert [round(x, 9) for x in spark.range(1).select(*done).first()] == [0.4, 0.9, 0.0]
     assert list(spark.range(1).select(*taken).first()) == [True, True, False, False]
+
+
+def test_whole_books(spark):
+    """What holds of any book: chunks are short and all of their blocks', nearly all words of prose are spoken, every block stands once in the queue, chapter after chapter."""
+    own = plans.blocks(spark, SF)
+    chunks = plans.chunks(spark, SF)
+    assert chunks.agg(F.max(F.length("text"))).first()[0] <= 300
+    prose = own.filter("type = 'paragraph'")
+    spoken = chunks.join(prose.select("book_id", "block_id"), ["book_id", "block_id"]).agg(F.sum("words")).first()[0]
+    assert spoken > 0.95 * prose.agg(F.sum(T.count_tokens(F.col("text")))).first()[0]
+    for mode in ("queue_end", "queue_inline"):
+        queue = plans.queries()[mode](spark, SF)
+        assert queue.count() == queue.select("book_id", "block_id").distinct().count() == own.count()
+        order = Window.partitionBy("book_id").orderBy("pos")
+        assert queue.withColumn("back", F.lag("chapter").over(order) > F.col("chapter")).filter("back").isEmpty()
+        assert queue.groupBy("book_id").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n")).filter("a <> 0 or b <> n - 1").isEmpty()
