@@ -230,6 +230,7 @@ r AS (SELECT reader, min(t) AS t FROM e GROUP BY reader UNION ALL SELECT p.reade
 SELECT r.reader, r.t AS opened, r.t + 4000 AS due, arg_max(e.event_id, e.t) AS event_id FROM r JOIN e ON e.reader = r.reader AND e.t >= r.t AND e.t < r.t + 4000 GROUP BY r.reader, r.t""",
         "settings_versions": """SELECT reader, CASE WHEN reader % 3 < 2 THEN CAST(reader % 4 * 0.25 + 0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS rate, CAST(1 AS DOUBLE) AS pitch, CAST(1 AS DOUBLE) AS volume, 'chapter-end' AS footnote_mode, FALSE AS describe_images,
 reader % 3 = 2 AND reader % 2 = 0 AS read_tables, TRUE AS read_captions, TRUE AS announce_chapters, CAST(1 AS DOUBLE) AS pause_scale, CAST(CASE WHEN reader % 3 > 0 THEN reader % 90 + 120 ELSE 165 END AS INTEGER) AS base_wpm, CASE WHEN reader % 3 = 2 THEN 'theme=t' || (reader % 7) ELSE '' END AS other FROM (SELECT DISTINCT user_id AS reader FROM events)""",
+        "stored_blocks": f"SELECT book_id, block_id, CASE WHEN book_id % 5 = 0 THEN text || '!' ELSE text END AS text FROM {DOC_BLOCKS} WHERE book_id % 7 > 0",
         "library": "SELECT doc_id AS book_id, doc_id * 7919 % 1000 AS added_at, row_number() OVER (ORDER BY doc_id * 7919 % 1000 DESC, doc_id) AS place FROM documents",
         "bookmark_order": "SELECT event_id % 97 AS book_id, event_id AS mark_id, user_id % 11 AS block_id, row_number() OVER (PARTITION BY event_id % 97 ORDER BY user_id % 11, event_id) - 1 AS place FROM events",
     }

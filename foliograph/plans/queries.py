@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from foliograph.operators import playback as P
 from foliograph.operators import queue as Q
 from foliograph.plans import layout_queries
 from foliograph.sources import projections as S
+from foliograph.sources import stores
+from foliograph.sources.tables import shared_folder
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
@@ -314,12 +318,23 @@ def settings_versions(spark: SparkSession, d: str) -> DataFrame:
     return P.stored_settings(stored, "stored", P.DEFAULTS)
 
 
+def stored_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """What a store holds of all books' blocks after three saves and a compaction: all books, a fifth of them edited, a seventh removed."""
+    root = f"{shared_folder(spark)}/store-{uuid4().hex}"
+    own, ids = S.doc_blocks(spark, d).select("book_id", "block_id", "text"), S.read(spark, d, "documents").select(F.col("doc_id").alias("book_id"))
+    stores.save(ids, root, 1, {"blocks": own})
+    stores.save(ids.filter("book_id % 5 = 0"), root, 2, {"blocks": own.withColumn("text", F.concat("text", F.lit("!")))})
+    stores.compact(spark, root, 2)
+    stores.save(ids.filter("book_id % 7 = 0"), root, 3, {"blocks": None})
+    return stores.load(spark, root, "blocks")
+
+
 NAMES = (
     clean_text, speech_text, word_counts, sentences, sentence_rows, roman_values, chunks, chunk_pacing, paragraphs, signatures, folios, running_heads, stripped_lines,
     chapters, durations, quality, queue_end, queue_inline, queue_skip, queue_progress, seek, position, reading_window, reading_list, wpm, running_wpm, progress_latest, upsert_delete,
     progress_records, time_left, seek_offset, skip, settings_change, edited_blocks, bookmarks, imported, list_edits, shelf,
     highlights, sizes, settings, import_progress, rate_steps,
-    numerals, settings_versions, auto_advance, chapter_jump, timeline, session_wpm, throttled_writes, library, bookmark_order,
+    stored_blocks, numerals, settings_versions, auto_advance, chapter_jump, timeline, session_wpm, throttled_writes, library, bookmark_order,
 )
 
 
