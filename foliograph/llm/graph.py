@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: list[str] = []
+from foliograph.sources.tables import shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set and all executors are in this machine's process, as in tests."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="foliograph-"))
-    return _own_folder[0]
+_written: list[str] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
     """df, written as Parquet into the shared folder and read again: the lineage ends here, the rows outlive lost executors, and the planner knows their size."""
     path = f"{shared_folder(df.sparkSession)}/foliograph-{uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_alone(step: Callable[[], DataFrame], before: list[str]) -> tuple[DataFrame, list[str]]:
+    """What a step returns, saved, and its path; the tables that it has saved on its way and those of `before`, on which nothing depends any more, are removed."""
+    first = len(_written)
+    out = step()
+    inner = _written[first:]
+    out = saved(out)
+    path = _written[-1]
+    forget(out.sparkSession, [*before, *inner])
+    return out, [path]
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Removes saved tables, in whatever file system they lie."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
 def _large(e: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to its least one."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
