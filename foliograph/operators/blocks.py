@@ -21,6 +21,8 @@ NOTE = rf"\A(?:[0-9]{{1,3}}[.)\]]?{S}+|[*†‡§]{{1,3}}{S}*)"
 NUMERIC = r"\A[0-9.,%$()\-–]+\z"
 SENTENCE_END = r"""[.!?]["'”’)\]]?\z"""
 HEADING_SCORE, CAPTION_SIZE = 4, 1.05
+SIZE_SCORES = {1.35: 3, 1.15: 2, 1.05: 1}
+HEADING_LENGTH, CENTRED_OFF, CENTRED_WIDTH = 70, 0.06, 0.85
 TABLE_GAP, TABLE_TOKENS, TABLE_SHARE, TABLE_ROWS, TITLE_LINES = 2.2, 3, 0.6, 3, 3
 NOTE_FLOOR, NOTE_SIZE, NOTE_REST, NOTE_SHARE = 0.58, 0.92, 0.94, 0.7
 BREAK_GAP, SHORT_LINE, INDENT = 1.5, 2.2, 0.7
@@ -47,9 +49,9 @@ def heading_score(t: Column) -> Column:
     """How much a trimmed line speaks for a heading."""
     size, body, width = F.col("size"), F.col("body"), F.col("edge") - F.col("left")
     point = lambda test, n=1: F.when(test, n).otherwise(0)
-    centred = (width > 0) & (F.abs((F.col("x") + F.col("right")) / 2 - (F.col("left") + F.col("edge")) / 2) < width * 0.06) & (F.col("right") - F.col("x") < width * 0.85)
-    larger = F.when(size >= body * 1.35, 3).when(size >= body * 1.15, 2).when(size >= body * 1.05, 1).otherwise(0)
-    score = larger + point(F.col("font").rlike(BOLD)) + F.when(F.length(t) <= 70, 1).otherwise(-3) + point(~t.rlike(r"[.,;:]\z")) + point((t == F.upper(t)) & t.rlike("[A-Z]") & (F.length(t) > 2))
+    centred = (width > 0) & (F.abs((F.col("x") + F.col("right")) / 2 - (F.col("left") + F.col("edge")) / 2) < width * CENTRED_OFF) & (F.col("right") - F.col("x") < width * CENTRED_WIDTH)
+    larger = F.greatest(F.lit(0), *[F.when(size >= body * times, points) for times, points in SIZE_SCORES.items()])
+    score = larger + point(F.col("font").rlike(BOLD)) + F.when(F.length(t) <= HEADING_LENGTH, 1).otherwise(-3) + point(~t.rlike(r"[.,;:]\z")) + point((t == F.upper(t)) & t.rlike("[A-Z]") & (F.length(t) > 2))
     return F.when(t == "", 0).otherwise(score + point(t.rlike(HEADING), 3) + point(t.rlike(NUMERAL), 2) + point(centred))
 
 
