@@ -70,7 +70,7 @@ def test_throttle(rocks, tmp_path):
         data.select("reader", F.timestamp_seconds(F.col("event_id")).alias("ts"), "event_id", "place").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
 
     def start():
-        return live.throttled(rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log"), out, f"{tmp_path}/c", every=15_000, trigger={"processingTime": "300 milliseconds"})
+        return live.throttled(rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log"), out, f"{tmp_path}/c", every=20_000, trigger={"processingTime": "300 milliseconds"})
 
     def written(n):
         for _ in range(200):
