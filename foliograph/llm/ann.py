@@ -28,10 +28,13 @@ from foliograph.llm.graph import saved
 
 K, QUERY_EVERY = 20, 20
 #: Vectors that centroids and the ratio are fitted on (the least xxhash64(vec_id); at least so many, and SAMPLE_LIST for each list), and sample queries of the calibration.
-SAMPLE_ROWS, SAMPLE_LIST, SAMPLE_QUERIES = 20_000, 4, 200
+#: A quarter of them is kept for the ratio, of which so many are queries; below FEW_ROWS all serve both ends.
+SAMPLE_ROWS, SAMPLE_LIST, SAMPLE_QUERIES, FEW_ROWS = 20_000, 4, 400, 400
 #: Vectors by list, before replicas; lists at most; replicas of a boundary vector and their distance ratio; recall that the ratio is calibrated to.
 LIST_ROWS, MAX_LISTS, REPLICAS, REPLICA_RATIO, TARGET_RECALL = 256, 16_384, 4, 1.04, 0.96
 DEGREE, ITERATIONS = 16, 12
+#: Nearest centroids that a search of the graph expands whatever their distance, and pairs whose distances are held at once.
+BEAM, BLOCK_PAIRS = 32, 1 << 14
 #: Whole lists are put together to shards of so many rows; a longer list is a shard of its own, dealt over blocks of so many. Probes of a shard that one task takes.
 BLOCK_ROWS, BLOCK_PROBES = 20_000, 20_000
 #: Vectors that walk the graph together, and distances that are held at once while the index is fitted.
@@ -99,71 +102,116 @@ def balanced(x: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
 
 
 def neighbour_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
-    """Each centroid's nearest others, those that it is near to, and its neighbours in a ring, which keep every centroid in reach; rows are filled up with the centroid itself."""
+    """Each centroid's neighbours in a ring, which keep every centroid in reach, and the nearest 2 * degree of its nearest others and of those that it is near to; rows are filled up with the centroid itself."""
     k = len(c)
     near = min(degree, max(1, k - 1))
-    links = [np.stack([np.arange(k), (np.arange(k) + 1) % k], axis=1)]
+    ring = np.stack([np.arange(k), (np.arange(k) + 1) % k, np.full(k, -1.0)], axis=1)
+    links = [ring, ring[:, [1, 0, 2]]]
     for part in in_blocks(k, k):
         d = squares(c[part], c)
         own = np.arange(part.start, part.stop)
         d[np.arange(len(own)), own] = np.inf
-        links.append(np.stack([np.repeat(own, near), d.argsort(axis=1, kind="stable")[:, :near].ravel()], axis=1))
+        to = d.argsort(axis=1, kind="stable")[:, :near]
+        way = np.stack([np.repeat(own, near), to.ravel(), np.take_along_axis(d, to, axis=1).ravel()], axis=1)
+        links += [way, way[:, [1, 0, 2]]]
     both = np.concatenate(links)
-    both = np.unique(np.concatenate([both, both[:, ::-1]]), axis=0)
-    n = np.bincount(both[:, 0], minlength=k)
-    graph = np.repeat(np.arange(k)[:, None], int(n.max()), axis=1)
-    graph[both[:, 0], np.arange(len(both)) - (np.cumsum(n) - n)[both[:, 0]]] = both[:, 1]
+    # of two of one neighbour the nearer, the ring's before all
+    both = both[np.lexsort((both[:, 2], both[:, 1], both[:, 0]))]
+    both = both[np.concatenate([[True], (both[1:, :2] != both[:-1, :2]).any(axis=1)])]
+    both = both[np.lexsort((both[:, 1], both[:, 2], both[:, 0]))]
+    at, to = both[:, 0].astype(int), both[:, 1].astype(int)
+    n = np.bincount(at, minlength=k)
+    place = np.arange(len(at)) - (np.cumsum(n) - n)[at]
+    graph = np.repeat(np.arange(k)[:, None], min(int(n.max()), 2 + 2 * degree), axis=1)
+    kept = place < graph.shape[1]
+    graph[at[kept], place[kept]] = to[kept]
     return graph
 
 
-def graph_search(index: Index, q: np.ndarray, ratio: float, least: int) -> np.ndarray:
-    """Distances (queries, lists) of the centroids that a best-first search of the graph has seen, inf for the others.
+def graph_search(index: Index, q: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, lists, distances) of the centroids within ratio times the nearest found, of the `least` nearest found in any case; by row, nearest first.
 
-    All queries walk together: each expands its nearest centroid not yet expanded, until that one lies beyond ratio times
-    its nearest distance and `least` centroids have been expanded.
+    Each query walks with a beam of its nearest centroids, from those of evenly spread entries on. A beam that lies within
+    the ratio as a whole is doubled and walks on; so what is held grows with what is found, not with the lists.
     """
-    n, k = len(q), len(index.centroids)
-    d, open_, rows = np.full((n, k), np.inf), np.full((n, k), np.inf), np.arange(n)
-    entry = np.unique(np.linspace(0, k - 1, min(k, 4)).astype(int))
-    d[:, entry] = open_[:, entry] = np.sqrt(squares(q, index.centroids[entry]))
-    done = np.zeros(n, int)
+    k, rows, width = len(index.centroids), np.arange(len(q)), max(BEAM, least)
+    entry = np.unique(np.linspace(0, k - 1, min(k, width + 2 * int(k**0.5))).astype(int))
+    d = np.sqrt(squares(q, index.centroids[entry]))
+    first = d.argsort(axis=1, kind="stable")[:, :width]
+    ids, d = entry[first], np.take_along_axis(d, first, axis=1)
+    found = []
     while len(rows):
-        at = open_[rows].argmin(axis=1)
-        near = open_[rows, at]
-        go = np.isfinite(near) & ((near <= ratio * d[rows].min(axis=1)) | (done[rows] < least))
-        rows, at = rows[go], at[go]
+        more = width - ids.shape[1]
+        ids, d = np.pad(ids, ((0, 0), (0, more)), constant_values=-1), np.pad(d, ((0, 0), (0, more)), constant_values=np.inf)
+        step = max(1, CELLS // (max(8, width // 4) * index.graph.shape[1]))
+        for i in range(0, len(rows), step):
+            walk(index, q[rows[i : i + step]], ids[i : i + step], d[i : i + step], ratio)
+        within = d <= ratio * d[:, :1]
+        full = within[:, -1] & (width < k)
+        within[:, :least] |= np.isfinite(d[:, :least])
+        r, c = np.nonzero(within & ~full[:, None])
+        found.append((rows[r], ids[r, c], d[r, c]))
+        rows, ids, d, width = rows[full], ids[full], d[full], 2 * width
+    r, j, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (rows, rows, np.zeros(0))
+    order = np.argsort(r, kind="stable")
+    return r[order], j[order], d[order]
+
+
+def walk(index: Index, q: np.ndarray, ids: np.ndarray, d: np.ndarray, ratio: float) -> None:
+    """Expands, in place, what of the beams (nearest first, filled up with -1 and inf) is within the ratio or among the BEAM nearest, till nothing nearer comes.
+
+    A round expands a quarter of a beam. A centroid that fell out of a beam may be met again and falls out again, so no list of those seen is kept.
+    """
+    width, rows, done = ids.shape[1], np.arange(len(ids)), ids < 0
+    while True:
+        todo = ~done[rows] & ((np.arange(width) < BEAM) | (d[rows] <= ratio * d[rows, :1]))
+        todo &= np.cumsum(todo, axis=1) <= max(8, width // 4)
+        going = todo.any(axis=1)
+        rows, todo = rows[going], todo[going]
         if not len(rows):
-            break
-        open_[rows, at] = np.inf
-        done[rows] += 1
-        step = index.graph[at]
-        r = np.repeat(rows, step.shape[1])
-        j = step.ravel()
-        fresh = np.isinf(d[r, j])
-        r, j = r[fresh], j[fresh]
-        d[r, j] = open_[r, j] = np.sqrt(((q[r] - index.centroids[j]) ** 2).sum(axis=1))
-    return d
-
-
-def selected(d: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, lists) whose distance is within ratio times the row's nearest, the `least` nearest in any case."""
-    order = d.argsort(axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(d.shape[1])[None, :].repeat(len(d), axis=0), axis=1)
-    return np.nonzero(np.isfinite(d) & ((d <= ratio * d.min(axis=1, keepdims=True)) | (place < least)))
+            return
+        r, c = np.nonzero(todo)
+        done[rows[r], c] = True
+        near = ragged(len(rows), r, index.graph[ids[rows[r], c]], -1).reshape(len(rows), -1)
+        # a beam's own come before the same centroid met anew
+        key = np.sort(np.concatenate([2 * ids[rows], 2 * near + 1], axis=1), axis=1)
+        fresh = (key & 1 == 1) & (key > 0)
+        fresh[:, 1:] &= key[:, 1:] >> 1 != key[:, :-1] >> 1
+        r, c = np.nonzero(fresh)
+        j = key[r, c] >> 1
+        far = np.empty(len(j))
+        for i in range(0, len(j), BLOCK_PAIRS):
+            part = slice(i, i + BLOCK_PAIRS)
+            gap = q[rows[r[part]]] - index.centroids[j[part]]
+            far[part] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        nearer = far < d[rows[r], -1]
+        r, j, far = r[nearer], j[nearer], far[nearer]
+        both = np.concatenate([d[rows], ragged(len(rows), r, far, np.inf)], axis=1)
+        order = both.argsort(axis=1, kind="stable")[:, :width]
+        d[rows] = np.take_along_axis(both, order, axis=1)
+        ids[rows] = np.take_along_axis(np.concatenate([ids[rows], ragged(len(rows), r, j, -1)], axis=1), order, axis=1)
+        more = both.shape[1] - width
+        done[rows] = np.take_along_axis(np.pad(done[rows], ((0, 0), (0, more))), order, axis=1) | (ids[rows] < 0)
+
+
+def ragged(n: int, rows: np.ndarray, values: np.ndarray, fill: float) -> np.ndarray:
+    """Values side by side in their rows (given in ascending order), which are filled up."""
+    count = np.bincount(rows, minlength=n)
+    out = np.full((n, int(count.max(initial=0)), *values.shape[1:]), fill, values.dtype)
+    out[rows, np.arange(len(rows)) - (np.cumsum(count) - count)[rows]] = values
+    return out
 
 
 def replicas(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, lists): the nearest list of every vector, and up to REPLICAS - 1 more within REPLICA_RATIO."""
-    d = graph_search(index, x, REPLICA_RATIO, DEGREE)
-    top = np.argpartition(d, min(REPLICAS, d.shape[1]) - 1, axis=1)[:, :REPLICAS]
-    near = np.take_along_axis(d, top, axis=1)
-    r, j = np.nonzero(near <= REPLICA_RATIO * d.min(axis=1, keepdims=True))
-    return r, top[r, j]
+    r, j, d = graph_search(index, x, REPLICA_RATIO, 1)
+    n = np.bincount(r, minlength=len(x))
+    first = np.arange(len(r)) - (np.cumsum(n) - n)[r] < REPLICAS
+    return r[first], j[first]
 
 
-def build(vectors: DataFrame, k: int = K, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> Index | None:
-    """Fits the index on a bounded sample. The dimension is the commonest one (of equal, the larger); None if no vector can take part."""
+def build(vectors: DataFrame, k: int = K, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS, queries: Column | None = None) -> Index | None:
+    """Fits the index on a bounded sample, of rows that aren't queries if there are such: a row that centroids are fitted on finds fewer lists within a ratio. The dimension is the commonest one (of equal, the larger); None if no vector can take part."""
     kinds = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not kinds:
         return None
@@ -172,26 +220,37 @@ def build(vectors: DataFrame, k: int = K, list_rows: int = LIST_ROWS, max_lists:
     norm = own.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0]
     wanted = max(1, min(max_lists, -(-n // list_rows)))
     rows = max(SAMPLE_ROWS, SAMPLE_LIST * wanted)
-    ids = least_ids(own, "vec_id", rows)
-    sample = own.join(F.broadcast(ids), "vec_id").select("embedding").limit(rows).toArrow()
+    others = own if queries is None else own.filter(~F.coalesce(queries, F.lit(False)))
+    others = own if others.isEmpty() else others
+    ids = least_ids(others, "vec_id", rows)
+    sample = others.join(F.broadcast(ids), "vec_id").select("embedding").limit(rows).toArrow()
     x = completed(matrix(sample["embedding"]), norm)
     x = x[np.lexsort(x.T[::-1])]
-    c = balanced(x, max(1, min(wanted, len(x) // SAMPLE_LIST)))
+    # rows that centroids are fitted on lie nearer to them than others do, so the ratio is taken from rows apart
+    apart = np.arange(len(x)) % 4 == 3 if len(x) >= FEW_ROWS else np.ones(len(x), bool)
+    fitted = x[~apart] if len(x) >= FEW_ROWS else x
+    c = balanced(fitted, max(1, min(wanted, len(x) // SAMPLE_LIST)))
     index = Index(c, neighbour_graph(c), norm, 1.0, dim)
-    index.ratio = calibrated(index, x, k)
+    # of the k nearest of n rows about so many are among those apart
+    index.ratio = calibrated(index, x[apart], max(1, -(-k * int(apart.sum()) // n)))
     return index
 
 
 def calibrated(index: Index, x: np.ndarray, k: int) -> float:
-    """The ratio whose lists hold TARGET_RECALL of the sample queries' true neighbours in the sample."""
-    q = x[np.linspace(0, len(x) - 1, min(len(x), SAMPLE_QUERIES)).astype(int)].copy()
+    """The ratio whose lists hold TARGET_RECALL of the sample queries' k true neighbours in the sample."""
+    if len(x) < 2:
+        return 1.0
+    own = np.linspace(0, len(x) - 1, min(len(x), SAMPLE_QUERIES)).astype(int)
+    q = x[own].copy()
     q[:, -1] = 0
     d = np.sqrt(squares(q, index.centroids))
     parts = [(i, replicas(index, x[i : i + BLOCK_SEARCH])) for i in range(0, len(x), BLOCK_SEARCH)]
     rows, lists = np.concatenate([i + r for i, (r, _) in parts]), np.concatenate([j for _, (_, j) in parts])
     order = np.argsort(rows, kind="stable")
     lists, at = lists[order], np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(x)))])
-    best = np.argsort(-(q @ x.T), axis=1)[:, : k + 1]
+    near = q @ x.T
+    near[np.arange(len(q)), own] = -np.inf
+    best = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)]
     need = np.array([[d[i][lists[at[b] : at[b + 1]]].min() / d[i].min() for b in best[i]] for i in range(len(q))])
     return float(max(1.0, np.quantile(need, TARGET_RECALL))) * (1 + 1e-9)
 
@@ -208,7 +267,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
     whole = saved(vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct())
     kind = vectors.schema["vec_id"].dataType.simpleString()
     schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
-    index = index or build(whole, k)
+    index = index or build(whole, k, queries=is_query)
     if index is None:
         return spark.createDataFrame([], schema)
     own = whole.filter(F.size("embedding") == index.dim)
@@ -233,8 +292,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
                 part = batch.slice(i, BLOCK_SEARCH)
                 x = matrix(row_of_batch(part, "embedding"))
                 q = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
-                d = graph_search(shared.value, q, shared.value.ratio, least)
-                rows, lists = selected(d, shared.value.ratio, least)
+                rows, lists, _ = graph_search(shared.value, q, shared.value.ratio, least)
                 yield pa.record_batch([pa.array(lists, pa.int32()), *(row_of_batch(part, c).take(pa.array(rows)) for c in ("vec_id", "embedding"))], ["list", "vec_id", "embedding"])
 
     queries = own.filter(is_query)
