@@ -339,7 +339,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
         q, v, s = best(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": pa.array(q, ia_type), "vec_id": pa.array(v, ia_type), "score": pa.array(s, pa.float64())})
 
-    ia_type = pa.int64() if kind == "bigint" else pa.int32()
+    ia_type = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}[kind]
 
     def matched(postings: DataFrame, sizes: dict[int, int], probes: DataFrame) -> DataFrame:
         """(query_id, vec_id, score): of each shard of lists, the k best rows of every query that probes one of its lists."""

@@ -139,3 +139,29 @@ def test_recall(spark):
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.op3_ann(spark, "/root/testdata/sf0.01").collect()}
     both = got.keys() & want.keys()
     assert len(got) == len(want) and len(both) >= 0.9 * len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in both)
+
+
+def test_graph_search():
+    """The walk against the distances of all centroids, for ratios that take few, some and nearly all lists; each query alone finds what it finds among others."""
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(700, 24))
+    q = np.concatenate([rng.normal(size=(60, 24)), c[:3]])
+    index = ann.Index(c, ann.neighbour_graph(c), 1.0, 1.0, 23)
+    assert index.graph.shape[1] <= 2 + 2 * ann.DEGREE
+    d = np.sqrt(ann.squares(q[:60], c))
+    for ratio, least in ((1.0, 1), (1.05, 5), (1.3, 1), (3.0, 1), (1.0, 40)):
+        r, j, far = ann.graph_search(index, q[:60], ratio, least)
+        assert len(set(zip(r.tolist(), j.tolist()))) == len(r) and np.allclose(far, d[r, j])
+        want = {(a, b) for a in range(60) for b in range(700) if d[a, b] <= ratio * d[a].min() or b in np.argsort(d[a])[:least]}
+        assert len(want & set(zip(r.tolist(), j.tolist()))) >= 0.95 * len(want)
+        assert (np.bincount(r, minlength=60) >= least).all()
+        for a in (0, 31):
+            one = ann.graph_search(index, q[a : a + 1], ratio, least)
+            assert one[1].tolist() == j[r == a].tolist()
+    # a query on a centroid has that list alone, whatever the ratio
+    r, j, far = ann.graph_search(index, q[60:], 1.5, 1)
+    assert (far[np.r_[0, np.flatnonzero(np.diff(r)) + 1]] < 1e-6).all()
+    r, j, far = ann.graph_search(index, q[:0], 1.5, 1)
+    assert len(r) == len(j) == len(far) == 0
+    one = ann.Index(c[:1], ann.neighbour_graph(c[:1]), 1.0, 1.0, 23)
+    assert [x.tolist() for x in ann.graph_search(one, q[:2], 1.5, 3)[:2]] == [[0, 1], [0, 0]]
