@@ -28,7 +28,7 @@ from foliograph.llm.graph import saved
 
 K, QUERY_EVERY = 20, 20
 #: Vectors that centroids and the ratio are fitted on (the least xxhash64(vec_id); at least so many, and SAMPLE_LIST for each list), and sample queries of the calibration.
-#: A quarter of them is kept for the ratio, of which so many are queries; below FEW_ROWS all serve both ends.
+#: A quarter of them is kept for the ratio, of so many queries (of those of the search, least hashes first); below FEW_ROWS all serve both ends.
 SAMPLE_ROWS, SAMPLE_LIST, SAMPLE_QUERIES, FEW_ROWS = 20_000, 4, 400, 400
 #: Vectors by list, before replicas; lists at most; replicas of a boundary vector and their distance ratio; recall that the ratio is calibrated to.
 LIST_ROWS, MAX_LISTS, REPLICAS, REPLICA_RATIO, TARGET_RECALL = 256, 16_384, 4, 1.04, 0.96
@@ -221,7 +221,13 @@ def build(vectors: DataFrame, k: int = K, list_rows: int = LIST_ROWS, max_lists:
     wanted = max(1, min(max_lists, -(-n // list_rows)))
     rows = max(SAMPLE_ROWS, SAMPLE_LIST * wanted)
     others = own if queries is None else own.filter(~F.coalesce(queries, F.lit(False)))
-    others = own if others.isEmpty() else others
+    asked = None
+    if queries is None or others.isEmpty():
+        others = own
+    else:
+        wants = own.filter(queries)
+        asked = wants.join(F.broadcast(least_ids(wants, "vec_id", SAMPLE_QUERIES)), "vec_id").select("embedding").limit(SAMPLE_QUERIES).toArrow()
+        asked = asked if asked.num_rows else None
     ids = least_ids(others, "vec_id", rows)
     sample = others.join(F.broadcast(ids), "vec_id").select("embedding").limit(rows).toArrow()
     x = completed(matrix(sample["embedding"]), norm)
@@ -232,16 +238,16 @@ def build(vectors: DataFrame, k: int = K, list_rows: int = LIST_ROWS, max_lists:
     c = balanced(fitted, max(1, min(wanted, len(x) // SAMPLE_LIST)))
     index = Index(c, neighbour_graph(c), norm, 1.0, dim)
     # of the k nearest of n rows about so many are among those apart
-    index.ratio = calibrated(index, x[apart], max(1, -(-k * int(apart.sum()) // n)))
+    index.ratio = calibrated(index, x[apart], max(1, -(-k * int(apart.sum()) // n)), matrix(asked["embedding"]) if asked is not None else None)
     return index
 
 
-def calibrated(index: Index, x: np.ndarray, k: int) -> float:
-    """The ratio whose lists hold TARGET_RECALL of the sample queries' k true neighbours in the sample."""
+def calibrated(index: Index, x: np.ndarray, k: int, asked: np.ndarray | None = None) -> float:
+    """The ratio whose lists hold TARGET_RECALL of the sample queries' k true neighbours in the sample; without queries given, rows of the sample ask for others."""
     if len(x) < 2:
         return 1.0
     own = np.linspace(0, len(x) - 1, min(len(x), SAMPLE_QUERIES)).astype(int)
-    q = x[own].copy()
+    q = np.pad(asked, ((0, 0), (0, 1))) if asked is not None else x[own].copy()
     q[:, -1] = 0
     d = np.sqrt(squares(q, index.centroids))
     parts = [(i, replicas(index, x[i : i + BLOCK_SEARCH])) for i in range(0, len(x), BLOCK_SEARCH)]
@@ -249,7 +255,8 @@ def calibrated(index: Index, x: np.ndarray, k: int) -> float:
     order = np.argsort(rows, kind="stable")
     lists, at = lists[order], np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(x)))])
     near = q @ x.T
-    near[np.arange(len(q)), own] = -np.inf
+    if asked is None:
+        near[np.arange(len(q)), own] = -np.inf
     best = np.argsort(-near, axis=1)[:, : min(k, len(x) - 1)]
     need = np.array([[d[i][lists[at[b] : at[b + 1]]].min() / d[i].min() for b in best[i]] for i in range(len(q))])
     return float(max(1.0, np.quantile(need, TARGET_RECALL))) * (1 + 1e-9)
