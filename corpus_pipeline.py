@@ -20,7 +20,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, five-word shingles of similarity 0.8 and more: the one of the smallest doc_id."""
+    """One document of each group of near copies, the one of the smallest doc_id: SimHash fingerprints of five-word shingles, byte-position index, count filter; then similarity of the shingles, 0.8 and more."""
     return similar.keep_one(docs)
 
 

@@ -1,22 +1,23 @@
-"""Near-duplicates by word shingles of similarity LEAST or more: the byte-position index with count filtering over wide sketches.
+"""Near-duplicates by word shingles of similarity LEAST or more: SimHash, the byte-position inverted index and count filtering.
 
-A 64-bit SimHash can't serve this similarity: at 0.8 about ten bits differ, and an index of eight
-positional bytes promises a shared byte up to seven only. So the stage of the corpus pipeline indexes
-POSITIONS positional bytes of min-wise hashes, where two documents share a byte with the chance of
-their Jaccard similarity. The lists are the intersections of six positions, twenty for each sketch
-(a pair of 0.8 meets in one with a chance of 0.998). For each pair that meets, the shared positional
-bytes of the whole sketches are tallied.
+The method is that of op8 (simhash.py) with wide fingerprints. At a similarity of 0.8 the vectors of two sets of shingles stand at
+an angle of 0.476, so 15 % of their majority bits differ: ten of 64, of which an index of eight positional bytes promises a shared
+one only up to seven. So the stage of the corpus pipeline takes fingerprints of POSITIONS bytes: a bit is 1 if it is set in over
+half of the hashes of the text's different shingles. A list of the index holds the fingerprints that have the same two bytes at two
+positions; each position belongs to one of the LISTS lists of a fingerprint. A pair of 0.8 meets in one with a chance of 0.9999.
+
+Of pairs that meet, the bits of the first GLANCE bytes are looked at, then the shared positional bytes of the whole fingerprints are tallied: pairs
+with LEAST_SHARED or more are retained, and their bits are compared. The standard deviation of the bits that differ is 16 at
+0.8, so they decide only some three deviations away from LEAST: up to SURE differing bits a pair is a link, beyond FAR it is none.
+Those between are links if the shingles of their texts have a similarity of LEAST or more; they are compared once, in the first list where they meet,
+with the texts beside the list's members.
 
 No pair of a list is left out. First the members of the lists of a few positions are dealt over blocks of BLOCK at most, and a
 block is compared in one task, which joins most of what matches. Then all lists that still hold several components are
-compared block against block, leaving out only pairs that are in one component already: the members of the list's largest
+compared, those of more than SIDE members block against block, leaving out only pairs that are in one component already: the members of the list's largest
 component meet all others, and those meet each other. So a list of one group is not compared again, and the work grows with
-the square of a list's length only as far as its members don't match. Tasks hand on links between components only.
-
-The tally is an estimate of the similarity, whose standard deviation at 0.8 is 0.025. So it decides only four deviations and
-more away from LEAST, about: pairs from LOW to SURE shared bytes are links if the shingles of their texts have a similarity of
-LEAST or more. The members of such pairs, of those lists where they met, are compared once more with their texts beside them.
-So no step hands on pairs: a task returns links between components, or members of a list.
+the square of a list's length only as far as its members don't match.
+No step hands on pairs: a task returns links between components, or members of a list.
 """
 
 from __future__ import annotations
@@ -34,19 +35,26 @@ from foliograph.llm.graph import components, saved
 SHINGLE = 5
 LEAST = 0.8
 POSITIONS = 256
-#: Positions by list, lists of a sketch, and those of them that the first step goes through.
-BAND, BANDS, FIRST_BANDS = 6, 20, 4
-#: Shared bytes from which a pair is looked at, and from which it is a link without a look at its texts.
-LOW, SURE = 180, 226
+#: Positions by list, lists of a fingerprint, those of them that the first step goes through, and those whose members are dealt at a time.
+BAND = 2
+LISTS = POSITIONS // BAND
+FIRST_LISTS, ROUND = 4, 32
+NUMBERED = 48
+#: Bytes of a fingerprint that all members of a list bring along, and differing bits of these up to which a pair goes on.
+GLANCE, GLANCE_BITS = 32, 72
+#: Shared bytes from which a pair is retained, differing bits up to which it is looked at, and up to which it is a link without a look at its texts.
+LEAST_SHARED, FAR, SURE = 24, 448, 257
 #: Members of a list that one task compares with each other at first, and members of each side when blocks meet.
 BLOCK, SIDE = 512, 2048
 #: Bytes of texts of each side when blocks meet with their texts, about; a longer text is there alone.
 SIDE_BYTES = 1 << 24
-#: Tallies that are made at once, and pairs to be looked at that are held, at most.
-CELLS, HELD = 1 << 22, 1 << 20
+#: Hashes whose bits are added up at once: a sum fits a byte.
+ADDED = 255
+#: Pairs that are compared at once.
+CELLS = 1 << 15
 _NOT_BLANK = byte_set((0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF))
 _rng = np.random.default_rng(42)
-_FLIP, _TIMES = _rng.integers(0, 2**64, (2, POSITIONS), np.uint64)
+_FLIP, _TIMES = _rng.integers(0, 2**64, (2, POSITIONS // 8), np.uint64)
 _TIMES |= np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -64,15 +72,24 @@ def shingle_hashes(data: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[
     return span_hashes(sums, first, np.minimum(first + k, words[text + 1])), cuts
 
 
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """POSITIONS bytes of hash bits by 64-bit hash."""
+    x = (hashes[:, None] ^ _FLIP) * _TIMES
+    x ^= x >> np.uint64(29)
+    x *= _MIX
+    x ^= x >> np.uint64(32)
+    return x.view(np.uint8)
+
+
 def sketch(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """One row of POSITIONS bytes by text: a byte of the least of each of so many hash functions; zeros for a text without words."""
+    """The SimHash fingerprint of each text, a row of POSITIONS bytes: a bit is 1 if set in over half of its different hashes; zeros for a text without words."""
     out = np.zeros((len(cuts) - 1, POSITIONS), np.uint8)
-    full = np.flatnonzero(np.diff(cuts))
-    if len(full):
-        heads = cuts[:-1][full]
-        for i in range(POSITIONS):
-            least = np.minimum.reduceat((hashes ^ _FLIP[i]) * _TIMES[i], heads)
-            out[full, i] = (((least ^ (least >> np.uint64(29))) * _MIX) >> np.uint64(56)).astype(np.uint8)
+    for t in np.flatnonzero(np.diff(cuts)).tolist():
+        own = np.unique(hashes[cuts[t] : cuts[t + 1]])
+        ones = np.zeros(POSITIONS * 8, np.int64)
+        for i in range(0, len(own), ADDED):
+            ones += np.unpackbits(wide(own[i : i + ADDED]), axis=1).sum(0, dtype=np.uint8)
+        out[t] = np.packbits(2 * ones > len(own))
     return out
 
 
@@ -93,34 +110,24 @@ def sketches(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     return documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(of, f"doc_id {kind}, key long, size long, sketch binary")
 
 
-def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shared positional bytes of each row of a with each of b. Those of equal sketches (256) may be given as 0: nodes have different ones."""
-    if len(a) * len(b) <= 256:
-        return (a[:, None] == b[None]).sum(2)
-    out, same = np.zeros((len(a), len(b)), np.uint8), np.empty((len(a), len(b)), bool)
-    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
-        np.equal(x[:, None], y[None, :], out=same)
-        np.add(out, same.view(np.uint8), out=out)
-    return out
-
-
 #: own: the member is compared with the whole part; root: its component.
 PART = ["list", "block", "node", "root", "own", "sketch"]
 
 
 def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[str]]]:
-    """The rows of each part (list, block), which lie together, as arrays of the columns of PART, and their texts if there are such."""
+    """The rows of whole parts (list, block), which lie together, as arrays of the columns of PART, and their texts if there are such."""
     held, texts = None, []
     for batch in batches:
         if batch.num_rows:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, POSITIONS))
+            _, places, values = batch.column(5).buffers()
+            at = np.frombuffer(places, np.int32)[batch.column(5).offset :]
+            now.append(np.frombuffer(values, np.uint8)[at[0] : at[batch.num_rows]].reshape(batch.num_rows, -1))
             texts += batch.column(6).to_pylist() if batch.num_columns > 6 else []
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             cuts = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
-            for i, j in zip([0, *cuts[:-1]], cuts, strict=False):
-                yield [c[i:j] for c in held], texts[i:j]
             if len(cuts):
+                yield [c[: cuts[-1]] for c in held], texts[: cuts[-1]]
                 held, texts = [c[cuts[-1] :] for c in held], texts[cuts[-1] :]
     if held is not None:
         yield held, texts
@@ -146,47 +153,58 @@ class Shingles:
         return shared >= LEAST * (len(a) + len(b) - shared)
 
 
-def compared(root: np.ndarray, own: np.ndarray, sketch: np.ndarray, low: int, sure: int, texts: Shingles | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of one part: components as its links leave them, and which members have pairs of low to sure bytes that these don't join. With texts, those pairs are links or not."""
-    root, rows, asked, held, n_held = root.copy(), np.flatnonzero(own), np.zeros(len(root), bool), [], 0
+def compared(columns: list[np.ndarray], far: int, sure: int, texts: Shingles | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole parts: components as their links leave them, and which members have pairs of more than sure and up to far differing bits that these don't join. With texts, those pairs are links or not.
+
+    Whole fingerprints are tallied first, and asked for in the first list alone where the two meet; of shorter ones all pairs of up to far bits are asked for.
+    """
+    lists, block, _, root, own, sketch = columns
+    root, asked, full = root.copy(), np.zeros(len(root), bool), sketch.shape[1] == POSITIONS
+    words, which = np.ascontiguousarray(sketch).view(np.uint64), lists >> NUMBERED
+    left, held = np.arange(len(root)), []
 
     def join(a, b):
         root[root == max(a, b)] = min(a, b)
 
-    def ask():
-        for i, hit in held:
-            hit = hit[root[hit] != root[i]]
-            asked[hit] = True
-            asked[i] |= len(hit) > 0
-        held.clear()
-
-    step = max(1, CELLS // len(root))
-    for k in range(0, len(rows), step):
-        for i, shared in zip(rows[k : k + step], tally(sketch[rows[k : k + step]], sketch), strict=True):
-            hit = np.flatnonzero((shared >= low) & (root != root[i]))
-            for r in np.unique(root[hit[shared[hit] >= sure]]).tolist():
-                join(r, root[i])
-            hit = hit[(root[hit] != root[i]) & (shared[hit] < sure)]
-            if texts is not None:
-                for j in hit[np.argsort(-shared[hit].astype(np.int64), kind="stable")].tolist():
-                    if root[i] != root[j] and texts.similar(int(i), j):
-                        join(root[i], root[j])
-            elif len(hit):
-                held.append((i, hit))
-                n_held += len(hit)
-                if n_held > HELD:
-                    ask()
-                    n_held = 0
-    ask()
+    # members that stand d places apart, for all parts at once
+    for d in range(1, len(root)):
+        left = left[: np.searchsorted(left, len(root) - d)]
+        left = left[(lists[left] == lists[left + d]) & (block[left] == block[left + d])]
+        if not len(left):
+            break
+        i = left[(own[left] | own[left + d]) & (root[left] != root[left + d])]
+        for k in range(0, len(i), CELLS):
+            a = i[k : k + CELLS]
+            if full:
+                same = sketch[a] == sketch[a + d]
+                a, same = a[(kept := same.sum(1) >= LEAST_SHARED)], same[kept]
+            bits = np.bitwise_count(words[a] ^ words[a + d]).sum(1, dtype=np.int64)
+            for x in a[bits <= sure].tolist():
+                if root[x] != root[x + d]:
+                    join(root[x], root[x + d])
+            between = (bits > sure) & (bits <= far) & (root[a] != root[a + d])
+            if full:
+                both = same.reshape(len(a), LISTS, BAND).all(2)
+                between &= both.argmax(1) == which[a]
+            if texts is None:
+                held.append((a[between], d))
+            else:
+                for x in a[between].tolist():
+                    if root[x] != root[x + d] and texts.similar(x, x + d):
+                        join(root[x], root[x + d])
+    for a, d in held:
+        a = a[root[a] != root[a + d]]
+        asked[a] = asked[a + d] = True
     return root, asked
 
 
-def matching(parts: DataFrame, low: int, sure: int, k: int) -> DataFrame:
-    """(a, b, list, node): either components a, b that are one, or a member of a list that has pairs of low to sure bytes. Parts with a column text have their pairs decided by it."""
+def matching(parts: DataFrame, far: int, sure: int, k: int) -> DataFrame:
+    """(a, b, list, node): either components a, b that are one, or a member of a list that has pairs of more than sure and up to far bits. Parts with a column text have their pairs decided by it."""
 
     def found(batches: Iterator[pa.RecordBatch]):
-        for (lists, _, node, root, own, sketch), texts in parts_of(batches):
-            now, asked = compared(root, own, sketch, low, sure, Shingles(texts, k) if texts else None)
+        for columns, texts in parts_of(batches):
+            lists, node, root = columns[0], columns[2], columns[3]
+            now, asked = compared(columns, far, sure, Shingles(texts, k) if texts else None)
             old, at = np.unique(root, return_index=True)
             moved = now[at] != old
             n, m = int(moved.sum()), int(asked.sum())
@@ -209,16 +227,17 @@ def deal(own: str, of: Column) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(own)), of).cast("int")
 
 
-def listed(nodes: DataFrame, bands: int) -> DataFrame:
-    """(list, node, root) by each of the first `bands` lists of the nodes (node, root, sketch)."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * BAND + 1, F.lit(BAND))) for i in range(bands)])
-    return nodes.select(F.explode(keys).alias("list"), "node", "root")
+def listed(nodes: DataFrame, first: int, end: int) -> DataFrame:
+    """(list, node, root, and other columns) by each of the lists [first, end) of the nodes (node, root, sketch, ...). A list is its number, then NUMBERED bits of a hash of the bytes at its positions."""
+    value = lambda i: F.xxhash64(F.substring("sketch", i * BAND + 1, F.lit(BAND))).bitwiseAND(F.lit((1 << NUMBERED) - 1))
+    keys = F.array(*[F.lit(i << NUMBERED) + value(i) for i in range(first, end)])
+    return nodes.select(F.explode(keys).alias("list"), *[c for c in nodes.columns if c != "sketch"])
 
 
 def several(lists: DataFrame) -> DataFrame:
-    """The rows of those lists that hold several components, with the lists' lengths n."""
+    """The lengths n of those lists that hold several components."""
     sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    return saved(lists.join(sizes.select("list", "n"), "list"))
+    return saved(sizes.select("list", "n"))
 
 
 def blocks(lists: DataFrame) -> DataFrame:
@@ -226,6 +245,14 @@ def blocks(lists: DataFrame) -> DataFrame:
     return lists.withColumn("block", deal("block", whole(F.col("n"), BLOCK))).withColumn("own", F.lit(True))
 
 
+def met(lists: DataFrame) -> DataFrame:
+    """Each two members of different components of a list in a block: lists of up to SIDE members as they are, longer ones crossed."""
+    sizes = several(lists)
+    short = lists.join(sizes.filter(F.col("n") <= SIDE).select("list"), "list").withColumn("own", F.lit(True)).withColumn("block", F.lit(0))
+    long = crossed(lists.join(sizes.filter(F.col("n") > SIDE).select("list"), "list"))
+    return short.unionByName(long.select(short.columns))
+
+
 def crossed(lists: DataFrame) -> DataFrame:
     """Lists of several components, so that each two members of different components meet in a block. A column size, if there is one, counts bytes of text."""
     size = F.col("size") if "size" in lists.columns else F.lit(0)
@@ -254,22 +281,30 @@ def renamed(known: DataFrame | None, links: DataFrame) -> DataFrame:
 def roots(nodes: DataFrame, documents: DataFrame | None = None, k: int = SHINGLE) -> DataFrame:
     """(node, root) of those of the nodes (node, sketch, key, size; distinct) that match others: root is the least node reachable over links of pairs that meet in a list.
 
-    key names a node's row of documents by row_key(), size counts its text's bytes. Without documents pairs from LOW shared bytes on are links.
+    key names a node's row of documents by row_key(), size counts its text's bytes. Without documents pairs of up to FAR differing bits are links.
     """
-    prints, sure = nodes.select("node", "sketch"), LOW if documents is None else SURE
+    prints, sure = nodes.select("node", "sketch"), FAR if documents is None else SURE
     links = lambda out: out.filter("a is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    first = several(listed(prints.withColumn("root", F.col("node")), FIRST_BANDS))
-    known = renamed(None, links(matching(blocks(first).join(prints, "node"), SURE, SURE, k)))
-    now = prints.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    out = saved(matching(crossed(several(listed(now, BANDS))).join(prints, "node"), LOW, sure, k))
+    asked = lambda out: out.filter("node is not null").select("list", "node").distinct()
+    first = listed(prints.withColumn("root", F.col("node")), 0, FIRST_LISTS)
+    known = renamed(None, links(matching(blocks(first.join(several(first), "list")).join(prints, "node"), SURE, SURE, k)))
+    now = saved(prints.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    near, glances = None, now.withColumn("glance", F.substring("sketch", 1, GLANCE))
+    for i in range(0, LISTS, ROUND):
+        parts = met(listed(glances, i, i + ROUND)).withColumnRenamed("glance", "sketch")
+        out = saved(asked(matching(parts, GLANCE_BITS, -1, k)))
+        near = out if near is None else near.unionByName(out)
+    lists = saved(near.join(now, "node"))
+    out = saved(matching(met(lists), FAR, sure, k))
     known = renamed(known, links(out))
     if documents is None:
         return known
-    asked = out.filter("node is not null").select("list", "node").distinct().join(known, "node", "left").join(nodes.select("node", "size"), "node")
-    lists = several(asked.withColumn("root", F.coalesce("root", "node")))
+    lists = asked(out).join(known, "node", "left").join(nodes.select("node", "size"), "node").withColumn("root", F.coalesce("root", "node"))
+    lists = saved(lists)
+    lists = saved(lists.join(several(lists).select("list"), "list"))
     keys = saved(nodes.join(lists.select("node").distinct(), "node").select("node", "sketch", F.col("key").alias("_key")))
     texts = documents.select(row_key().alias("_key"), "text").join(keys, "_key").select("node", "sketch", "text").dropDuplicates(["node"])
-    return renamed(known, links(matching(crossed(lists).join(texts, "node"), LOW, SURE, k)))
+    return renamed(known, links(matching(crossed(lists).join(texts, "node"), FAR, SURE, k)))
 
 
 def grouped(documents: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:

@@ -369,6 +369,22 @@ def test_similar_exact(spark):
     assert len({group[i] for i in range(400, 430)}) == (1 if len(sets[400] & sets[401]) / len(sets[400] | sets[401]) >= 0.8 else 30)
 
 
+def test_similar_fingerprints():
+    """The near-dedup stage's fingerprints are SimHash: majority bits of the different shingles, which differ by the angle between two sets (least hashes would differ in 10 % of their bits at 0.8)."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2**64, 900, np.uint64)
+    b = np.concatenate([a[:800], rng.integers(0, 2**64, 100, np.uint64)])
+    texts = [a, b, a[:1], a[:2], a[:0], np.concatenate([a[:5], a[:4], a[:1]]), a[:5]]
+    got = similar.sketch(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    bits = np.unpackbits(got, axis=1)
+    differ = (bits[0] != bits[1]).mean()
+    assert abs(differ - np.arccos(800 / 900) / np.pi) < 0.03
+    assert (got[5] == got[6]).all() and not got[4].any()
+    for t, row in zip(texts, bits, strict=True):
+        each = [np.unpackbits(similar.wide(np.array([h]))[0]) for h in set(t.tolist())]
+        assert row.tolist() == [int(2 * sum(int(e[i]) for e in each) > len(each)) for i in range(8 * similar.POSITIONS)]
+
+
 def test_similar_rows(spark):
     """Different texts of one or no doc_id are documents of their own; a copy without doc_id goes."""
     texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
