@@ -41,7 +41,7 @@ LISTS = POSITIONS // BAND
 FIRST_LISTS, ROUND = 4, 32
 NUMBERED = 48
 #: Bytes of a fingerprint that all members of a list bring along, and differing bits of these up to which a pair goes on.
-GLANCE, GLANCE_BITS = 32, 72
+GLANCE, GLANCE_BITS = 16, 42
 #: Shared bytes from which a pair is retained, differing bits up to which it is looked at, and up to which it is a link without a look at its texts.
 LEAST_SHARED, FAR, SURE = 24, 448, 257
 #: Members of a list that one task compares with each other at first, and members of each side when blocks meet.
@@ -246,18 +246,17 @@ def blocks(lists: DataFrame) -> DataFrame:
 
 
 def met(lists: DataFrame) -> DataFrame:
-    """Each two members of different components of a list in a block: lists of up to SIDE members as they are, longer ones crossed."""
-    sizes = several(lists)
-    short = lists.join(sizes.filter(F.col("n") <= SIDE).select("list"), "list").withColumn("own", F.lit(True)).withColumn("block", F.lit(0))
-    long = crossed(lists.join(sizes.filter(F.col("n") > SIDE).select("list"), "list"))
-    return short.unionByName(long.select(short.columns))
+    """Each two members of different components of a list in a block: lists of up to SIDE members as they are, without a look at what they hold, longer ones crossed."""
+    long = F.broadcast(saved(lists.groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > SIDE).select("list")))
+    short = lists.join(long, "list", "left_anti").withColumn("own", F.lit(True)).withColumn("block", F.lit(0))
+    return short.unionByName(crossed(lists.join(long, "list", "left_semi")).select(short.columns))
 
 
 def crossed(lists: DataFrame) -> DataFrame:
-    """Lists of several components, so that each two members of different components meet in a block. A column size, if there is one, counts bytes of text."""
+    """The lists of several components, so that each two members of different components meet in a block. A column size, if there is one, counts bytes of text."""
     size = F.col("size") if "size" in lists.columns else F.lit(0)
     sizes = lists.groupBy("list", "root").agg(F.count("*").alias("m"), F.sum(size).alias("b")).groupBy("list")
-    sizes = sizes.agg(F.max(F.struct("m", "root", "b")).alias("top"), F.sum("m").alias("n"), F.sum("b").alias("b"))
+    sizes = sizes.agg(F.max(F.struct("m", "root", "b")).alias("top"), F.sum("m").alias("n"), F.sum("b").alias("b")).filter("top.m < n")
     i, j = whole(F.col("top.m"), SIDE, F.col("top.b")), whole(F.col("n") - F.col("top.m"), SIDE, F.col("b") - F.col("top.b"))
     sizes = sizes.select("list", F.col("top.root").alias("top"), i.alias("i"), j.alias("j"))
     dealt = lists.join(sizes, "list").withColumn("own", F.col("root") != F.col("top")).withColumn("at", deal("side", F.when(F.col("own"), F.col("j")).otherwise(F.col("i"))))
@@ -301,7 +300,7 @@ def roots(nodes: DataFrame, documents: DataFrame | None = None, k: int = SHINGLE
         return known
     lists = asked(out).join(known, "node", "left").join(nodes.select("node", "size"), "node").withColumn("root", F.coalesce("root", "node"))
     lists = saved(lists)
-    lists = saved(lists.join(several(lists).select("list"), "list"))
+    lists = saved(lists.join(several(lists), "list"))
     keys = saved(nodes.join(lists.select("node").distinct(), "node").select("node", "sketch", F.col("key").alias("_key")))
     texts = documents.select(row_key().alias("_key"), "text").join(keys, "_key").select("node", "sketch", "text").dropDuplicates(["node"])
     return renamed(known, links(matching(crossed(lists).join(texts, "node"), FAR, SURE, k)))

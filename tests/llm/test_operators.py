@@ -381,7 +381,7 @@ def test_similar_fingerprints():
     assert abs(differ - np.arccos(800 / 900) / np.pi) < 0.03
     assert (got[5] == got[6]).all() and not got[4].any()
     for t, row in zip(texts, bits, strict=True):
-        each = [np.unpackbits(similar.wide(np.array([h]))[0]) for h in set(t.tolist())]
+        each = [np.unpackbits(similar.wide(np.array([h], np.uint64))[0]) for h in set(t.tolist())]
         assert row.tolist() == [int(2 * sum(int(e[i]) for e in each) > len(each)) for i in range(8 * similar.POSITIONS)]
 
 
