@@ -6,23 +6,25 @@ one only up to seven. So the stage of the corpus pipeline takes fingerprints of
 half of the hashes of the text's different shingles. A list of the index holds the fingerprints that have the same two bytes at two
 positions; each position belongs to one of the LISTS lists of a fingerprint. A pair of 0.8 meets in one with a chance of 0.9999.
 
-Of pairs that meet, the bits of the first GLANCE bytes are looked at, then the shared positional bytes of the whole fingerprints are tallied: pairs
-with LEAST_SHARED or more are retained, and their bits are compared. The standard deviation of the bits that differ is 16 at
+Of pairs that meet, the bits of the first GLANCE bytes are looked at. Pairs that pass, however many, are linked to clusters, and all pairs of a cluster are compared
+by their whole fingerprints: the shared positional bytes are tallied, pairs with LEAST_SHARED or more are retained, and their bits are compared. The standard deviation of the bits that differ is 16 at
 0.8, so they decide only some three deviations away from LEAST: up to SURE differing bits a pair is a link, beyond FAR it is none.
-Those between are links if the shingles of their texts have a similarity of LEAST or more; they are compared once, in the first list where they meet,
-with the texts beside the list's members.
+Those between are links if the shingles of their texts have a similarity of LEAST or more; they are compared with the texts beside the members of the cluster.
+Clusters of more than CLUSTER members are not crossed: their pairs are compared list by list, those between in the first list alone where they meet.
 
 No pair of a list is left out. First the members of the lists of a few positions are dealt over blocks of BLOCK at most, and a
 block is compared in one task, which joins most of what matches. Then all lists that still hold several components are
 compared, those of more than SIDE members block against block, leaving out only pairs that are in one component already: the members of the list's largest
 component meet all others, and those meet each other. So a list of one group is not compared again, and the work grows with
 the square of a list's length only as far as its members don't match.
-No step hands on pairs: a task returns links between components, or members of a list.
+No step hands on pairs: a task returns links between components, or members of a cluster or list. The glances go over the lists in rounds, and after a
+round what it has linked is one cluster, so that a group of copies is returned by the first lists alone, not once by list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,10 @@ from foliograph.llm.graph import components, saved
 SHINGLE = 5
 LEAST = 0.8
 POSITIONS = 256
-#: Positions by list, lists of a fingerprint, those of them that the first step goes through, and those whose members are dealt at a time.
+#: Positions by list, lists of a fingerprint, those of them that the first step goes through, and the rounds of lists whose members are dealt at a time.
 BAND = 2
 LISTS = POSITIONS // BAND
-FIRST_LISTS, ROUND = 4, 32
+FIRST_LISTS, ROUNDS = 4, (0, 4, 32, 64, 96, LISTS)
 NUMBERED = 48
 #: Bytes of a fingerprint that all members of a list bring along, and differing bits of these up to which a pair goes on.
 GLANCE, GLANCE_BITS = 32, 72
@@ -48,6 +50,9 @@ LEAST_SHARED, FAR, SURE = 24, 448, 257
 BLOCK, SIDE = 512, 2048
 #: Bytes of texts of each side when blocks meet with their texts, about; a longer text is there alone.
 SIDE_BYTES = 1 << 24
+#: Members of each side when the members of a cluster meet, and members up to which they do: a member has no more copies than lists.
+CLUSTER_SIDE = 64
+CLUSTER = LISTS * CLUSTER_SIDE
 #: Hashes whose bits are added up at once: a sum fits a byte.
 ADDED = 255
 #: Pairs that are compared at once.
@@ -156,7 +161,7 @@ class Shingles:
 def compared(columns: list[np.ndarray], far: int, sure: int, texts: Shingles | None) -> tuple[np.ndarray, np.ndarray]:
     """Of whole parts: components as their links leave them, and which members have pairs of more than sure and up to far differing bits that these don't join. With texts, those pairs are links or not.
 
-    Whole fingerprints are tallied first, and asked for in the first list alone where the two meet; of shorter ones all pairs of up to far bits are asked for.
+    Whole fingerprints are tallied first, and asked for in the first list alone where the two meet, or in their cluster; of shorter ones all pairs of up to far bits are asked for.
     """
     lists, block, _, root, own, sketch = columns
     root, asked, full = root.copy(), np.zeros(len(root), bool), sketch.shape[1] == POSITIONS
@@ -185,7 +190,7 @@ def compared(columns: list[np.ndarray], far: int, sure: int, texts: Shingles | N
             between = (bits > sure) & (bits <= far) & (root[a] != root[a + d])
             if full:
                 both = same.reshape(len(a), LISTS, BAND).all(2)
-                between &= both.argmax(1) == which[a]
+                between &= (which[a] == LISTS) | (both.argmax(1) == which[a])
             if texts is None:
                 held.append((a[between], d))
             else:
@@ -217,7 +222,7 @@ def matching(parts: DataFrame, far: int, sure: int, k: int) -> DataFrame:
     return parts.select(columns).repartition("list", "block").sortWithinPartitions("list", "block").mapInArrow(found, "a long, b long, list long, node long")
 
 
-def whole(n: Column, size: int, n_bytes: Column | None = None) -> Column:
+def whole(n: Column, size: int | Column, n_bytes: Column | None = None) -> Column:
     """Blocks for n members, or for members with so many bytes of text."""
     parts = F.ceil(n / size).cast("int")
     return parts if n_bytes is None else F.greatest(parts, F.ceil(n_bytes / SIDE_BYTES).cast("int"))
@@ -253,11 +258,12 @@ def met(lists: DataFrame) -> DataFrame:
 
 
 def crossed(lists: DataFrame) -> DataFrame:
-    """The lists of several components, so that each two members of different components meet in a block. A column size, if there is one, counts bytes of text."""
+    """The lists or clusters of several components, so that each two members of different components meet in a block. A column size, if there is one, counts bytes of text."""
     size = F.col("size") if "size" in lists.columns else F.lit(0)
     sizes = lists.groupBy("list", "root").agg(F.count("*").alias("m"), F.sum(size).alias("b")).groupBy("list")
     sizes = sizes.agg(F.max(F.struct("m", "root", "b")).alias("top"), F.sum("m").alias("n"), F.sum("b").alias("b")).filter("top.m < n")
-    i, j = whole(F.col("top.m"), SIDE, F.col("top.b")), whole(F.col("n") - F.col("top.m"), SIDE, F.col("b") - F.col("top.b"))
+    side = F.when(F.shiftright("list", NUMBERED) == LISTS, CLUSTER_SIDE).otherwise(SIDE)
+    i, j = whole(F.col("top.m"), side, F.col("top.b")), whole(F.col("n") - F.col("top.m"), side, F.col("b") - F.col("top.b"))
     sizes = sizes.select("list", F.col("top.root").alias("top"), i.alias("i"), j.alias("j"))
     dealt = lists.join(sizes, "list").withColumn("own", F.col("root") != F.col("top")).withColumn("at", deal("side", F.when(F.col("own"), F.col("j")).otherwise(F.col("i"))))
     # block x * j + y: members x of the largest component and y of the others; i * j + x * j + y, x < y: members x and y of the others
@@ -287,14 +293,21 @@ def roots(nodes: DataFrame, documents: DataFrame | None = None, k: int = SHINGLE
     asked = lambda out: out.filter("node is not null").select("list", "node").distinct()
     first = listed(prints.withColumn("root", F.col("node")), 0, FIRST_LISTS)
     known = renamed(None, links(matching(blocks(first.join(several(first), "list")).join(prints, "node"), SURE, SURE, k)))
-    now = saved(prints.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    near, glances = None, now.withColumn("glance", F.substring("sketch", 1, GLANCE))
-    for i in range(0, LISTS, ROUND):
-        parts = met(listed(glances, i, i + ROUND)).withColumnRenamed("glance", "sketch")
-        out = saved(asked(matching(parts, GLANCE_BITS, -1, k)))
-        near = out if near is None else near.unionByName(out)
-    lists = saved(near.join(now, "node"))
-    out = saved(matching(met(lists), FAR, sure, k))
+    rooted = lambda of: prints.join(of, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("glance", F.substring("sketch", 1, GLANCE))
+    near = known
+    for i, end in pairwise(ROUNDS):
+        parts = met(listed(rooted(near), i, end)).withColumnRenamed("glance", "sketch")
+        near = renamed(near, links(matching(parts, GLANCE_BITS, GLANCE_BITS, k)))
+    sizes = near.groupBy("root").agg(F.count("*").alias("members"))
+    near = saved(near.join(sizes, "root").select("node", F.col("root").alias("cluster"), "members"))
+    now = saved(rooted(known).join(near, "node"))
+    cluster = F.lit(LISTS << NUMBERED) + F.xxhash64("cluster").bitwiseAND(F.lit((1 << NUMBERED) - 1))
+    parts = crossed(now.filter(F.col("members") <= CLUSTER).select(cluster.alias("list"), "node", "root", "sketch")).select(PART)
+    large = now.filter(F.col("members") > CLUSTER).select("node", "root", "sketch", "glance")
+    if not large.isEmpty():
+        lists = asked(matching(met(listed(large, 0, LISTS)).withColumnRenamed("glance", "sketch"), GLANCE_BITS, -1, k))
+        parts = parts.unionByName(met(saved(lists.join(large.drop("glance"), "node"))).select(PART))
+    out = saved(matching(parts, FAR, sure, k))
     known = renamed(known, links(out))
     if documents is None:
         return known

@@ -424,6 +424,37 @@ def test_similar_long_lists(spark, monkeypatch):
         assert group == {i: i - i % 2 for i in range(600)}
 
 
+@pytest.mark.parametrize("cluster", [similar.LISTS * 64, 8])
+def test_similar_large_group(spark, monkeypatch, cluster):
+    """One group of near copies of similarities from 0.4 up, against all pairs, compared as a cluster or list by list. As a cluster, a member is returned a few times, not once by list."""
+    rng = np.random.default_rng(11)
+    base, rows, matching = [f"w{x}" for x in rng.integers(0, 5000, 150)], [], similar.matching
+    texts = [[*base] for _ in range(240)]
+    for t in texts:
+        for i in rng.integers(0, len(t), rng.integers(0, 9)):
+            t[i] = f"x{rng.integers(0, 10**6)}"
+    texts = [" ".join(t) for t in texts]
+
+    def counted(*args):
+        rows.append((out := similar.saved(matching(*args))).count())
+        return out
+
+    monkeypatch.setattr(similar, "matching", counted)
+    monkeypatch.setattr(similar, "CLUSTER", cluster, raising=False)
+    got = similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    shingles, group = similar.Shingles(texts, 5), list(range(len(texts)))
+    x = np.stack([similar.sketch(shingles.of(i), np.array([0, len(shingles.of(i))]))[0] for i in group])
+    bits = np.bitwise_count(x[:, None] ^ x).sum(2, dtype=np.int64)
+    for a in range(len(texts)):
+        for b in range(a):
+            if bits[a, b] <= similar.SURE or bits[a, b] <= similar.FAR and shingles.similar(a, b):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(group))
+    assert 20 < len(set(group)) < 200
+    assert cluster == 8 or sum(rows) < 12 * len(texts)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
