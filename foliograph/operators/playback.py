@@ -45,9 +45,9 @@ def throttled(moves: DataFrame, every: int = EVERY_MS) -> DataFrame:
     """reader, opened, due, event_id: the writes of positions (P3). A move sets a timer unless one is running; moves meanwhile don't extend it, and what is written when it ends is the last move before.
 
     moves: reader, t (in ms), event_id; of moves of one time the last event_id counts. Each move points to the first one after the timer that it would set; the moves that do set one
-    are those that are reached from the reader's first.
+    are those that are reached from the reader's first. Moves without a reader or a time set none.
     """
-    rows = moves.groupBy("reader", F.col("t").alias("at")).agg(F.max("event_id").alias("event_id"))
+    rows = moves.dropna(subset=["reader", "t"]).groupBy("reader", F.col("t").alias("at")).agg(F.max("event_id").alias("event_id"))
     later = Window.partitionBy("reader").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -every)
     steps = rows.withColumn("to", F.min("at").over(later))
     set_by = order.reached(steps, rows.groupBy("reader").agg(F.min("at").alias("at")), ["reader"]).withColumn("opened", F.col("at"))

@@ -296,8 +296,10 @@ def session_wpm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def throttled_writes(spark: SparkSession, d: str) -> DataFrame:
-    """Writes of positions, of a log whose days are taken as 8.64 seconds."""
-    return P.throttled(S.read(spark, d, "events").select(F.col("user_id").alias("reader"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 10_000).alias("t"), "event_id"))
+    """Writes of positions, of a log whose days are taken as 8.64 seconds. Times count to the nearest millisecond, as in SQL."""
+    moves = S.read(spark, d, "events")
+    moves = moves.withColumn("us", S.micros(moves, "ts"))
+    return P.throttled(moves.select(F.col("user_id").alias("reader"), F.expr("(us + CASE WHEN us < 0 THEN -500 ELSE 500 END) DIV 10000000").alias("t"), "event_id"))
 
 
 def library(spark: SparkSession, d: str) -> DataFrame:

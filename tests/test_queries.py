@@ -49,6 +49,23 @@ def test_large_tables(spark, monkeypatch, name):
     assert rows() == dealt
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_of_writes(spark, tmp_path, zone):
+    """Times just below a millisecond, before 1970, at a change to summer time, and events without a time or a reader."""
+    con = duckdb.connect()
+    times = ["2024-01-22 22:40:49.999976", "2024-01-22 22:40:49.9995", "2024-01-22 22:40:49.999499", "1969-12-31 23:59:39.9995", "1969-12-31 23:59:40.000501", "2024-03-10 02:30:00", "2024-03-10 03:30:00.25", "2024-03-10 03:30:00"]
+    rows = [f"({reader}, {n * 3 + k}, TIMESTAMP '{at}')" for n, at in enumerate(times) for k, reader in enumerate((1, n, "NULL"))] + ["(1, 900, NULL)", "(50, 901, NULL)"]
+    con.execute(f"create table events as select * from (values {', '.join(rows)}) e(user_id, event_id, ts)")
+    con.execute(f"copy (select user_id::BIGINT AS user_id, event_id::BIGINT AS event_id, ts from events) to '{tmp_path}/events.parquet'")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = plans.queries()["throttled_writes"](spark, str(tmp_path)).select("reader", "opened", "due", "event_id").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    want = con.execute(f"select reader, opened, due, event_id from ({oracles.oracle_sql()['throttled_writes']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
