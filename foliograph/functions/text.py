@@ -102,7 +102,11 @@ def nfc(texts: pd.Series) -> pd.Series:
 
 def clean(c: Column) -> Column:
     """Glyphs, white space and control characters of extracted text made plain."""
-    c = nfc(c)
+    return clean_normal(nfc(c))
+
+
+def clean_normal(c: Column) -> Column:
+    """clean() of normalised text."""
     for glyph, letters in LIGATURES.items():
         c = F.replace(c, F.lit(glyph), F.lit(letters))
     c = F.translate(c, FOLD_FROM, FOLD_TO)

@@ -63,13 +63,13 @@ def stamped(raw: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     if marks is None:
         rows = rows.withColumn("marked", F.lit(None).cast("string")).withColumn("has_outline", F.lit(False))
     else:
-        # of an entry's page the first heading, else the first block; books with two usable entries or more go by them
-        known = outline(marks).withColumn("n_marks", F.count("*").over(book)).filter("n_marks >= 2")
+        # of an entry's page the first heading, else the first block; books with two usable entries or more go by them, which they have at hand: blocks stay where their book is
+        entries = outline(marks).groupBy("book_id").agg(F.collect_list(F.struct("page", "title")).alias("entries")).filter(F.size("entries") >= 2)
         page = Window.partitionBy("book_id", "page")
         first = F.coalesce(F.min(F.when(F.col("type") == "heading", F.col("raw_idx"))).over(page), F.min("raw_idx").over(page))
-        rows = rows.withColumn("first", first).join(known.select("book_id", "page", F.col("title").alias("entry")), ["book_id", "page"], "left")
-        rows = rows.join(known.select("book_id").distinct().withColumn("has_outline", F.lit(True)), "book_id", "left").withColumn("has_outline", F.coalesce("has_outline", F.lit(False)))
-        rows = rows.withColumn("marked", F.when(F.col("raw_idx") == F.col("first"), F.col("entry")))
+        entry = F.get(F.filter("entries", lambda e: e["page"] == F.col("page")), F.lit(0))["title"]
+        rows = rows.withColumn("first", first).join(entries, "book_id", "left").withColumn("has_outline", F.col("entries").isNotNull())
+        rows = rows.withColumn("marked", F.when(F.col("raw_idx") == F.col("first"), entry)).drop("entries")
     title = F.coalesce(F.when(F.col("has_outline"), F.col("marked")).otherwise(inferred), F.when(F.col("raw_idx") == 0, "Opening"))
     rows = rows.withColumn("title", title).withColumn("source", F.when(F.col("title").isNotNull(), F.when(F.col("marked").isNotNull(), "outline").otherwise("heuristic")))
     order = book.orderBy("raw_idx")

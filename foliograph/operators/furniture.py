@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.operators.layout import PAGE, in_band
 
 
 def keys_of(line: Column) -> Column:
@@ -44,3 +45,31 @@ def furniture(lines: DataFrame, pages: DataFrame) -> DataFrame:
 def strip_furniture(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """The lines without furniture (H6)."""
     return lines.join(furniture(lines, pages), ["book", "page", "line_idx"], "left_anti")
+
+
+def page_keys() -> Column:
+    """The keys on a page, once each. Pages: with lines and page_height."""
+    return F.array_distinct(F.flatten(F.transform(F.filter("lines", in_band), lambda z: keys_of(z["text"]))))
+
+
+def by_books(pages: DataFrame, sizes: Column) -> DataFrame:
+    """Pages of lines with heads, the keys on them that repeat in their book (H5), and body, the median of the book's sizes. sizes: those of a page, an array of (s, weight).
+
+    A page lies among its keys and sizes, so that they are counted where the page is and neither is joined: a book's pages meet in one task, and nothing is gathered of a book.
+    """
+    page = F.struct(*[c for c in pages.columns if c not in PAGE])
+    none = F.lit(None)
+    no_page = none.cast(pages.select(page).schema[0].dataType)
+    row = lambda own=no_page, key=none, s=none, weight=none: F.struct(own.alias("own"), key.cast("string").alias("key"), s.cast("double").alias("s"), weight.cast("long").alias("weight"))
+    rows = pages.select(*PAGE, F.inline(F.concat(F.array(row(page)), F.transform(page_keys(), lambda k: row(key=k)), F.transform(sizes, lambda s: row(s=s["s"], weight=s["weight"])))))
+    is_page, book = F.col("own").isNotNull(), Window.partitionBy("book_id")
+    rows = rows.withColumn("n_on", F.count("key").over(Window.partitionBy("book_id", "key")))
+    rows = rows.withColumn("n_pages", F.sum(is_page.cast("int")).over(book)).withColumn("body", F.percentile("s", F.lit(0.5), F.col("weight")).over(book))
+    repeats = F.when(F.col("n_on") >= F.greatest(F.lit(3), F.floor(F.col("n_pages") * 0.25)), F.col("key"))
+    rows = rows.withColumn("heads", F.collect_list(repeats).over(Window.partitionBy(*PAGE)))
+    return rows.filter(is_page).select(*PAGE, "heads", "body", "own.*")
+
+
+def is_furniture(line: Column) -> Column:
+    """Whether a line of a page with its heads goes: a folio in the band, or one with a repeating key (H3, H5)."""
+    return in_band(line) & (T.is_folio(line["text"]) | F.exists(keys_of(line["text"]), lambda k: F.array_contains("heads", k)))

@@ -1,14 +1,17 @@
 """From positioned text fragments to lines in reading order: columns, baselines, bands.
 
-A page is the unit: everything is partitioned by book and page, so one exchange serves all steps.
+A page is the unit: one row holds its fragments, and then its lines, as an array, so that no step moves or sorts the fragments of other pages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.operators.arrays import bound, median
 
 PAGE = ["book_id", "page"]
 
@@ -24,19 +27,37 @@ LEAST_SIZE, USUAL_SPACING, LARGEST_GAP = 10.0, 12.0, 100
 
 def or_else(c: Column, other: Column | float) -> Column:
     """c, unless it is zero or null."""
-    return F.coalesce(F.nullif(c, F.lit(0).cast("double")), other if isinstance(other, Column) else F.lit(float(other)))
+    return F.coalesce(F.when(c != 0, c), other if isinstance(other, Column) else F.lit(float(other)))
+
+
+def is_blank(text: Column) -> Column:
+    return F.coalesce(T.js_trim(text) == "", F.lit(True))
+
+
+def fragment_of(item: Callable[[str], Column], page_height: Column) -> list[Column]:
+    """An item's fields as a fragment's (S3): the origin is at the top left; a size of zero or none is taken from the height, then 10; a height of zero or none from the size."""
+    size = or_else(F.abs(item("scale")), or_else(item("height"), LEAST_SIZE))
+    return [
+        item("frag_ord").alias("frag_ord"), item("str").alias("str"), item("left").alias("x"), (page_height - item("base")).alias("y"), item("width").alias("w"), or_else(item("height"), size).alias("h"),
+        size.alias("size"), item("font").alias("font"),
+    ]
 
 
 def fragments(items: DataFrame) -> DataFrame:
-    """Text items (book_id, page, frag_ord, str, scale, left, base, width, height, font, page_width, page_height) with their origin at the top left (S3). Blank ones go.
+    """Text items (book_id, page, frag_ord, str, scale, left, base, width, height, font, page_width, page_height) with their origin at the top left (S3). Blank ones go."""
+    return items.filter(~is_blank(F.col("str"))).select(*PAGE, *fragment_of(F.col, F.col("page_height")), "page_width", "page_height")
 
-    A size of zero or none is taken from the height, then 10; a height of zero or none from the size.
-    """
-    size = or_else(F.abs("scale"), or_else(F.col("height"), LEAST_SIZE))
-    return items.filter(F.col("str").isNotNull() & (T.js_trim(F.col("str")) != "")).select(
-        *PAGE, "frag_ord", "str", F.col("left").alias("x"), (F.col("page_height") - F.col("base")).alias("y"), F.col("width").alias("w"), or_else(F.col("height"), size).alias("h"),
-        size.alias("size"), "font", "page_width", "page_height",
-    )
+
+def page_fragments(pages: DataFrame) -> DataFrame:
+    """fragments() for pages (book_id, page, page_width, page_height, items): book_id, page, page_width, page_height, f."""
+    f = F.transform(F.filter("items", lambda i: ~is_blank(i["str"])), lambda i: F.struct(*fragment_of(lambda c: i[c], F.col("page_height"))))
+    return pages.select(*PAGE, "page_width", "page_height", f.alias("f"))
+
+
+def gathered(frags: DataFrame) -> DataFrame:
+    """Fragments, one by one, as page_fragments() has them."""
+    f = F.struct("frag_ord", "str", "x", "y", "w", "h", "size", "font")
+    return frags.groupBy(*PAGE, "page_width", "page_height").agg(F.collect_list(f).alias("f"))
 
 
 def spans_page(x: Column, right: Column, page_width: Column) -> Column:
@@ -44,67 +65,79 @@ def spans_page(x: Column, right: Column, page_width: Column) -> Column:
     return (right - x > page_width * WIDE) | ((right - x > page_width * CENTRED) & (F.abs((x + right) / 2 - page_width / 2) < page_width * OFF_CENTRE))
 
 
-def column_bounds(frags: DataFrame) -> DataFrame:
-    """book_id, page, bounds (from 0 to the page's width) of the pages of two or three columns.
+def bounds_of(f: Column) -> Column:
+    """The bounds of a page's columns (from 0 to the page's width) if it has two or three, else null (G7). f: its fragments.
 
     A sweep over the boxes' edges: where hardly a box stands for long enough, in the page's middle, is a gutter.
     """
-    x, y, width = F.col("x"), F.col("y"), F.col("page_width")
-    body = frags.filter(~spans_page(x, x + F.col("w"), width) & (y > F.col("page_height") * BODY_TOP) & (y < F.col("page_height") * BODY_BOTTOM))
-    page = Window.partitionBy(*PAGE)
-    body = body.withColumn("n", F.count("*").over(page)).filter(F.col("n") >= LEAST_FRAGMENTS)
-    ends = F.array(F.struct(x.alias("at"), F.lit(1).alias("delta")), F.struct((x + F.col("w")).alias("at"), F.lit(-1).alias("delta")))
-    events = body.select(*PAGE, "frag_ord", "n", "page_width", F.explode(ends).alias("e")).select(*PAGE, "frag_ord", "n", "page_width", "e.at", "e.delta")
-    order = page.orderBy("at", F.desc("delta"), "frag_ord")
-    noise = F.floor(F.col("n") * NOISE)
-    depth = F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    turns = events.withColumn("depth", depth).withColumn("clear", F.col("depth") <= noise).filter(F.col("clear") != (F.col("depth") - F.col("delta") <= noise))
-    mid = (F.col("since") + F.col("at")) / 2
-    gaps = turns.withColumn("since", F.lag("at").over(order)).filter(~F.col("clear") & F.col("since").isNotNull())
-    gaps = gaps.filter((F.col("at") - F.col("since") >= width * GUTTER) & (mid > width * GUTTER_FROM) & (mid < width * GUTTER_TO))
-    found = gaps.groupBy(*PAGE, "page_width").agg(F.sort_array(F.collect_list(mid)).alias("mids"))
+    width, height = F.col("page_width"), F.col("page_height")
+    own = F.filter(f, lambda z: ~spans_page(z["x"], z["x"] + z["w"], width) & (z["y"] > height * BODY_TOP) & (z["y"] < height * BODY_BOTTOM))
+    return bound(own, lambda body: F.when(F.size(body) >= LEAST_FRAGMENTS, gutters(body, width)))
+
+
+def gutters(body: Column, width: Column) -> Column:
+    edge = lambda at, minus, z: F.struct(at.alias("at"), F.lit(minus).alias("minus"), z["frag_ord"].alias("frag_ord"))
+    events = F.sort_array(F.concat(F.transform(body, lambda z: edge(z["x"], -1, z)), F.transform(body, lambda z: edge(z["x"] + z["w"], 1, z))))
+    noise = F.floor(F.size(body) * NOISE).cast("int")
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).alias("depth"), none.alias("since"), F.array().cast("array<double>").alias("mids"))
+
+    def step(a: Column, e: Column, noise: Column) -> Column:
+        depth = a["depth"] - e["minus"]
+        turn = (depth <= noise) != (a["depth"] <= noise)
+        mid = (a["since"] + e["at"]) / 2
+        gap = turn & (depth > noise) & a["since"].isNotNull() & (e["at"] - a["since"] >= width * GUTTER) & (mid > width * GUTTER_FROM) & (mid < width * GUTTER_TO)
+        return F.struct(depth.alias("depth"), F.when(turn, e["at"]).otherwise(a["since"]).alias("since"), F.when(gap, F.concat(a["mids"], F.array(mid))).otherwise(a["mids"]).alias("mids"))
+
+    mids = bound(noise, lambda noise: F.aggregate(events, start, lambda a, e: step(a, e, noise))["mids"])
     apart = lambda a, m: F.when((F.size(a) == 0) | (m - F.element_at(a, -1) > width * SAME_GUTTER), F.concat(a, F.array(m))).otherwise(a)
-    kept = found.withColumn("mids", F.aggregate("mids", F.array().cast("array<double>"), apart)).filter(F.size("mids") <= 2)
-    bounds = kept.select(*PAGE, F.concat(F.array(F.lit(0.0)), "mids", F.array("page_width")).alias("bounds"))
-    centres = body.groupBy(*PAGE).agg(F.collect_list(x + F.col("w") / 2).alias("centres"))
-    inside = F.transform(F.slice("bounds", 1, F.size("bounds") - 1), lambda low, i: F.size(F.filter("centres", lambda c: (c >= low) & (c < F.get("bounds", i + 1)))))
-    return bounds.join(centres, PAGE).filter(~F.exists(inside, lambda n: n < F.size("centres") * LEAST_SHARE)).select(*PAGE, "bounds")
+    kept = F.aggregate(F.sort_array(mids), F.array().cast("array<double>"), apart)
+    inside = lambda b: F.transform(F.slice(b, 1, F.size(b) - 1), lambda low, i: F.size(F.filter(body, lambda z: (z["x"] + z["w"] / 2 >= low) & (z["x"] + z["w"] / 2 < F.get(b, i + 1)))))
+    shared = lambda b: F.when(~F.exists(inside(b), lambda n: n < F.size(body) * LEAST_SHARE), b)
+    return bound(kept, lambda mids: F.when(F.size(mids).isin(1, 2), bound(F.concat(F.array(F.lit(0.0)), mids, F.array(width.cast("double"))), shared)))
+
+
+def column_bounds(pages: DataFrame) -> DataFrame:
+    """book_id, page, bounds of the pages of two or three columns. pages: of page_fragments()."""
+    return pages.select(*PAGE, bounds_of(F.col("f")).alias("bounds")).filter(F.col("bounds").isNotNull())
 
 
-def parts_of(frags: DataFrame) -> DataFrame:
-    """The fragments with n_columns of their page and their part of it: the column (from 0), or -1 for boxes across the columns."""
-    x, bounds = F.col("x"), F.col("bounds")
-    centre = x + F.col("w") / 2
-    inside = F.transform(F.slice(bounds, 1, F.size(bounds) - 1), lambda low, i: (centre >= low) & (centre < F.get(bounds, i + 1)))
-    place = F.array_position(inside, True).cast("int") - 1
-    column = F.when(place >= 0, place).when(centre < F.get(bounds, F.lit(1)), 0).otherwise(F.size(bounds) - 2)
-    part = F.when(bounds.isNull(), 0).when(spans_page(x, x + F.col("w"), F.col("page_width")), -1).otherwise(column)
-    return frags.join(column_bounds(frags), PAGE, "left").withColumn("part", part.cast("int")).withColumn("n_columns", F.coalesce(F.size(bounds) - 1, F.lit(1)).cast("int")).drop("bounds")
+def in_parts(f: Column, bounds: Column) -> Column:
+    """The fragments with their part of the page: the column (from 0), or -1 for boxes across the columns (G8); by part, then from the top."""
 
+    def part(z: Column) -> Column:
+        centre = z["x"] + z["w"] / 2
+        column = F.when(centre < F.get(bounds, F.lit(1)), 0).when((F.size(bounds) == 4) & (centre < F.get(bounds, F.lit(2))), 1).otherwise(F.size(bounds) - 2)
+        return F.when(bounds.isNull(), 0).when(spans_page(z["x"], z["x"] + z["w"], F.col("page_width")), -1).otherwise(column)
 
-def baselines(parts: DataFrame) -> DataFrame:
-    """One row by line of a part: its fragments f from left to right, and usual, the part's median size.
+    return F.sort_array(F.transform(f, lambda z: F.struct(part(z).alias("part"), *[z[c].alias(c) for c in ("y", "x", "frag_ord", "str", "w", "size", "font")])))
+
+
+def baselines(parts: Column, n_parts: Column) -> Column:
+    """The lines of a page's parts: part, usual (the part's median size) and the fragments f from left to right (G3). parts: of in_parts(), n_parts: how many columns there are.
 
     A fragment joins the line before it if it stands near the mean baseline of that line's fragments so far; that mean
-    depends on the order, so the ordered fragments of a part are folded.
+    depends on the order, so the ordered fragments are folded.
     """
-    keys = [*PAGE, "part", "n_columns", "page_width", "page_height"]
-    own = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("y", "x", "frag_ord", "str", "w", "size", "font"))).alias("f"), F.median("size").alias("usual"))
-    tolerance = F.greatest(F.lit(LEAST_TOLERANCE), or_else(F.col("usual"), LEAST_SIZE) * TOLERANCE)
-    start = F.struct(F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"))
-
-    def step(a: Column, z: Column) -> Column:
-        near = (a["n"] > 0) & (F.abs(z["y"] - a["mean"]) <= F.col("tolerance"))
-        last = F.coalesce(F.try_element_at(a["ids"], F.lit(-1)), F.lit(-1))
+    usual = F.transform(F.sequence(F.lit(-1), n_parts - 1), lambda p: median(F.transform(F.filter(parts, lambda z: z["part"] == p), lambda z: z["size"])))
+    start = F.struct(F.lit(-2).alias("part"), F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
+
+    def step(a: Column, z: Column, tolerance: Column) -> Column:
+        near = (a["part"] == z["part"]) & (F.abs(z["y"] - a["mean"]) <= F.get(tolerance, z["part"] + 1))
         return F.struct(
-            F.when(near, (a["mean"] * a["n"] + z["y"]) / (a["n"] + 1)).otherwise(z["y"]).alias("mean"), F.when(near, a["n"] + 1).otherwise(1).alias("n"),
-            F.concat(a["ids"], F.array(F.when(near, last).otherwise(last + 1))).alias("ids"),
+            z["part"].alias("part"), F.when(near, (a["mean"] * a["n"] + z["y"]) / (a["n"] + 1)).otherwise(z["y"]).alias("mean"), F.when(near, a["n"] + 1).otherwise(1).alias("n"),
+            (a["i"] + 1).alias("i"), F.when(near, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["i"]))).alias("starts"),
         )
 
-    own = own.withColumn("tolerance", tolerance).withColumn("ids", F.aggregate("f", start, step)["ids"])
-    rows = own.select(*keys, "usual", F.explode(F.arrays_zip("ids", "f")).alias("z")).select(*keys, "usual", F.col("z.ids").alias("g"), F.col("z.f").alias("z"))
-    fragment = F.struct("z.x", "z.y", "z.frag_ord", "z.str", "z.w", "z.size", "z.font")
-    return rows.groupBy(*keys, "usual", "g").agg(F.sort_array(F.collect_list(fragment)).alias("f"), F.median("z.size").alias("size"), F.median("z.y").alias("y"))
+    def cut(starts: Column, usual: Column) -> Column:
+        own = lambda at, g: F.slice(parts, at + 1, F.coalesce(F.get(starts, g + 1), F.size(parts)) - at)
+        f = lambda z: F.struct(*[z[c].alias(c) for c in ("x", "y", "frag_ord", "str", "w", "size", "font")])
+        part = lambda at: F.get(parts, at)["part"]
+        return F.transform(starts, lambda at, g: F.struct(part(at).alias("part"), F.get(usual, part(at) + 1).alias("usual"), F.sort_array(F.transform(own(at, g), f)).alias("f")))
+
+    tolerance = lambda usual: F.transform(usual, lambda u: F.greatest(F.lit(LEAST_TOLERANCE), or_else(u, LEAST_SIZE) * TOLERANCE))
+    starts = lambda usual: bound(tolerance(usual), lambda t: F.aggregate(parts, start, lambda a, z: step(a, z, t))["starts"])
+    return bound(usual, lambda usual: bound(starts(usual), lambda at: cut(at, usual)))
 
 
 def gap_before(f: Column, i: Column) -> Column:
@@ -119,45 +152,64 @@ def joined(f: Column, size: Column) -> Column:
     return F.array_join(F.transform(f, lambda z, i: F.concat(F.when(blank(z, i), " ").otherwise(""), z["str"])), "")
 
 
-def lines(frags: DataFrame) -> DataFrame:
-    """book_id, page, line_idx (reading order, from 0), text, x, y, right, size, font, col, max_gap, f, n_columns and the page's measures.
+def font_of(f: Column) -> Column:
+    """The font of most of a line's characters, of those of as many the first."""
+    weight = lambda name: F.aggregate(F.filter(f, lambda z: z["font"].eqNullSafe(name)), F.lit(0), lambda a, z: a + F.length(z["str"]))
+    most = lambda fonts: F.array_max(F.transform(fonts, lambda name, i: F.struct(weight(name).alias("n"), (-i).alias("i"), name.alias("font"))))["font"]
+    return bound(F.array_distinct(F.transform(f, lambda z: z["font"])), lambda fonts: F.when(F.size(fonts) > 1, most(fonts)).otherwise(F.get(fonts, F.lit(0))))
+
+
+def page_lines(pages: DataFrame, **fields: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """book_id, page, page_width, page_height, n_columns, lines of pages of fragments; a page without any goes. lines: line_idx (reading order, from 0), text, x, y, right, size, font, col, max_gap (G4, G9) and of each
+    of fields what it makes of a line's fragments, size and text.
 
     A line across the page cuts it into bands; within a band column after column is read.
     """
-    built, f = baselines(parts_of(frags)), F.col("f")
-    built = built.withColumn("size", or_else(F.col("size"), F.col("usual")))
-    fonts = F.array_distinct(F.transform(f, lambda z: z["font"]))
-    weight = lambda name: F.aggregate(F.filter(f, lambda z: z["font"].eqNullSafe(name)), F.lit(0), lambda a, z: a + F.length(z["str"]))
-    font = F.array_max(F.transform(fonts, lambda name, i: F.struct(weight(name).alias("n"), (-i).alias("i"), name.alias("font"))))["font"]
-    widest = F.array_max(F.concat(F.array(F.lit(0.0)), F.transform(f, lambda z, i: F.coalesce(gap_before(f, i), F.lit(0.0)))))
-    last = F.element_at(f, -1)
-    made = built.select(
-        *PAGE, "part", "g", "n_columns", "page_width", "page_height", joined(f, F.col("size")).alias("text"), F.get(f, F.lit(0))["x"].alias("x"), "y", (last["x"] + last["w"]).alias("right"), "size",
-        font.alias("font"), F.greatest("part", F.lit(0)).alias("col"), widest.alias("max_gap"), "f",
-    )
-    banner = F.col("part") == -1
-    above = Window.partitionBy(*PAGE).orderBy("y", F.desc("banner"), "g").rowsBetween(Window.unboundedPreceding, 0)
-    made = made.withColumn("banner", banner.cast("int")).withColumn("band", F.sum("banner").over(above) - F.col("banner"))
-    order = Window.partitionBy(*PAGE).orderBy("band", "banner", "col", "y", "x", "g")
-    return made.withColumn("line_idx", (F.row_number().over(order) - 1).cast("long")).drop("part", "g", "banner", "band")
 
+    def made(z: Column, idx: Column) -> Column:
+        f, last = z["f"], F.element_at(z["f"], -1)
+        size = or_else(median(F.transform(f, lambda i: i["size"])), z["usual"])
+        widest = F.array_max(F.concat(F.array(F.lit(0.0)), F.transform(f, lambda i, k: F.coalesce(gap_before(f, k), F.lit(0.0)))))
+        return bound(size, lambda size: bound(joined(f, size), lambda text: F.struct(
+            (z["part"] == -1).cast("int").alias("banner"), F.greatest(z["part"], F.lit(0)).alias("col"), median(F.transform(f, lambda i: i["y"])).alias("y"), F.get(f, F.lit(0))["x"].alias("x"),
+            idx.alias("idx"), text.alias("text"), (last["x"] + last["w"]).alias("right"), size.alias("size"), font_of(f).alias("font"), widest.alias("max_gap"),
+            *[field(f, size, text).alias(name) for name, field in fields.items()],
+        )))
+
+    def in_order(lines: Column) -> Column:
+        height = lambda z: F.struct(z["y"].alias("y"), (-z["banner"]).alias("b"), z["idx"].alias("idx"))
+        band = lambda z, banners: F.when(F.size(banners) == 0, 0).otherwise(F.size(F.filter(banners, lambda b: b < height(z))))
+        banners = F.transform(F.filter(lines, lambda z: z["banner"] == 1), height)
+        return bound(banners, lambda banners: F.sort_array(F.transform(lines, lambda z: F.struct(band(z, banners).alias("band"), z.alias("z")))))
+
+    names = ["text", "x", "y", "right", "size", "font", "col", "max_gap", *fields]
+    numbered = lambda z, i: F.struct(i.cast("long").alias("line_idx"), *[z["z"][c].alias(c) for c in names])
+    n_columns = lambda bounds: F.coalesce(F.size(bounds) - 1, F.lit(1))
+    built = lambda bounds: bound(in_parts(F.col("f"), bounds), lambda parts: baselines(parts, n_columns(bounds)))
+    read = lambda bounds: F.transform(bound(F.transform(built(bounds), made), in_order), numbered)
+    page = bound(bounds_of(F.col("f")), lambda bounds: F.struct(n_columns(bounds).alias("n_columns"), read(bounds).alias("lines")))
+    return pages.select(*PAGE, "page_width", "page_height", F.inline(F.when(F.size("f") > 0, F.array(page))))
 
-def page_chars(lines: DataFrame, least: int = 100) -> DataFrame:
-    """book_id, page, chars, has_text, n_columns."""
-    return lines.groupBy(*PAGE).agg(F.sum(F.length(T.js_trim(F.col("text")))).cast("long").alias("chars"), F.max("n_columns").cast("long").alias("n_columns")).withColumn("has_text", F.col("chars") >= least)
+
+def lines(frags: DataFrame) -> DataFrame:
+    """The lines of fragments, one by one: book_id, page, the page's measures, n_columns, line_idx, text, x, y, right, size, font, col, max_gap and f, a line's fragments from left to right."""
+    return one_by_one(page_lines(gathered(frags), f=lambda f, size, text: f))
+
+
+def one_by_one(pages: DataFrame) -> DataFrame:
+    """The lines of pages, each with the page's other columns."""
+    return pages.select(*[c for c in pages.columns if c != "lines"], F.inline("lines"))
 
 
-def banded(lines: DataFrame) -> DataFrame:
-    """The lines as furniture.py takes them: book, page, line_idx, line, band by the lines' height on the page (H1)."""
-    band = (F.col("y") <= F.col("page_height") * BAND) | (F.col("y") >= F.col("page_height") * (1 - BAND))
-    return lines.select(F.col("book_id").alias("book"), "page", "line_idx", F.col("text").alias("line"), band.alias("band"))
+def page_chars(pages: DataFrame, least: int = 100) -> DataFrame:
+    """book_id, page, chars, has_text, n_columns of pages of lines."""
+    chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, z: a + F.length(T.js_trim(z["text"])))
+    return pages.select(*PAGE, chars.alias("chars"), F.col("n_columns").cast("long").alias("n_columns")).withColumn("has_text", F.col("chars") >= least)
 
 
-def segments(lines: DataFrame) -> DataFrame:
-    """The lines with seg, the runs of one column of a page in reading order, from 0 (B2)."""
-    order = Window.partitionBy(*PAGE).orderBy("line_idx")
-    fresh = F.coalesce(F.col("col") != F.lag("col").over(order), F.lit(False)).cast("int")
-    return lines.withColumn("fresh", fresh).withColumn("seg", F.sum("fresh").over(order).cast("long")).drop("fresh")
+def in_band(line: Column) -> Column:
+    """Whether a line stands at the head or foot of the page (H1)."""
+    return (line["y"] <= F.col("page_height") * BAND) | (line["y"] >= F.col("page_height") * (1 - BAND))
 
 
 def ranked_value(value: str, share: float, seg: WindowSpec) -> Column:
@@ -166,11 +218,19 @@ def ranked_value(value: str, share: float, seg: WindowSpec) -> Column:
     return F.struct((rank == F.floor((F.count("*").over(seg) - 1) * share + 0.5)).alias("picked"), F.col(value).alias("value"))
 
 
-def measured(segs: DataFrame) -> DataFrame:
-    """The lines of segments with dy (to the next line), spacing (G10), left and edge (the segment's left and right measure, B4)."""
-    seg = Window.partitionBy(*PAGE, "seg")
-    own = segs.withColumn("dy", F.lead("y").over(seg.orderBy("line_idx")) - F.col("y"))
-    usual = F.median(F.when((F.col("dy") > 0) & (F.col("dy") < LARGEST_GAP), F.col("dy"))).over(seg)
-    own = own.withColumn("left", ranked_value("x", 0.1, seg)).withColumn("edge", ranked_value("right", 0.9, seg))
-    picked = lambda c: F.coalesce(F.max(F.when(F.col(c)["picked"], F.col(c)["value"])).over(seg), F.lit(0.0))
-    return own.select(*segs.columns, "dy", or_else(usual, USUAL_SPACING).alias("spacing"), picked("left").alias("left"), picked("edge").alias("edge"))
+def nearest_rank(values: Column, share: float) -> Column:
+    """ranked_value of an array; 0 of nulls."""
+    return F.coalesce(F.get(F.sort_array(values), F.floor((F.size(values) - 1) * share + 0.5).cast("int")), F.lit(0.0))
+
+
+def segments(pages: DataFrame) -> DataFrame:
+    """The pages' other columns with, for each run of one column in reading order, seg (from 0, B2), spacing (G10), left and edge (its left and right measure, B4) and its lines, with dy (to the next line)."""
+    starts = F.filter(F.transform("lines", lambda z, i: F.when((i == 0) | (z["col"] != F.get("lines", i - 1)["col"]), i)), lambda i: i.isNotNull())
+    own = lambda at, end: F.slice("lines", at + 1, F.coalesce(end, F.size("lines")) - at)
+    below = lambda own: F.filter(F.transform(own, lambda z, i: F.get(own, i + 1)["y"] - z["y"]), lambda dy: (dy > 0) & (dy < LARGEST_GAP))
+    cut = lambda seg, own: F.struct(
+        seg.cast("long").alias("seg"), or_else(median(below(own)), USUAL_SPACING).alias("spacing"), nearest_rank(F.transform(own, lambda z: z["x"]), 0.1).alias("left"),
+        nearest_rank(F.transform(own, lambda z: z["right"]), 0.9).alias("edge"), F.transform(own, lambda z, i: z.withField("dy", F.get(own, i + 1)["y"] - z["y"])).alias("lines"),
+    )
+    segs = bound(starts, lambda starts: F.transform(starts, lambda at, seg: bound(own(at, F.get(starts, seg + 1)), lambda own: cut(seg, own))))
+    return pages.select(*[c for c in pages.columns if c != "lines"], F.inline(segs))

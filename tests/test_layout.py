@@ -12,7 +12,9 @@ from foliograph.operators import chapters as C
 from foliograph.operators import layout as L
 from foliograph.operators import playback as P
 from foliograph.operators import queue as Q
+from foliograph.plans import layout_queries
 from foliograph.sources import fragments
+from foliograph.sources.tables import shared_folder
 
 
 def one(spark, column):
@@ -106,6 +108,15 @@ def test_pages(spark, tmp_path):
     assert L.fragments(found).filter("book_id < 99").count() == items.count()
 
 
+@pytest.mark.parametrize("name", ["line_kinds", "raw_blocks", "book_blocks", "book_chapters", "chapter_list", "extraction_quality"])
+def test_nothing_is_written(spark, name):
+    """Pages, lines and blocks aren't written between steps; texts are moved to their book's task, at most."""
+    shared = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(shared.rglob("*"))
+    assert layout_queries.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert set(shared.rglob("*")) == before
+
+
 @pytest.mark.parametrize(("stored", "want"), [
     ('{"rate": 1.5}', (1.5, 165, "chapter-end", "")), ('{"rate": 2, "base_wpm": 180, "theme": "dark", "keys": {"a": 1}}', (2.0, 180, "chapter-end", "keys={\"a\":1},theme=dark")),
     ("{}", (1.0, 165, "chapter-end", "")), (None, (1.0, 165, "chapter-end", "")), ("broken", (1.0, 165, "chapter-end", "")), ('{"rate": null, "footnote_mode": "skip"}', (1.0, 165, "skip", "")), ('{"base_wpm": "fast"}', (1.0, 165, "chapter-end", "")),
