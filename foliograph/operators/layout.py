@@ -22,6 +22,7 @@ LEAST_FRAGMENTS, NOISE, GUTTER, GUTTER_FROM, GUTTER_TO, SAME_GUTTER, LEAST_SHARE
 LEAST_TOLERANCE, TOLERANCE, SPACE = 2.0, 0.45, 0.25 * 0.6
 BAND = 0.085
 LEAST_SIZE, USUAL_SPACING, LARGEST_GAP = 10.0, 12.0, 100
+LEAST_CHARS = 100
 # End of the fixed values.
 
 
@@ -201,7 +202,7 @@ def one_by_one(pages: DataFrame) -> DataFrame:
     return pages.select(*[c for c in pages.columns if c != "lines"], F.inline("lines"))
 
 
-def page_chars(pages: DataFrame, least: int = 100) -> DataFrame:
+def page_chars(pages: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """book_id, page, chars, has_text, n_columns of pages of lines."""
     chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, z: a + F.length(T.js_trim(z["text"])))
     return pages.select(*PAGE, chars.alias("chars"), F.col("n_columns").cast("long").alias("n_columns")).withColumn("has_text", F.col("chars") >= least)
