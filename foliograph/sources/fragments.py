@@ -20,13 +20,21 @@ def bucket_of(book: Column) -> Column:
 
 def write_pages(items: DataFrame, path: str) -> None:
     """Writes text items (book_id, page, frag_ord, str, scale, left, base, width, height, font, page_width, page_height) as pages. A page's items are gathered in one row."""
+    item = F.struct("frag_ord", "str", "scale", "left", "base", "width", "height", "font")
+    write_whole_pages(items.groupBy("book_id", "page", "page_width", "page_height").agg(F.collect_list(item).alias("items")), path)
+
+
+def write_whole_pages(pages: DataFrame, path: str) -> None:
+    """Writes pages (book_id, page, page_width, page_height, items), each from where it lies, in files by task and folder. JSON repeats itself, so it is written with gzip, and no line is moved before."""
     zero = F.lit(0.0)
-    item = F.struct("frag_ord", F.col("str"), F.array(F.lit(1.0), zero, zero, "scale", "left", "base").alias("transform"), "width", "height", F.col("font").alias("fontName"))
-    pages = items.groupBy("book_id", "page", F.col("page_width").alias("w"), F.col("page_height").alias("h")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    plain = F.transform("items", lambda i: F.struct(i["str"].alias("str"), i["transform"].alias("transform"), i["width"].alias("width"), i["height"].alias("height"), i["fontName"].alias("fontName"), i["frag_ord"].alias("order")))
-    rows = pages.select("book_id", "page", F.col("w").alias("width"), F.col("h").alias("height"), plain.alias("items"))
+    item = lambda i: F.struct(
+        i["str"].alias("str"), F.array(F.lit(1.0), zero, zero, i["scale"], i["left"], i["base"]).alias("transform"), i["width"].alias("width"), i["height"].alias("height"),
+        i["font"].alias("fontName"), i["frag_ord"].alias("order"),
+    )
+    by_order = F.transform(F.array_sort("items", lambda a, b: F.when(a["frag_ord"] < b["frag_ord"], -1).when(a["frag_ord"] > b["frag_ord"], 1).otherwise(0)), item)
+    rows = pages.select("book_id", "page", F.col("page_width").alias("width"), F.col("page_height").alias("height"), by_order.alias("items"))
     line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")
-    rows.select(line, bucket_of(F.col("book_id")).alias("bucket"), F.floor(F.col("page") / PAGES).cast("int").alias("range")).repartition("bucket", "range").write.partitionBy("bucket", "range").text(path)
+    rows.select(line, bucket_of(F.col("book_id")).alias("bucket"), F.floor(F.col("page") / PAGES).cast("int").alias("range")).write.partitionBy("bucket", "range").text(path, compression="gzip")
 
 
 def page_records(spark: SparkSession, path: str, books: list[int] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
