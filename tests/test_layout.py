@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
 from foliograph.operators import blocks as B
+from foliograph.operators import books
 from foliograph.operators import chapters as C
+from foliograph.operators import furniture as H
 from foliograph.operators import layout as L
 from foliograph.operators import playback as P
 from foliograph.operators import queue as Q
@@ -108,6 +110,27 @@ def test_pages(spark, tmp_path):
     assert L.fragments(found).filter("book_id < 99").count() == items.count()
 
 
+ODD = ["plain", "a  b\tc", "x ( y [ z", "so , it . is )", "dots . . . . end", "a____b", "bad\x07bell\x85", "\ufb01n\u00ad \u2013 \u2212\u00a0\u3000q", "e\u0301", " . . . .", "\u2028x\u2028,", "{\u00a0y", "\ufeff", ""]
+
+
+def test_books(spark):
+    """What is made of a book in Python is what the column functions make of it: cleaned texts, keys, folios, and all blocks of the smallest tables."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, t string")
+    got = rows.select("t", T.clean(F.col("t")).alias("clean"), H.keys_of(F.col("t")).alias("keys"), T.is_folio(F.col("t")).alias("folio")).collect()
+    assert [(r["clean"], r["keys"], r["folio"]) for r in got] == [(books.clean(r["t"]), books.keys_of(r["t"]), bool(books.FOLIO.search(r["t"].strip(T.BLANKS)))) for r in got]
+    pages = layout_queries.kept_lines(layout_queries.with_books(spark, "/root/testdata/sf0.001"))
+    want = B.raw_blocks(B.labelled(L.segments(pages)))
+    assert sorted(map(str, layout_queries.raw_blocks(spark, "/root/testdata/sf0.001").select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_pages_are_compressed(spark, tmp_path):
+    """Pages are written with gzip, many times smaller than their lines."""
+    items = spark.createDataFrame([(1, p, i, f"text {i}", 10.0, 1.5, 700.25, 30.0, 0.0, "Serif", 612.0, 792.0) for p in range(50) for i in range(80)], "book_id long, page long, frag_ord long, str string, scale double, left double, base double, width double, height double, font string, page_width double, page_height double")
+    fragments.write_pages(items, f"{tmp_path}/pages")
+    n_bytes = sum(f.stat().st_size for f in pathlib.Path(tmp_path).rglob("part-*"))
+    assert fragments.read_pages(spark, f"{tmp_path}/pages").count() == 4000 and n_bytes < 4000 * 20
+
+
 @pytest.mark.parametrize("name", ["line_kinds", "raw_blocks", "book_blocks", "book_chapters", "chapter_list", "extraction_quality"])
 def test_nothing_is_written(spark, name):
     """Pages, lines and blocks aren't written between steps; texts are moved to their book's task, at most."""
